@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.llm import packing
+from voxtable.llm import decontamination, packing, secrets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,8 +25,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(secrets.scan(docs, secrets.train(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing}
+    return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_secret_scans": op5_secret_scans,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
