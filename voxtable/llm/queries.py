@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.llm import decontamination, packing, secrets
+from voxtable.llm import decontamination, jaccard_join, packing, secrets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,11 +34,16 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(docs, secrets.train(docs)))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_secret_scans": op5_secret_scans,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     }
 
 
