@@ -131,3 +131,11 @@ def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
     return contamination(docs, items).select(
         "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """docs without the rows that hold a window of an item. The keys of those rows are broadcast up to
+    broadcast_rows of them, and joined by a shuffle beyond that."""
+    hit = materialize(find(docs, items, size, None, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row")).distinct(), "contaminated")
+    right = F.broadcast(hit) if hit.count() <= broadcast_rows else hit
+    return docs.join(right, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_row")), "left_anti")
