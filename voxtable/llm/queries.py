@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.llm import decontamination, jaccard_join, language_id, packing, secrets, toxicity
+from voxtable.llm import decontamination, jaccard_join, language_id, packing, quality, secrets, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -42,6 +42,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_secret_scans": op5_secret_scans,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op7_quality_rules": op7_quality_rules,
         "op10_language_id": op10_language_id,
     }
 
