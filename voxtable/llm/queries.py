@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxtable.llm import decontamination, jaccard_join, language_id, packing, quality, secrets, toxicity
+from voxtable.llm import chat, decontamination, jaccard_join, language_id, licenses, packing, quality, secrets, token_counts, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +30,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("edits", token_counts.spread_edits())
+    return token_counts.edit_counts(docs, tokenizer_path())
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +52,45 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The arguments of the one tool that plain conversations call.
+ANSWER_SCHEMA = [("answer", "question", "string", True), ("answer", "n_words", "integer", True), ("answer", "deep", "boolean", True)]
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.calls_from_turns(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(ANSWER_SCHEMA, "name string, arg string, type string, required boolean")
+    return chat.format_calls(calls, results, schemas)
+
+
+OP8_SQL = r"""
+WITH first AS (SELECT conv_id, min(turn) AS first FROM conversations WHERE role = 'user' GROUP BY conv_id),
+call AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, text, first FROM conversations JOIN first USING (conv_id) WHERE role = 'user' ORDER BY conv_id, turn, text),
+result AS (SELECT conv_id, turn - 1 AS turn, min(text) AS result, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT conv_id, 'call_' || turn AS call_id, CAST(turn > first AS INTEGER) AS level, turn, coalesce(n, 0) AS n_results, length(text) > 200 AS valid,
+    CASE WHEN length(text) > 200 THEN '' ELSE 'missing:deep' END AS problems,
+    '{"arguments":{' || CASE WHEN length(text) > 200 THEN '"deep":"true",' ELSE '' END || '"n_words":"' || len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) || '","question":' || to_json(text)
+    || '},"id":"call_' || turn || '","name":"answer"' || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || to_json(result) END || '}' AS json
+FROM call LEFT JOIN result USING (conv_id, turn)
+"""
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH fold AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+place AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM fold), (SELECT DISTINCT n FROM win) WHERE i + n - 1 <= len(w)),
+hit AS (SELECT r, i, n, item_id FROM place JOIN win USING (n, p)),
+word AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM fold LEFT JOIN word USING (r) LEFT JOIN found USING (r)
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
@@ -54,13 +99,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_toxicity": op2_toxicity,
+        "op3_token_counts": op3_token_counts,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_secret_scans": op5_secret_scans,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_quality_rules": op7_quality_rules,
+        "op8_chat_formatting": op8_chat_formatting,
+        "op9_license_scans": op9_license_scans,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_license_scans": licenses.oracle_sql()}
