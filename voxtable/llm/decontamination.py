@@ -27,6 +27,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Windows in a block that is broadcast: about 300 bytes each.
 BLOCK = 50_000
+PART = 64
 
 
 def words(text: Column) -> Column:
@@ -71,13 +72,20 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_i
     """Positional postings of ``terms`` (term and any further columns): doc_id, row_hash, pos, and the
     folded words from ``first`` on, up to ``reach`` words on either side of the term.
 
-    The neighbours are cut out behind the join, so that only the postings of wanted terms carry them.
+    A document is dealt in parts of PART words that carry ``reach`` more on either side, so no row holds
+    a whole document; the neighbours are cut out behind the join, for the wanted terms alone.
     """
-    tokens = _keyed(docs, id_col, text_col).select("doc_id", "row_hash", "w", F.posexplode("w").alias("pos", "word"))
-    wanted = tokens.withColumn("term", F.lower("word")).join(F.broadcast(terms), "term")
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    near = F.slice("w", first + 1, F.col("pos") - first + reach + 1)
-    return wanted.select("doc_id", "row_hash", "pos", first.alias("first"), F.split(fold(F.array_join(near, " ")), " ").alias("near"), *[c for c in terms.columns])
+    begin = lambda i: F.greatest(i - reach, F.lit(0))
+    parts = F.transform(
+        F.sequence(F.lit(0), F.size("w") - 1, F.lit(PART)),
+        lambda i: F.struct(i.alias("own"), begin(i).alias("first"), F.slice("w", begin(i) + 1, i - begin(i) + PART + reach).alias("words")),
+    )
+    parts = _keyed(docs, id_col, text_col).filter(F.size("w") > 0).select("doc_id", "row_hash", F.explode(parts).alias("part")).select("doc_id", "row_hash", "part.*")
+    tokens = parts.select("doc_id", "row_hash", "own", F.col("first").alias("base"), "words", F.posexplode(F.slice("words", F.col("own") - F.col("first") + 1, PART)).alias("at_own", "word"))
+    wanted = tokens.withColumn("term", F.lower("word")).join(F.broadcast(terms), "term").withColumn("pos", F.col("own") + F.col("at_own"))
+    first = F.greatest(F.col("pos") - reach, F.col("base"))
+    near = F.slice("words", first - F.col("base") + 1, F.col("pos") - first + reach + 1)
+    return wanted.select("doc_id", "row_hash", "pos", first.alias("first"), F.split(fold(F.array_join(near, " ")), " ").alias("near"), *terms.columns)
 
 
 def exact_hits(index: DataFrame) -> DataFrame:
