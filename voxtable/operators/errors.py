@@ -8,25 +8,21 @@ from pyspark.sql import functions as F
 from voxtable.functions.text import wer_words
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two word arrays: each distinct word of the pair becomes one character.
-
-    Code points from U+4E00 on leave room for about 36 000 distinct words in a pair.
-    """
-    words = F.array_distinct(F.concat(a, b))
-    index = F.map_from_arrays(words, F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 0x4DFF), 4, "0")), "UTF-16BE")))
-    return F.levenshtein(F.array_join(F.transform(a, lambda w: index[w]), ""), F.array_join(F.transform(b, lambda w: index[w]), ""))
+def coded(words: Column, distinct: Column) -> Column:
+    """A string with one character for each word: code points from U+4E00 on by its place in ``distinct``,
+    which must be a stored column and may hold about 36 000 words."""
+    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(distinct, w) + 0x4DFF), 4, "0")), "UTF-16BE")), "")
 
 
 def pair_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """pairs with word and character distances and reference lengths. Words count as in wer_words; the
     characters of a text include one mark between words. Null texts count as empty."""
     r, h = (wer_words(F.coalesce(F.col(c), F.lit(""))) for c in (ref, hyp))
-    out = pairs.withColumns({"_r": r, "_h": h})
+    out = pairs.withColumns({"_r": r, "_h": h}).withColumn("_w", F.array_distinct(F.concat("_r", "_h")))
     text = lambda c: F.array_join(c, "_")
     return out.withColumns(
-        {"word_errors": word_distance(F.col("_h"), F.col("_r")).cast("long"), "words": F.size("_r").cast("long"), "char_errors": F.levenshtein(text("_h"), text("_r")).cast("long"), "chars": F.length(text("_r")).cast("long")}
-    ).drop("_r", "_h")
+        {"word_errors": F.levenshtein(coded(F.col("_h"), F.col("_w")), coded(F.col("_r"), F.col("_w"))).cast("long"), "words": F.size("_r").cast("long"), "char_errors": F.levenshtein(text("_h"), text("_r")).cast("long"), "chars": F.length(text("_r")).cast("long")}
+    ).drop("_r", "_h", "_w")
 
 
 def error_rates(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
