@@ -58,7 +58,7 @@ def srt_items(files: DataFrame, key: str = "name") -> DataFrame:
     """(key, pos, start_ms, end_ms, text): the blocks of subtitle files; fields may lack zero padding."""
     blocks = files.select(key, F.posexplode(F.filter(F.split("value", r"\r?\n[ \t]*(?:\r?\n)+"), lambda b: b.contains("-->"))).alias("pos", "b"))
     times = F.regexp_extract("b", r"([\d:,.]+) *--> *([\d:,.]+)", 0)
-    return blocks.select(key, "pos", _milliseconds(F.split(times, "-->")[0]).alias("start_ms"), _milliseconds(F.split(times, "-->")[1]).alias("end_ms"), F.trim(F.regexp_replace("b", r"(?s)^.*?-->[^\n]*\n?", "")).alias("text"))
+    return blocks.select(key, "pos", _milliseconds(F.split(times, "-->")[0]).alias("start_ms"), _milliseconds(F.split(times, "-->")[1]).alias("end_ms"), F.regexp_replace(F.regexp_replace("b", r"(?s)^.*?-->[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("text"))
 
 
 def rttm_turns(files: DataFrame, key: str = "name", kind: str | None = "SPEAKER") -> DataFrame:
