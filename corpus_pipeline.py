@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.llm import decontamination, jaccard_join, packing, secrets, toxicity
-from voxtable.llm.queries import table, tokenizer_path
+from voxtable.llm.queries import table, tokenizer
 from voxtable.plans.storage import materialize
 
 
@@ -38,7 +38,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in training sequences."""
-    return packing.piece_digests(docs, tokenizer_path())
+    return packing.piece_digests(docs, *tokenizer())
 
 
 STAGES = [

@@ -35,7 +35,7 @@ TREES, DEPTH = 16, 8
 BLOCK = 256
 #: Candidate ids that may be broadcast; beyond it the texts are fetched by a shuffled join.
 BROADCAST_ROWS = 500_000
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 

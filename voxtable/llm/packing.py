@@ -11,7 +11,7 @@ repeated rows are packed once each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-import re
+import base64
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,67 +23,43 @@ from pyspark.sql.window import Window
 
 from voxtable.plans.storage import materialize
 
-#: A space with white space on both sides, or ending the text after white space: there the
-#: tokenizer's white-space runs reach across the space, so chunks can't be encoded one by one.
-_LINKED_SPACE = re.compile(r"\s (?:\s|\Z)")
-_SPECIAL = "<|endoftext|>"
-_CACHE_ENTRIES = 300_000
-_CACHE_CHUNK = 48
+SPECIAL = "<|endoftext|>"
+SPECIAL_ID = 50256
 
 
-class ChunkEncoder:
-    """Ids of a byte-level BPE tokenizer file, as little-endian unsigned 32-bit bytes.
+class Encoder:
+    """Ids of a byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
 
-    A space that isn't linked to other white space always starts a pre-token, so texts are cut at
-    spaces and the bytes of frequent chunks are kept in a bounded cache.
+    ranks_path holds the vocabulary of the tokenizer file as ranks, which are its ids, and pattern cuts
+    pre-tokens. The special token's string stands for its id, as it does by default in the tokenizer file.
     """
 
-    def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, ranks_path: str, pattern: str):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.cache: dict[str, bytes] = {}
-
-    def _direct(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        with open(ranks_path, "rb") as lines:  # a vocabulary file that every node has
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _SPECIAL in text or _LINKED_SPACE.search(text):
-            return self._direct(text)
-        chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if chunks is None:
-            return self._direct(text)
-        cache = self.cache
-        missing = [c for c in set(chunks) if c not in cache]
-        if missing:
-            if len(cache) + len(missing) > _CACHE_ENTRIES:
-                cache.clear()
-                missing = list(set(chunks))
-            for chunk, code in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                cache[chunk] = np.asarray(code.ids, dtype="<u4").tobytes()
-        out = b"".join(map(cache.__getitem__, chunks))
-        for chunk in missing:
-            if len(chunk) > _CACHE_CHUNK:
-                del cache[chunk]
-        return out
+        parts = [np.asarray(self.encoding.encode_ordinary(part), dtype="<u4").tobytes() for part in text.split(SPECIAL)]
+        return np.asarray([SPECIAL_ID], dtype="<u4").tobytes().join(parts)
 
 
 def tokenize_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit bytes.
 
     A document longer than ``capacity`` is cut into full pieces behind a first piece that takes the
-    remainder; others stay whole. tokenizer_path must exist on every node.
+    remainder; others stay whole. ranks_path must exist on every node.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = Encoder(ranks_path, pattern)
         for batch in batches:
             rows: list[int] = []
             cols: tuple[list, list, list, list] = ([], [], [], [])
@@ -192,14 +168,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Tokenise, cut and pack documents: pieces with their ids, sequence_id and offset."""
-    return pack(materialize(tokenize_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    return pack(materialize(tokenize_pieces(docs, ranks_path, pattern, capacity, end_id), "pieces"), capacity)
 
 
-def piece_digests(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def piece_digests(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """The packing of documents with a checksum for the ids, which are dropped as soon as they are summed."""
-    pieces = tokenize_pieces(docs, tokenizer_path, capacity, end_id)
+    pieces = tokenize_pieces(docs, ranks_path, pattern, capacity, end_id)
     slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialize(slim, "pieces"), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from voxtable.llm import chat, decontamination, jaccard_join, language_id, licenses, packing, quality, secrets, token_counts, toxicity
 
-TOKENIZER = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
-def tokenizer_path() -> str:
+def tokenizer() -> tuple[str, str]:
+    """Place of the vocabulary's ranks, and the pattern that cuts pre-tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.piece_digests(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("edits", token_counts.spread_edits())
-    return token_counts.edit_counts(docs, tokenizer_path())
+    return token_counts.edit_counts(docs, *tokenizer())
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,50 +13,24 @@ end; null edits are no edits; repeated rows get a row each; an empty table gives
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.llm.packing import Encoder
+
 #: Places before a space where a pre-token always starts: one of the space's neighbours isn't white space.
 _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 LEAF_CHUNKS = 64
-_CACHE_ENTRIES = 400_000
-_SPECIAL = "<|endoftext|>"
-
-
-class Counter:
-    """Numbers of tokens of texts, by chunks, with a bounded cache."""
-
-    def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, int] = {}
-
-    def count(self, chunks: list[str]) -> int:
-        cache = self.cache
-        missing = [c for c in set(chunks) if c not in cache]
-        if missing:
-            if len(cache) + len(missing) > _CACHE_ENTRIES:
-                cache.clear()
-                missing = list(set(chunks))
-            for chunk, code in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                cache[chunk] = len(code.ids)
-        out = sum(map(cache.__getitem__, chunks))
-        for chunk in missing:
-            if len(chunk) > 48:
-                del cache[chunk]
-        return out
 
 
 class SegmentTree:
     """Leaves of consecutive text with sums of characters and tokens above them."""
 
-    def __init__(self, text: str, counter: Counter):
-        self.counter = counter
+    def __init__(self, text: str, count: Callable[[str], int]):
+        self.count = count
         chunks = [c for c in _CUT.split(text) if c]
         parts = [chunks[i : i + LEAF_CHUNKS] for i in range(0, len(chunks), LEAF_CHUNKS)] or [[]]
         self.leaves = ["".join(p) for p in parts]
@@ -67,7 +41,7 @@ class SegmentTree:
         self.tokens = [0] * (2 * self.size)
         for i, part in enumerate(parts):
             self.chars[self.size + i] = len(self.leaves[i])
-            self.tokens[self.size + i] = counter.count(part)
+            self.tokens[self.size + i] = count(self.leaves[i])
         for i in range(self.size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -91,7 +65,7 @@ class SegmentTree:
         self.leaves[leaf] = text
         node = leaf + self.size
         self.chars[node] = len(text)
-        self.tokens[node] = self.counter.count([c for c in _CUT.split(text) if c]) if text else 0
+        self.tokens[node] = self.count(text) if text else 0
         while node > 1:
             node //= 2
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -146,7 +120,7 @@ def apart(edits: list[dict], length: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def edit_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+def edit_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_edits, n_reencoded (characters encoded again).
 
     edits: array<struct<start, end, replacement>> in code points of the original text, end exclusive.
@@ -156,12 +130,13 @@ def edit_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_path)
+        encoding = Encoder(ranks_path, pattern).encoding
+        count = lambda part: len(encoding.encode_ordinary(part))
         for batch in batches:
             rows = []
             for text, edits in zip(batch.column(1), batch.column(2)):
                 text, edits = text.as_py() or "", [e for e in edits.as_py() or [] if e]
-                tree = SegmentTree(text, counter)
+                tree = SegmentTree(text, count)
                 before = tree.total
                 for start, end, new in reversed(apart(edits, len(text))):
                     tree.replace(start, end, new)

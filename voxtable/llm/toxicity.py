@@ -29,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.plans.storage import materialize
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 PRIOR = 4.0
 DRIFT = 0.7
 LOWEST, HIGHEST = -3.0, 6.0
 SIGNIFICANT = 2.3  # natural log units above chance: one text in ten without toxic passages
-_CACHE_ENTRIES = 500_000
+_CACHE_ENTRIES = 150_000
+_FLUSH = 50_000
 SEGMENTS = "array<struct<start: int, end: int, score: double>>"
 
 
@@ -122,19 +125,27 @@ def train(labelled: DataFrame, max_rows: int = 16_000, text_col: str = "text", l
     Two thirds of the rows, by a hash of the text, give token counts; the others calibrate.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("text is not null and label is not null").distinct()
+    rows = materialize(rows, "labelled")
     part = F.pmod(F.xxhash64("text"), F.lit(3))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(seen: set) -> pa.RecordBatch:
+            columns = list(zip(*seen)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["token", "label", "context"])
+
+        seen: set[tuple[str, int, int]] = set()
         for batch in batches:
-            seen = set()
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
                 tokens = WORD.findall(text.as_py().lower())
                 seen.update((w, label, zlib.crc32(p.encode())) for p, w in zip(["", *tokens], tokens))
-            columns = list(zip(*seen)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["token", "label", "context"])
+                if len(seen) > _FLUSH:
+                    yield made(seen)
+                    seen = set()
+        yield made(seen)
 
     pairs = rows.filter(part < 2).mapInArrow(contexts, "token string, label int, context long").distinct()
     tokens = pairs.groupBy("token").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other"))
+    tokens = materialize(tokens, "tokens")
     lengths = F.filter(F.array(*map(F.lit, PREFIXES)), lambda k: k < F.length("token"))
     names = F.concat(F.array(F.concat(F.lit("="), "token")), F.transform(lengths, lambda k: F.substring(F.col("token"), 1, k)))
     nodes = tokens.select(F.explode(names).alias("node"), "toxic", "other").groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -144,6 +155,7 @@ def train(labelled: DataFrame, max_rows: int = 16_000, text_col: str = "text", l
     n_toxic, n_other = totals[0] or 0, totals[1] or 0
     model = Model(share=(n_toxic + 1) / (n_toxic + n_other + 2), counts=counts)
     model.rate = _rate(model, n_other)
+    model.counts = informative(model)
     scored = rows.filter(part == 2).mapInArrow(_features(model), "label int, n int, best double, significant int")
     held = scored.collect()
     calm = [r for r in held if not r["label"] and r["n"]]
@@ -154,6 +166,23 @@ def train(labelled: DataFrame, max_rows: int = 16_000, text_col: str = "text", l
     return model
 
 
+def informative(model: Model, least: float = 0.15) -> dict[str, tuple[int, int]]:
+    """The nodes that move the log-odds of their prior by ``least``; without the others tokens score alike."""
+    kept = Model(share=model.share)
+    for node in sorted(model.counts, key=lambda n: (n[0] == "=", len(n))):
+        token = node.removeprefix("=") if node[0] == "=" else node
+        before = model.share
+        for name in (token[:k] for k in PREFIXES if k < len(token) or (node[0] != "=" and k == len(token))):
+            if name != node and name in kept.counts:
+                a, b = kept.counts[name]
+                before = (a + PRIOR * before) / (a + b + PRIOR)
+        toxic, other = model.counts[node]
+        after = (toxic + PRIOR * before) / (toxic + other + PRIOR)
+        if abs(math.log(after / (1 - after)) - math.log(before / (1 - before))) >= least:
+            kept.counts[node] = (toxic, other)
+    return kept.counts
+
+
 def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
