@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.llm.batches import map_batches
 from voxtable.operators.graphs import connected_components
 from voxtable.plans.storage import materialize
 
@@ -95,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 signatures.append(shingler.signature(grams).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())], ["doc_id", "set_hash", "n_grams", "signature"])
 
-    return source.mapInArrow(run, f"doc_id {id_type}, set_hash binary, n_grams int, signature binary")
+    return map_batches(source, run, f"doc_id {id_type}, set_hash binary, n_grams int, signature binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -178,7 +179,7 @@ def candidate_ties(texts: DataFrame, depth: int, least_agreement: float) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
 
     key = ["node", "ti", "tj"]
-    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "src binary, dst binary")
+    return map_batches(tiles.repartition(*key).sortWithinPartitions(*key), run, "src binary, dst binary")
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -224,7 +225,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, threshold: float, id_col:
             kept = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns[:4], pa.array(sets, pa.binary())], ["component", "members", "set_hash", "copies", "grams"])
 
-    sets = texts.mapInArrow(load, "component binary, members long, set_hash binary, copies long, grams binary")
+    sets = map_batches(texts, load, "component binary, members long, set_hash binary, copies long, grams binary")
     tiles = _tiled(sets, "component", "members", "set_hash").select("component", "ti", "tj", "set_hash", "block", "copies", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +249,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, threshold: float, id_col:
             )
 
     key = ["component", "ti", "tj"]
-    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "set_hash binary, root binary, text_links long, doc_links long")
+    return map_batches(tiles.repartition(*key).sortWithinPartitions(*key), run, "set_hash binary, root binary, text_links long, doc_links long")
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxtable.llm.batches import map_batches
 from voxtable.plans.storage import materialize
 
 SPECIAL = "<|endoftext|>"
@@ -88,7 +89,7 @@ def tokenize_pieces(
             if rows:
                 yield flush()
 
-    return source.mapInArrow(pieces, f"doc_id {id_type}, piece int, start long, length long, ids binary")
+    return map_batches(source, pieces, f"doc_id {id_type}, piece int, start long, length long, ids binary")
 
 
 def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.llm.batches import map_batches
+
 #: White space between words, counted symbols, base cut-offs.
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -146,7 +148,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
                 ["label", "features", "sizes"],
             )
 
-    held = [(r[0], np.frombuffer(r[1], "<f4").reshape(-1, FEATURES).astype(float), np.frombuffer(r[2], "<i4")) for r in rows.mapInArrow(run, "label int, features binary, sizes binary").toLocalIterator()]
+    held = [(r[0], np.frombuffer(r[1], "<f4").reshape(-1, FEATURES).astype(float), np.frombuffer(r[2], "<i4")) for r in map_batches(rows, run, "label int, features binary, sizes binary").toLocalIterator()]
     if len({label for label, *_ in held}) < 2:
         return Model()
     chains = [(label, x[at : at + CHUNK]) for label, x, _ in held for at in range(0, len(x), CHUNK)]
@@ -203,7 +205,7 @@ def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             )
 
     longs = ", ".join(f"{c} long" for c in names)
-    return source.mapInArrow(run, f"doc_id {id_type}, {longs}, base_failed boolean, content_share double, kept boolean")
+    return map_batches(source, run, f"doc_id {id_type}, {longs}, base_failed boolean, content_share double, kept boolean")
 
 
 def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:

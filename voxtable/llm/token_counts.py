@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.llm.batches import map_batches
 from voxtable.llm.packing import Encoder
 
 #: Places before a space where a pre-token always starts: one of the space's neighbours isn't white space.
@@ -144,7 +145,7 @@ def edit_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded"])
 
-    return source.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_tokens_edited long, n_edits long, n_reencoded long")
+    return map_batches(source, run, f"doc_id {id_type}, n_tokens long, n_tokens_edited long, n_edits long, n_reencoded long")
 
 
 def spread_edits(id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> Column:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.llm.batches import map_batches
 from voxtable.plans.storage import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -143,7 +144,7 @@ def train(labelled: DataFrame, max_rows: int = 16_000, text_col: str = "text", l
                     seen = set()
         yield made(seen)
 
-    pairs = rows.filter(part < 2).mapInArrow(contexts, "token string, label int, context long").distinct()
+    pairs = map_batches(rows.filter(part < 2), contexts, "token string, label int, context long").distinct()
     tokens = pairs.groupBy("token").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other"))
     tokens = materialize(tokens, "tokens")
     lengths = F.filter(F.array(*map(F.lit, PREFIXES)), lambda k: k < F.length("token"))
@@ -156,12 +157,12 @@ def train(labelled: DataFrame, max_rows: int = 16_000, text_col: str = "text", l
     model = Model(share=(n_toxic + 1) / (n_toxic + n_other + 2), counts=counts)
     model.rate = _rate(model, n_other)
     model.counts = informative(model)
-    scored = rows.filter(part == 2).mapInArrow(_features(model), "label int, n int, best double, significant int")
+    scored = map_batches(rows.filter(part == 2), _features(model), "label int, n int, best double, significant int")
     held = scored.collect()
     calm = [r for r in held if not r["label"] and r["n"]]
     if calm:  # the mean of a Gumbel variable fixes K
         model.log_k = float(np.mean([r["best"] for r in calm])) - 0.5772
-    held = rows.filter(part == 2).mapInArrow(_features(model), "label int, n int, best double, significant int").collect() if calm else held
+    held = map_batches(rows.filter(part == 2), _features(model), "label int, n int, best double, significant int").collect() if calm else held
     model.weights = _logistic([(_squash(r["best"]), math.log1p(r["significant"]), r["label"]) for r in held])
     return model
 
@@ -253,7 +254,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 passages.append([{"start": places[s][0], "end": places[e - 1][1], "score": x} for s, e, x in found] if places else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "passages"])
 
-    return source.mapInArrow(run, f"doc_id {id_type}, score double, passages {SEGMENTS}")
+    return map_batches(source, run, f"doc_id {id_type}, score double, passages {SEGMENTS}")
 
 
 def in_training(id_col: str):
@@ -291,4 +292,4 @@ def filter_clean(docs: DataFrame, model: Model, cut_off: float = 0.5, text_col:
                 keep.append(scorer.probability(best, len(found)) < cut_off)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
