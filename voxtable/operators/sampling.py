@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxtable.functions.text import hash_uniform
 from voxtable.operators.splits import ranked
@@ -17,9 +18,9 @@ def source_weights(rows: DataFrame, source: str, subset: dict[str, float]) -> Da
     """
     share = F.element_at(F.create_map(*[F.lit(x) for pair in subset.items() for x in pair]), F.col(source))
     counts = rows.groupBy(source).agg(F.count("*").alias("n")).withColumn("share", F.coalesce(share, F.raise_error(F.concat(F.lit("no share for source "), F.col(source))).cast("double")))
-    totals = counts.agg(F.sum("n").alias("total"), F.bround(F.sum(F.col("n") * F.col("share"))).cast("long").alias("n_samples"))
-    joined = counts.join(F.broadcast(totals))  # one row
-    return joined.select(source, "n", (F.col("n") / F.col("total")).alias("ratio"), (F.col("share") / (F.col("n") / F.col("total"))).alias("weight"), "n_samples")
+    every = Window.partitionBy(F.lit(0))  # one row for each source
+    totals = counts.withColumns({"total": F.sum("n").over(every), "n_samples": F.bround(F.sum(F.col("n") * F.col("share")).over(every)).cast("long")})
+    return totals.select(source, "n", (F.col("n") / F.col("total")).alias("ratio"), (F.col("share") / (F.col("n") / F.col("total"))).alias("weight"), "n_samples")
 
 
 def sampling_key(weight: Column, seed: object, epoch: int, *ids: Column) -> Column:
