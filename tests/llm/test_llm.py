@@ -148,6 +148,23 @@ def test_secret_model_tells_random_strings(spark):
     assert secrets.digests(secrets.scan(test, ratios)).first().spans == f"random:4:{4 + 32}"
 
 
+def test_secret_model_finds_glued_and_short_strings(spark):
+    rnd = random.Random(15)
+    plain = "the quick brown fox jumps over lazy dogs while reading configuration variables and account settings notifications confirmation".split()
+    some = lambda n: "".join(rnd.choices(secrets.ALPHABET[:62], k=n))
+    rows = [(i, " ".join(rnd.choices(plain, k=40)) + " password=" + some(24)) for i in range(300)]
+    ratios = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    path = "/account/settings/notifications/confirmation/"
+    tests = [(f"{path}{a}{path}{b} x", [a, b]) for _ in range(50) for a, b in [(some(20), some(32))]] + [(f"see {a}, and", [a]) for k in (12, 15) for _ in range(50) for a in [some(k)]]
+    tests += [(f"{path} {path}account_settings=reading-the-quick-brown-fox", [])]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(tests)], "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.random] for r in secrets.scan(docs, ratios).collect()}
+    assert got.pop(len(tests) - 1) == []
+    found = [[v in got[i] for v in want] for i, (_, want) in enumerate(tests[:-1])]
+    assert np.mean(found[:50]) > 0.97 and np.mean(found[50:100]) > 0.8 and np.mean(found[100:]) > 0.9
+    assert all(t[at : at + len(v)] == v for i, (t, _) in enumerate(tests[:-1]) for v in got[i] for at in [t.find(v)])
+
+
 def test_jaccard_against_all_pairs(spark, edge, empty):
     rnd = random.Random(6)
     base = [[f"w{rnd.randrange(500)}" for _ in range(80)] for _ in range(5)]
