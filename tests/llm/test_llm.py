@@ -278,3 +278,15 @@ def test_licenses(spark, edge, empty):
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT license\nreleased under"), (2, None)], "doc_id long, text string")
     assert [(r.doc_id, r.line_no, r.license) for r in licenses.scan(docs).collect()] == [(1, 1, "MIT")]
     assert licenses.scan(edge).count() == 0 and licenses.scan(empty).count() == 0
+
+
+def test_licenses_wrapped_and_embedded(spark):
+    isc = "/*\n * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted.\n */"
+    mit = "x\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    both = "Copyright 2020 Jane Doe. Released under the MIT License. Parts: This is free and unencumbered software\nreleased into the public domain."
+    gpl = "This work is licensed under the GNU\nGeneral Public License, version 3."
+    once = "Released under the MIT License.\nReleased under the MIT License."
+    rows = [(1, isc), (2, mit), (3, both), (None, gpl), (5, once), (6, "permission to copy the license is not granted under this version")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(0, 0, "GPL-3.0"), (1, 1, "ISC"), (2, 1, "MIT"), (3, 0, "MIT"), (3, 0, "Unlicense"), (5, 0, "MIT"), (5, 1, "MIT")]
+    assert sorted((r.doc_id or 0, r.line_no, r.license) for r in got) == want and all(r.dice == 1 for r in got)

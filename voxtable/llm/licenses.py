@@ -4,6 +4,12 @@ A line of m distinct bigrams can only reach a coefficient t with a notice of k b
 in [k * t / (2 - t), k * (2 - t) / t]; only such lines are taken apart, and only shared bigrams are
 counted. The notices are a fixed list, so their bigram table is small by construction.
 
+Notices that wrap over lines or stand in a line with other text are found in windows of consecutive
+words, whatever line ends they cross: a window of at most k * (2 - t) / t bigrams is compared like a line.
+Only texts that have one of a notice's anchor words are taken apart, since without them too few of its bigrams
+are left for t. A window that touches a matched line doesn't count; of windows that overlap the best one
+does, under the number of its first line.
+
 Defined results: null text has no lines; a line of one word has no bigrams and never matches; ties
 go to the name that sorts first; repeated rows count once; other columns are ignored.
 """
@@ -51,7 +57,8 @@ def notices(spark: SparkSession, texts: list[tuple[str, str]] | None = None) ->
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, license, dice): for each line that reaches the threshold its best licence."""
+    """(doc_id, line_no, license, dice): for each line that reaches the threshold its best licence, and
+    each notice found in a window of words, under its first line."""
     known = notices(docs.sparkSession, texts)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     bounds = known.agg(F.min("k"), F.max("k")).first()
@@ -62,7 +69,67 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: list[tuple[str, s
     met = parts.join(F.broadcast(shared), "bigram").filter((F.col("m") >= low * F.col("k")) & (F.col("m") <= high * F.col("k")))
     dice = met.distinct().groupBy("doc_id", "row", "line_no", "notice_no", "license", "m", "k").count().withColumn("dice", 2 * F.col("count") / (F.col("m") + F.col("k"))).filter(F.col("dice") >= threshold)
     best = dice.groupBy("doc_id", "row", "line_no").agg(F.max_by("license", F.struct("dice", -F.col("notice_no"))).alias("license"), F.max("dice").alias("dice"))
-    return best.select("doc_id", "line_no", "license", F.round("dice", 6).alias("dice"))
+    taken = best.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("taken"))
+    found = windows(docs, known, threshold, id_col, text_col).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    found = found.filter(F.col("taken").isNull() | ~F.arrays_overlap(F.sequence("line_no", "last_line"), F.col("taken")))
+    kinds = "array<struct<rank:double,notice_no:int,at:int,end:int,line_no:int,license:string,dice:double>>"
+    ranked = F.collect_set(F.struct((-F.col("dice")).alias("rank"), "notice_no", "at", "end", "line_no", "license", "dice"))
+    apart = lambda a, x: ~F.exists(a, lambda y: (y["at"] < x["end"]) & (x["at"] < y["end"]))
+    picked = F.aggregate(F.array_sort(ranked), F.array().cast(kinds), lambda a, x: F.when(apart(a, x), F.concat(a, F.array(x))).otherwise(a))
+    inside = found.groupBy("doc_id", "row").agg(picked.alias("picked")).select("doc_id", F.explode("picked").alias("p")).select("doc_id", "p.line_no", "p.license", "p.dice")
+    return best.select("doc_id", "line_no", "license", "dice").unionByName(inside).withColumn("dice", F.round("dice", 6))
+
+
+def anchors(bigrams: list[str], threshold: float) -> set[str]:
+    """Long words of a notice without which a window has too few of its bigrams: those needed are k * t / (2 - t)."""
+    k, left, out = len(bigrams), list(bigrams), set()
+    for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
+        if len(left) < k * threshold / (2 - threshold) - 1e-9:
+            break
+        out.add(word)
+        left = [b for b in left if word not in b.split()]
+    return out
+
+
+def windows(docs: DataFrame, known: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, notice_no, license, at, end, line_no, last_line, dice): from each place of a notice's bigram the
+    window of words with the greatest coefficient, if it reaches the threshold. Each is found within its row."""
+    widest = (2 - threshold) / threshold
+    fixed = known.collect()  # a fixed list
+    words = sorted({w for r in fixed for w in anchors(r["bigrams"], threshold)})
+    text, any_anchor = F.lower(text_col), F.lit(False)
+    for w in words:
+        any_anchor = any_anchor | text.contains(w)
+    shared = known.select("notice_no", "license", "k", F.col("bigrams").alias("notice"), F.explode("bigrams").alias("bigram"))
+    every = sorted({b for r in fixed for b in r["bigrams"]})
+    most = max(int(r["k"] * widest + 1e-9) for r in fixed)
+    let = lambda x, use: F.element_at(F.transform(F.array(x), use), 1)
+    by_line = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
+
+    def pairs_of(words: Column) -> Column:
+        return F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+
+    def hits_of(pairs: Column, lines: Column) -> Column:
+        known_at = F.filter(F.transform(pairs, lambda b, i: F.struct(i.alias("at"), b.alias("bigram"))), lambda x: x["bigram"].isin(every))
+        return F.transform(known_at, lambda x: F.struct(x["at"].alias("at"), x["bigram"].alias("bigram"), F.filter(F.slice(pairs, x["at"] + 1, most), lambda b: b.isNotNull()).alias("pairs"), F.slice(lines, x["at"] + 1, most + 1).alias("lines")))
+
+    def in_lines(by_line: Column) -> Column:
+        lines = F.flatten(F.transform(by_line, lambda w, i: F.array_repeat(i, F.size(w))))
+        return let(pairs_of(F.flatten(by_line)), lambda pairs: let(lines, lambda n: hits_of(pairs, n)))
+
+    cut = docs.filter(any_anchor).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.explode(let(by_line, in_lines)).alias("hit")).select("doc_id", "row", "hit.*")
+    longest = F.floor(F.col("k") * widest + 1e-9).cast("int")
+    hits = cut.join(F.broadcast(shared), "bigram").select("doc_id", "row", "notice_no", "license", "k", "notice", "at", F.slice("pairs", F.lit(1), longest).alias("tail"), "lines")
+    hits = hits.filter(F.size(F.array_intersect("tail", "notice")) >= F.col("k") / widest - 1e-9)
+
+    def measured(n: Column) -> Column:
+        window = F.slice("tail", F.lit(1), n)
+        both = F.size(F.array_intersect(window, F.col("notice")))
+        return F.struct((2 * both / (F.size(F.array_distinct(window)) + F.col("k"))).alias("dice"), (-n).alias("n"))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("tail")), measured))
+    hits = hits.withColumn("best", best).filter(F.col("best.dice") >= threshold)
+    return hits.select("doc_id", "row", "notice_no", "license", "at", (F.col("at") - F.col("best.n") + 1).alias("end"), F.element_at("lines", 1).alias("line_no"), F.element_at("lines", 1 - F.col("best.n")).alias("last_line"), F.col("best.dice").alias("dice"))
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
