@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voxtable.functions.binding import bind
 from voxtable.functions.french import spell_cardinal, spell_ordinal
 
 #: Titles (abbreviation, whether a dot may follow, full form).
@@ -32,7 +33,9 @@ BEFORE_UNITS = [
     (r"(?<=0)\.(?=000)", ""),
 ]
 AFTER_UNITS = [(r"km [/ ]{0,3}h", "kilomètres heure")] + [(rf"(?iuU)\b{w}\b", " ") for w in ("euh", "heu", "hm", "hmm", "hmmm")] + [(r"(?iuU)\bbah\b", " ben ")]
+#: Numbers, words with a slash, characters of other scripts.
 ORDINAL, CARDINAL = r"(?U)(\d+) ?[eè](me)?\b", r"(?U)\d+([\.,]\d*)?"
+PARTIAL = r"(?U)(/\w+)|(\w+/)"
 NON_LATIN = "[^\\x{0000}-\\x{024F}\\x{1E00}-\\x{1EFF}]"
 #: Characters that reject a text.
 REJECTED = "ŌŠĆŁČÑŪØÃĀŃŽĂÅȘŞŘÝŚÐŻĘĐĪĄĚ_ĞŸĖŐĒÕÌÞṢoẢƯỄĻŮĨƏĽḤẠṬṆẦỘĎǍĊŨǸɄỊỒỜŰỬĶỀƠỆŤŢŎŇŅŹİĠǪẒ12ĜĦĹŬŲŴƗƲǃǓḌṄẬẮẴẾỐỔỚỢỤỦỨỲ⁄ĢȚ"
@@ -60,36 +63,60 @@ def expand_units(text: Column) -> Column:
 
 def map_matches(text: Column, pattern: str, group: int, change: Callable[[Column], Column]) -> Column:
     """Replace every match by the changed group between spaces: the gaps and the changed matches are joined again."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    return F.array_join(F.zip_with(gaps, F.transform(found, lambda m: F.concat(F.lit(" "), change(m), F.lit(" "))), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    def mapped(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
+        changed = F.transform(found, lambda m: F.concat(F.lit(" "), change(m), F.lit(" ")))
+        return _interleave(F.split(t, pattern, -1), changed)
+
+    return bind(text, mapped)
+
+
+def _interleave(gaps: Column, between: Column) -> Column:
+    """The gaps with what stands between them; null if a change gave null."""
+    joined = F.array_join(F.zip_with(gaps, between, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    return F.when(~F.exists(between, lambda m: m.isNull()), joined)
 
 
 def spell_numbers(text: Column) -> Column:
-    """Ordinals, then other numbers, as words. Texts without a digit are left alone."""
-    spelled = map_matches(map_matches(text, ORDINAL, 1, spell_ordinal), CARDINAL, 0, spell_cardinal)
-    return F.when(text.rlike(r"(?U)\d"), spelled).otherwise(text)
+    """Ordinals, then other numbers, as words; null if a number is too large to have a name."""
+    return map_matches(map_matches(text, ORDINAL, 1, spell_ordinal), CARDINAL, 0, spell_cardinal)
 
 
 def clean_characters(text: Column) -> Column:
     """Other characters than letters, digits and _ become single spaces; trimmed, in capitals."""
-    return F.upper(F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w ]", " "), " +", " ")))
+    return F.upper(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " ")))
 
 
 def reject_odd(text: Column) -> Column:
     """Null for empty texts and texts with characters that a French tokenizer shouldn't see."""
-    return F.when((text != "") & ~text.rlike(NON_LATIN) & ~text.rlike(f"[{REJECTED}]"), text)
+    # the long class is tried on what plain capitals and digits leave of a text, which is little
+    return bind(text, lambda t: F.when((t != "") & ~F.regexp_replace(t, "[ A-Z03-9]+", "").rlike(f"{NON_LATIN}|[{REJECTED}]"), t))
+
+
+#: What a text has at least if rules of a kind can change it; a cheap look spares most texts the rules.
+_MAY_HAVE = {
+    "titles": "M(?:me|lle|r)|[PD]r",
+    "symbols": r"(?U)[\d+&%°]|M[. ]",
+    "units": r"(?U)\d",
+    "oral": r"(?iu)euh|heu|hm|bah|km ",
+    "slashes": "/",
+    "numbers": r"(?U)\d",
+}
+
+
+def _where(text: Column, kind: str, change: Callable[[Column], Column]) -> Column:
+    return bind(text, lambda t: F.when(t.rlike(_MAY_HAVE[kind]), change(t)).otherwise(t))
 
 
 def normalize_text(text: Column, drop_slashes: bool = False) -> Column:
     """The whole normaliser: titles, symbols, units, fillers, partial words, numbers, characters; null if nothing is left."""
-    digits = text.rlike(r"(?U)[\d+&%°]|M[. ]|1|2")
-    text = expand_titles(text)
-    text = F.when(digits, replace_all(text, BEFORE_UNITS)).otherwise(text)
-    text = replace_all(F.when(digits, expand_units(text)).otherwise(text), AFTER_UNITS)
+    text = _where(text, "titles", expand_titles)
+    text = _where(text, "symbols", lambda t: replace_all(t, BEFORE_UNITS))
+    text = _where(text, "units", expand_units)
+    text = _where(text, "oral", lambda t: replace_all(t, AFTER_UNITS))
     if drop_slashes:
-        text = F.regexp_replace(text, r"(?U)(/\w+)|(\w+/)", "")
-    return reject_odd(clean_characters(spell_numbers(text)))
+        text = _where(text, "slashes", lambda t: F.regexp_replace(t, PARTIAL, ""))
+    return reject_odd(clean_characters(_where(text, "numbers", spell_numbers)))
 
 
 def wer_words(text: Column) -> Column:
@@ -99,7 +126,7 @@ def wer_words(text: Column) -> Column:
 
 def hypothesis_text(text: Column) -> Column:
     """Normalised text, or the raw text in capitals where normalisation rejects it."""
-    return F.coalesce(normalize_text(text), F.upper(text))
+    return bind(text, lambda t: F.coalesce(normalize_text(t), F.upper(t)))
 
 
 def enough_characters(text: Column, least: int = 2) -> Column:
@@ -130,3 +157,17 @@ def hash_uniform(seed: object, *ids: Column) -> Column:
 def recording_id(name: Column) -> Column:
     """Spaces and dots become underscores, é and è become e."""
     return F.translate(name, " .éè", "__ee")
+
+
+def unescape(text: Column) -> Column:
+    """Markup entities, and decimal and hexadecimal character references, as characters."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+
+    def referenced(t: Column) -> Column:
+        pattern = "&#(x[0-9a-fA-F]+|[0-9]+);"
+        code = lambda m: F.when(m.startswith("x"), F.conv(F.substring(m, 2, 8), 16, 10)).otherwise(m).cast("int")
+        chars = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda m: F.decode(F.unhex(F.lpad(F.hex(code(m)), 8, "0")), "UTF-32"))
+        return F.when(t.contains("&#"), F.array_join(F.zip_with(F.split(t, pattern, -1), chars, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")).otherwise(t)
+
+    return F.replace(bind(text, referenced), F.lit("&amp;"), F.lit("&"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxtable.functions.text import hash_order
+from voxtable.operators.ranking import global_rank
 from voxtable.operators.splits import ranked
 
 
@@ -40,8 +41,14 @@ def batch_padding(batches: DataFrame, length: str) -> DataFrame:
 def batch_order(batches: DataFrame, length: str, training: bool, seed: object = 0) -> DataFrame:
     """(bucket, batch, place): ascending by longest row for evaluation, by hash for training."""
     per = batches.groupBy("bucket", "batch").agg(F.max(length).alias("longest"))
-    key = [hash_order(seed, F.col("bucket"), F.col("batch"))] if training else [F.col("longest"), F.col("bucket"), F.col("batch")]
-    return per.withColumn("place", F.row_number().over(Window.orderBy(*key)))
+    key = [hash_order(seed, F.col("bucket"), F.col("batch")), F.col("bucket"), F.col("batch")] if training else [F.col("longest"), F.col("bucket"), F.col("batch")]
+    return global_rank(per, key, "place")
+
+
+def within_tokens(rows: DataFrame, tokens: str, least: int = 2, most: int | None = None) -> DataFrame:
+    """Rows with at least ``least`` and at most ``most`` tokens; null sequences go."""
+    n = F.size(tokens)
+    return rows.filter(F.col(tokens).isNotNull() & (n >= least) & (F.lit(most is None) | (n <= (most or 0))))
 
 
 def add_marks(tokens: Column, bos: int | None = None, eos: int | None = None) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxtable.plans.storage import materialize
+
 
 def _active(turns: DataFrame, name: str) -> DataFrame:
     return turns.select("rec_id", F.col("start").alias("t"), F.struct(F.lit(name).alias("side"), "speaker", F.lit(1).alias("d")).alias("e")).unionByName(
@@ -13,11 +15,12 @@ def _active(turns: DataFrame, name: str) -> DataFrame:
     )
 
 
-def intervals(ref: DataFrame, hyp: DataFrame, collar: float = 0.0, skip_overlap: bool = False, uem: DataFrame | None = None) -> DataFrame:
+def intervals(ref: DataFrame, hyp: DataFrame, collar: float = 0.0, skip_overlap: bool = False, uem: DataFrame | None = None, width: float = 30.0) -> DataFrame:
     """(rec_id, duration, refs, hyps) of the elementary intervals that are scored.
 
-    Every boundary is an event of +1 or -1 for its speaker; running sums by recording give the
-    active speakers between consecutive times. collar is the whole width around a reference boundary.
+    Every boundary is an event of +1 or -1 for its speaker; running sums by recording and speaker give
+    spans. Spans are dealt to the time bins that they touch, ``width`` seconds wide, and an interval
+    meets them in the one bin that it begins in. collar is the whole width around a reference boundary.
     """
     events = _active(ref, "ref").unionByName(_active(hyp, "hyp"))
     if collar:
@@ -29,8 +32,9 @@ def intervals(ref: DataFrame, hyp: DataFrame, collar: float = 0.0, skip_overlap:
     own = Window.partitionBy("rec_id", "side", "speaker").orderBy("t")
     spans = changes.withColumns({"level": F.sum("d").over(own.rowsBetween(Window.unboundedPreceding, 0)), "until": F.lead("t").over(own)}).filter("level > 0 and until is not null").select("rec_id", "side", "speaker", "t", "until")
     times = changes.select("rec_id", "t").distinct().withColumn("next", F.lead("t").over(Window.partitionBy("rec_id").orderBy("t"))).filter("next is not null")
-    spans = spans.withColumnRenamed("t", "from")
-    met = times.join(spans, "rec_id").filter((F.col("from") <= F.col("t")) & (F.col("until") >= F.col("next")))
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    spans = spans.withColumnRenamed("t", "from").withColumn("bin", F.explode(F.sequence(at("from"), at("until"))))
+    met = times.withColumn("bin", at("t")).join(spans, ["rec_id", "bin"]).filter((F.col("from") <= F.col("t")) & (F.col("until") >= F.col("next")))
 
     def names(side: str) -> Column:
         return F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("speaker"))))
@@ -73,17 +77,40 @@ def error_rate(errors: DataFrame) -> DataFrame:
     return sums.withColumn("der", F.when(F.col("total") > 0, (F.col("miss") + F.col("false_alarm") + F.col("confusion")) / F.col("total")))
 
 
+def report_lines(errors: DataFrame) -> DataFrame:
+    """(rank, value): one text line for each recording and, first, one for all together, with rates in percent."""
+    rate = F.when(F.col("total") > 0, 100 * (F.col("miss") + F.col("false_alarm") + F.col("confusion")) / F.col("total"))
+    sums = errors.rollup("rec_id").agg(*[F.sum(c).alias(c) for c in ("total", "miss", "false_alarm", "confusion")], F.grouping("rec_id").alias("all"))
+    name = F.when(F.col("all") == 1, "TOTAL").otherwise(F.col("rec_id").cast("string"))
+    line = F.concat(name, F.coalesce(F.format_string(" DER %.2f%%", rate), F.lit(" no speech")))
+    return sums.select((1 - F.col("all")).cast("int").alias("rank"), line.alias("value"))
+
+
+#: Numbers in the centroids that may be broadcast: 8 MB as doubles.
+BROADCAST_NUMBERS = 1_000_000
+SALTS = 64
+
+
 def reassign_small_clusters(vectors: DataFrame, least: int = 12, group: str = "rec_id", cluster: str = "cluster", vector: str = "embedding") -> DataFrame:
     """vectors with new_cluster: members of clusters smaller than ``least`` go to the large cluster of
-    their group with the nearest centroid by cosine distance; they stay where no large one exists."""
+    their group with the nearest centroid by cosine distance; they stay where no large one exists.
+
+    Centroids are broadcast where they are few by count. Beyond it, each small vector goes to one of
+    SALTS parts of its group and the group's centroids to all of them, so that a large group is no one task.
+    """
     parts = vectors.select(group, cluster, F.posexplode(vector).alias("i", "x"))
     sizes = vectors.groupBy(group, cluster).agg(F.count("*").alias("members"))
     means = parts.groupBy(group, cluster, "i").agg(F.avg("x").alias("x")).groupBy(group, cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
-    large = sizes.filter(F.col("members") >= least).join(means, [group, cluster]).select(group, F.col(cluster).alias("_to"), "centroid")
+    large = materialize(sizes.filter(F.col("members") >= least).join(means, [group, cluster]).select(group, F.col(cluster).alias("_to"), "centroid"), "centroids")
     small = vectors.join(sizes.filter(F.col("members") < least), [group, cluster])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
     v, c = F.col(vector), F.col("centroid")
     distance = 1 - dot(v, c) / F.sqrt(dot(v, v) * dot(c, c))
     key = [x for x in vectors.columns if x not in (group, cluster, vector)]
-    moved = small.join(large, group).groupBy(group, cluster, *key).agg(F.min_by("_to", F.struct(F.round(distance, 9), F.col("_to"))).alias("new_cluster"))
+    if (large.agg(F.sum(F.size("centroid"))).first()[0] or 0) <= BROADCAST_NUMBERS:
+        met = small.join(F.broadcast(large), group)
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = small.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(large.withColumn("_salt", salt), [group, "_salt"])
+    moved = met.groupBy(group, cluster, *key).agg(F.min_by("_to", F.struct(F.round(distance, 9), F.col("_to"))).alias("new_cluster"))
     return vectors.drop(vector).join(moved, [group, cluster, *key], "left").withColumn("new_cluster", F.coalesce("new_cluster", cluster))

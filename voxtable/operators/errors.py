@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.functions.binding import bind
 from voxtable.functions.text import wer_words
 
 
+#: Code points that can stand for words: all from U+0100 on but for the surrogates.
+FIRST_CODE, SURROGATES, N_SURROGATES, N_CODES = 0x100, 0xD800, 0x800, 0x110000 - 0x100 - 0x800
+
+
 def coded(words: Column, distinct: Column) -> Column:
-    """A string with one character for each word: code points from U+4E00 on by its place in ``distinct``,
-    which must be a stored column and may hold about 36 000 words."""
-    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(distinct, w) + 0x4DFF), 4, "0")), "UTF-16BE")), "")
+    """A string with one character for each word, by its place in ``distinct``, which must be a stored column.
+
+    There are 1 111 808 characters to take; a pair of texts with more distinct words is an error (its
+    table of distances would have 10^12 cells anyway).
+    """
+    place = lambda w: F.array_position(distinct, w) - 1 + FIRST_CODE
+    point = lambda w: bind(place(w), lambda p: F.when(p >= SURROGATES, p + N_SURROGATES).otherwise(p))
+    text = F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")), "")
+    return F.when(F.size(distinct) <= N_CODES, text).otherwise(F.raise_error(F.lit("a pair of texts has more than 1 111 808 distinct words")))
 
 
 def pair_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
@@ -38,6 +49,12 @@ def report_lines(rates: DataFrame, key: str) -> DataFrame:
     return rates.select(F.col(key).isNotNull().cast("int").alias("rank"), F.format_string("%s WER %.1f%% CER %.1f%%", name, "wer", "cer").alias("value"))
 
 
+def example_errors(pairs: DataFrame, examples: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Word and character errors, and the word error rate in percent, of each pair in a fixed example set (key)."""
+    held = pair_errors(pairs.join(examples.select(key), key, "left_semi"), ref, hyp)
+    return held.withColumn("wer", F.when(F.col("words") > 0, 100 * F.col("word_errors") / F.col("words")))
+
+
 def joined_texts(rows: DataFrame, group: str, order: str, *texts: str) -> DataFrame:
     """The texts of each group in order, with a blank line between them."""
     def joined(text: str) -> Column:

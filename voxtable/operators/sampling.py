@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxtable.functions.text import hash_uniform
+from voxtable.operators.ranking import global_rank
 from voxtable.operators.splits import ranked
 
 
@@ -33,7 +34,7 @@ def weighted_sample(rows: DataFrame, key: str, source: str, subset: dict[str, fl
     weights = source_weights(rows, source, subset)
     n = weights.agg(F.max("n_samples")).first()[0] or 0
     keyed = rows.join(F.broadcast(weights.select(source, "weight")), source).withColumn("sample_key", F.round(sampling_key(F.col("weight"), seed, epoch, F.col(key)), 9))
-    return keyed.orderBy("sample_key", key).limit(n).drop("weight")
+    return global_rank(keyed.drop("weight"), [F.col("sample_key"), F.col(key)], "_rn").filter(F.col("_rn") <= n).drop("_rn")
 
 
 def exact_sample(rows: DataFrame, key: str, source: str, subset: dict[str, float], seed: object, epoch: int) -> DataFrame:

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxtable.functions.text import unescape
+
 ORDER = ["turn", "pos"]
+#: Tags in a turn.
+TAGS = ("Turn", "Sync", "Who", "Event", "Comment")
 
 
 def trs_tokens(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tags with their trailing text, and the speaker table, of annotation files (rec_id, value)."""
-    unescape = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
     attribute = lambda c, name: F.nullif(F.regexp_extract(c, rf'\b{name}="([^"]*)"', 1), F.lit(""))
     heads = files.select("rec_id", F.explode(F.regexp_extract_all("value", F.lit(r"<Speaker\b[^>]*>"), F.lit(0))).alias("tag"))
     speakers = heads.select("rec_id", attribute(F.col("tag"), "id").alias("speaker_id"), unescape(attribute(F.col("tag"), "name")).alias("speaker"))
     turns = files.select("rec_id", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<Turn\b.*?</Turn>"), F.lit(0))).alias("turn", "body"))
-    tags = turns.select("rec_id", "turn", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<(?:Turn|Sync|Who|Event|Comment)\b[^>]*>[^<]*"), F.lit(0))).alias("pos", "part"))
+    tags = turns.select("rec_id", "turn", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<\w+\b[^>]*>[^<]*"), F.lit(0))).alias("pos", "part"))
     head = F.regexp_extract("part", r"(?s)^<(\w+)[^>]*>", 0)
     tokens = tags.select(
         "rec_id", "turn", "pos", F.regexp_extract("part", r"^<(\w+)", 1).alias("tag"),
@@ -27,12 +30,21 @@ def trs_tokens(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tokens, speakers
 
 
+def markup_errors(tokens: DataFrame) -> DataFrame:
+    """(rec_id, turn, pos, reason): tags that annotation files mustn't have, and text in a turn of several
+    speakers before any Who. Such turns are quarantined: rebuild leaves them out."""
+    before = Window.partitionBy("rec_id", "turn").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    seen = tokens.withColumns({"_who": F.last("nb", True).over(before), "_speakers": F.max("speakers").over(Window.partitionBy("rec_id", "turn"))})
+    reason = F.when(~F.col("tag").isin(*TAGS), F.concat(F.lit("unknown tag "), "tag")).when((F.size("_speakers") > 1) & F.col("_who").isNull() & (F.col("text") != ""), F.lit("text before Who"))
+    return seen.withColumn("reason", reason).filter("reason is not null").select("rec_id", *ORDER, "reason")
+
+
 def rebuild(tokens: DataFrame, speakers: DataFrame) -> DataFrame:
     """Segments (rec_id, turn, pos, speaker, start, end, text, overlap) from tags in order.
 
     The time is that of the last Sync, the end that of the next, the speaker the last Who's. Turns
-    without speaker, with a repeated speaker, or with a Who beyond their speakers are left out, and
-    so are segments that end no later than they start.
+    without speaker, with a repeated speaker, with a Who beyond their speakers, or that markup_errors
+    lists are left out, and so are segments that end no later than they start.
     """
     turn = Window.partitionBy("rec_id", "turn")
     before = turn.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -41,10 +53,12 @@ def rebuild(tokens: DataFrame, speakers: DataFrame) -> DataFrame:
         {
             "speakers": F.max("speakers").over(turn), "turn_end": F.max("turn_end").over(turn), "most": F.max("nb").over(turn),
             "start": F.coalesce(F.last("time", True).over(before), F.max("turn_start").over(turn)),
-            "who": F.coalesce(F.last("nb", True).over(before), F.lit(1)), "end": F.first("time", True).over(after),
+            "named": F.last("nb", True).over(before), "end": F.first("time", True).over(after),
         }
-    ).withColumn("end", F.coalesce("end", "turn_end"))
-    good = told.filter(F.col("speakers").isNotNull() & (F.size(F.array_distinct("speakers")) == F.size("speakers")) & (F.coalesce("most", F.lit(1)) <= F.size("speakers")) & (F.col("text") != ""))
+    ).withColumns({"end": F.coalesce("end", "turn_end"), "who": F.coalesce("named", F.lit(1))})
+    odd = ~F.col("tag").isin(*TAGS) | ((F.size("speakers") > 1) & F.col("named").isNull() & (F.col("text") != ""))
+    told = told.withColumn("odd", F.max(odd).over(turn))
+    good = told.filter(~F.coalesce("odd", F.lit(False)) & F.col("speakers").isNotNull() & (F.size(F.array_distinct("speakers")) == F.size("speakers")) & (F.coalesce("most", F.lit(1)) <= F.size("speakers")) & (F.col("text") != ""))
     placed = good.withColumns({"speaker_id": F.col("speakers")[F.col("who") - 1], "overlap": F.size("speakers") > 1})
     ordered = turn.orderBy("pos")
     change = ~(F.col("speaker_id").eqNullSafe(F.lag("speaker_id").over(ordered)) & F.col("start").eqNullSafe(F.lag("start").over(ordered)))
@@ -61,28 +75,33 @@ def merge(segments: DataFrame, max_length: float = 10.0, across_overlap: bool =
     """Join segments that follow each other without a gap, as long as the whole is no longer than max_length.
 
     Segments join only within one speaker and one overlap flag; with across_overlap only within one
-    speaker, and joined segments count as overlapping. The cap depends on where the merged segment
-    began, so each speaker's segments of a recording are folded in order.
+    speaker, and joined segments count as overlapping. A gap ends every merged segment, so runs without
+    gaps are found by a window. The cap depends on where a merged segment began: each run is folded in
+    order to the places where merged segments begin, and cut there.
     """
     keys = ["rec_id", "speaker"] + ([] if across_overlap else ["overlap"])
-    item = F.struct("turn", "pos", "start", "end", "text", *([F.col("overlap")] if across_overlap else []))
-    if across_overlap:
-        item = F.struct("start", "turn", "pos", "end", "text", "overlap")
-    kind = "array<struct<turn:int,pos:int,start:double,end:double,text:string,overlap:boolean>>"
-
-    def entry(x: Column) -> Column:
-        return F.struct(x["turn"].cast("int").alias("turn"), x["pos"].cast("int").alias("pos"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), (x["overlap"] if across_overlap else F.lit(False)).alias("overlap"))
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (last["end"] == x["start"]) & (x["end"] - last["start"] <= max_length)
-        joined = F.struct(last["turn"].alias("turn"), last["pos"].alias("pos"), last["start"].alias("start"), x["end"].alias("end"), F.concat_ws(" ", last["text"], x["text"]).alias("text"), F.lit(across_overlap).alias("overlap"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(entry(x))))
-
-    folded = segments.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast(kind), step).alias("merged"))
-    out = folded.select(*keys, F.explode("merged").alias("m"))
-    overlap = F.col("m.overlap") if across_overlap else F.col("overlap")
-    return out.select("rec_id", F.col("m.turn").alias("turn"), F.col("m.pos").alias("pos"), "speaker", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.text").alias("text"), overlap.alias("overlap"))
+    order = ["start", "turn", "pos"] if across_overlap else ["turn", "pos"]
+    own = Window.partitionBy(*keys).orderBy(*order)
+    gap = F.coalesce(F.lag("end").over(own) != F.col("start"), F.lit(True))
+    runs = segments.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct(*order, *[c for c in ("turn", "pos", "start", "end", "text") if c not in order], F.col("overlap").alias("flag"))
+    kind = "struct<n:int,begin:double,cuts:array<int>>"
+
+    def step(a: Column, x: Column) -> Column:
+        fits = (a["n"] > 0) & (x["end"] - a["begin"] <= max_length)
+        cuts = F.when(fits, a["cuts"]).otherwise(F.concat(a["cuts"], F.array(a["n"] + 1)))
+        return F.struct((a["n"] + 1).alias("n"), F.when(fits, a["begin"]).otherwise(x["start"]).alias("begin"), cuts.alias("cuts")).cast(kind)
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("begin"), F.array().cast("array<int>").alias("cuts")).cast(kind)
+    folded = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("cuts", F.aggregate("items", start, step)["cuts"])
+    ends = F.concat(F.slice("cuts", 2, F.size("cuts")), F.array(F.size("items") + 1))
+    part = folded.select(*keys, "items", F.explode(F.arrays_zip("cuts", ends.alias("ends"))).alias("c")).select(*keys, F.slice("items", F.col("c.cuts"), F.col("c.ends") - F.col("c.cuts")).alias("m"))
+    first, last = F.element_at("m", 1), F.element_at("m", -1)
+    overlap = F.when(F.size("m") > 1, True).otherwise(first["flag"]) if across_overlap else F.col("overlap")
+    return part.select(
+        "rec_id", first["turn"].alias("turn"), first["pos"].alias("pos"), "speaker", first["start"].alias("start"), last["end"].alias("end"),
+        F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("text"), overlap.alias("overlap"),
+    )
 
 
 def violations(segments: DataFrame, max_length: float = 10.0, merged: bool = True) -> DataFrame:
