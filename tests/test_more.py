@@ -104,3 +104,112 @@ def test_example_errors(spark):
     pairs = spark.createDataFrame([(1, "A B C", "A C"), (2, "A", "A"), (3, "X", "Y")], "id int, ref string, hyp string")
     out = errors.example_errors(pairs, spark.createDataFrame([(1,), (2,)], "id int"), "id").collect()
     assert {(r.id, round(r.wer, 3)) for r in out} == {(1, 33.333), (2, 0.0)} and distance("abc", "ac") == 1
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from voxtable.operators import graphs
+
+    monkeypatch.setattr(graphs, "HUB", 10)
+    edges = [(0, i) for i in range(1, 60)] + [(i, 1000 + i) for i in range(1, 60)] + [(5000, 5001)]
+    out = graphs.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert {r.node: r.component for r in out} == {n: 5000 if n >= 5000 else 0 for e in edges for n in e}
+
+
+def one_by_one(room, size, items):
+    room, out = list(room), [0] * len(room)
+    for _ in range(items):
+        k = max(range(len(room)), key=lambda k: (room[k], -k))
+        room[k] -= size
+        out[k] += 1
+    return out
+
+
+def test_deal_is_the_greedy_choice():
+    from voxtable.operators.splits import deal, plan_bins
+
+    rnd = random.Random(8)
+    for _ in range(500):
+        room, size, items = [rnd.randint(-5, 40) for _ in range(3)], rnd.randint(1, 6), rnd.randint(1, 40)
+        assert deal(room, size, items) == one_by_one(room, size, items)
+    assert plan_bins([(9, 1), (1, 2)], [8, 1, 1])[0] == [(9, 0, 1, 0), (1, 0, 1, 1), (1, 1, 2, 2)]
+
+
+def test_stratified_split(spark):
+    from voxtable.operators import splits
+
+    recs = spark.createDataFrame([(f"r{i}", "xy"[i % 2]) for i in range(100)], "rec_id string, category string")
+    comps = spark.createDataFrame([(f"r{i}", f"c{i // 4 if i < 40 else i}") for i in range(100)], "rec_id string, component string")
+    out = splits.stratified_split(recs, comps)
+    assert out.count() == 100 and splits.leaks(out, "component").count() == 0
+    per = {(r.category, r.split): r["count"] for r in out.groupBy("category", "split").count().collect()}
+    assert len(per) == 6 and all(n >= 3 for n in per.values())
+
+
+def test_filters_and_joins(spark):
+    import pytest
+
+    from voxtable.operators import corpus, joins, splits
+
+    rows = spark.createDataFrame([("<NA>", 1.0), (" <NA> ", 0.005), ("\n", None), (None, 0.01), ("bon", 5.0)], "t string, d double")
+    assert [r.t for r in rows.filter(corpus.has_text(F.col("t"))).collect()] == ["bon"]
+    assert [r.t for r in rows.filter(corpus.has_text(F.col("t"), True)).collect()] == [" <NA> ", "\n", "bon"]
+    assert [r.d for r in rows.filter(corpus.long_enough(F.col("d"))).collect()] == [1.0, 0.01, 5.0]
+    names = joins.role_speakers(spark.createDataFrame([("r", "Dr", "Ann-Bob")], "rec_id string, doctor string, patients string"))
+    assert {r.role: r.speaker for r in names.collect()} == {"medecin": "Dr", "patient_1": "Ann", "patient_2": "Bob", "patient": "Ann", "appelant": "Ann"}
+    turns = spark.createDataFrame([("r", "patient_2", 0.0, 2.0), ("r", "inintelligible", 2.0, 3.0), ("r", "medecin", 3.0, 9.0)], "rec_id string, role string, start double, end double")
+    known = corpus.known_roles(turns, "role")
+    named = joins.named_turns(known, names).withColumn("turn_no", F.monotonically_increasing_id())
+    assert sorted(r.speaker for r in named.collect()) == ["Bob", "Dr"]
+    with pytest.raises(Exception, match="no speaker for role"):
+        joins.named_turns(turns, names).collect()
+    utts = spark.createDataFrame([("r", "u1", 0.5, 1.0), ("r", "u2", 4.0, 5.0), ("r", "u3", 5.0, 6.0)], "rec_id string, utt_id string, start double, end double")
+    found = joins.first_overlap(utts, named)
+    assert {r.speaker: r.ids for r in splits.ids_by_speaker(joins.must_overlap(found)).collect()} == {"Bob": ["u1"], "Dr": ["u2", "u3"]}
+    with pytest.raises(Exception, match="no speaker overlaps"):
+        joins.must_overlap(joins.first_overlap(utts.limit(1), named.filter("speaker = 'Dr'"))).collect()
+    lists = spark.createDataFrame([("u1", "train"), ("u3", "dev")], "utt_id string, split string")
+    assert [r.utt_id for r in splits.of_split(utts, lists, "utt_id", "dev").collect()] == ["u3"]
+    assert {(r.utt_id, r.split) for r in splits.of_split(utts, lists, "utt_id").collect()} == {("u1", "train"), ("u3", "dev")}
+    assert splits.attach_split(utts, spark.createDataFrame([("r", "dev")], "rec_id string, split string")).filter("split = 'dev'").count() == 3
+    assert [r.rec_id for r in corpus.least_speakers(known.withColumnRenamed("role", "speaker"), 3).collect()] == ["r"]
+    docs = spark.range(200).select(F.col("id").alias("k"))
+    parts = {r["split"]: r["count"] for r in splits.document_split(docs, "k", 0.5).groupBy("split").count().collect()}
+    assert parts == {"train": 90, "dev": 5, "test": 5}
+
+
+def test_trial_store_resumes(spark, tmp_path):
+    from voxtable.operators import trials
+
+    ran = []
+    tried = trials.grid({"a": trials.steps(0.1, 0.3, 0.1), "b": [1.0]}, {"a": 0.5, "b": 1.5})
+    assert len(tried) == 4 and tried[0] == {"a": 0.5, "b": 1.5}
+    run = lambda p: ran.append(p) or abs(p["a"] - 0.2)
+    trials.resume(spark, str(tmp_path / "store"), "s", tried[:2], run)
+    out = trials.resume(spark, str(tmp_path / "store"), "s", tried, run)
+    assert len(ran) == 4 and out.count() == 4
+    best = trials.best_trial(out).first()
+    assert best.params == {"a": 0.2, "b": 1.0} and best.trial == 2
+
+
+def test_wave_with_other_chunks(spark, tmp_path):
+    import struct
+
+    from voxtable.sources import readers
+
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 16000, 64000, 4, 16)
+    body = b"WAVE" + b"LIST" + struct.pack("<I", 5) + b"abcde\0" + fmt + b"data" + struct.pack("<I", 400) + b"\0" * 400
+    (tmp_path / "b.wav").write_bytes(b"RIFF" + struct.pack("<I", len(body)) + body)
+    r = readers.wave_headers(spark, str(tmp_path / "b.wav")).first()
+    assert (r.rate, r.frames, r.duration) == (16000, 100, 100 / 16000)
+    (tmp_path / "c.wav").write_bytes(b"RIFF" + struct.pack("<I", 12) + b"WAVE" + b"LIST" + struct.pack("<I", 0))
+    import pytest
+
+    with pytest.raises(Exception, match="no format or data"):
+        readers.wave_headers(spark, str(tmp_path / "c.wav")).collect()
+
+
+def test_film_files(spark):
+    from voxtable.operators import subtitles
+
+    rows = [("x/fr/1934/7/a.xml",), ("x/fr/1935/7/a.xml",), ("x/fr/1935/7/b.xml",), ("x/fr/2001/9/c.xml",), ("odd",)]
+    assert sorted(r.path for r in subtitles.film_files(spark.createDataFrame(rows, "path string")).collect()) == ["x/fr/1935/7/b.xml", "x/fr/2001/9/c.xml"]

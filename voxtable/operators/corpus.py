@@ -15,6 +15,31 @@ def category_of(name: Column) -> Column:
     return F.element_at(F.split(name, "_"), 2)
 
 
+MISSING = "<NA>"
+
+
+def has_text(text: Column, exact: bool = False) -> Column:
+    """Whether an utterance has a text: not null and, as written, not <NA>; unless exact, <NA> or nothing
+    between white space doesn't count either."""
+    stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.coalesce(text != MISSING if exact else ~stripped.isin(MISSING, ""), F.lit(False))
+
+
+def long_enough(duration: Column, least: float = 0.01) -> Column:
+    """Whether a duration is known and at least ``least`` seconds."""
+    return F.coalesce(duration >= least, F.lit(False))
+
+
+def known_roles(turns: DataFrame, role: str = "speaker", unknown: str = "inintelligible") -> DataFrame:
+    """Turns but for those that nobody could be named for."""
+    return turns.filter(F.coalesce(F.col(role) != unknown, F.lit(True)))
+
+
+def least_speakers(segments: DataFrame, least: int = 2) -> DataFrame:
+    """(rec_id, speakers) of recordings with fewer than ``least`` distinct speakers: those that a corpus mustn't have."""
+    return segments.groupBy("rec_id").agg(F.countDistinct("speaker").alias("speakers")).filter(F.col("speakers") < least)
+
+
 def recording_summary(segments: DataFrame, least_speakers: int = 2) -> DataFrame:
     """Per recording (rec_id, category, duration, nb_speakers) and, with rec_id TOTAL, over all that are left.
 
@@ -37,6 +62,16 @@ def sample_offsets(start_ms: Column, end_ms: Column, rate: int) -> list[Column]:
 MANIFEST = ["ID", "text", "source", "duration", "start", "stop", "wav_file", "n_tokens"]
 
 
+def utterance_id(source: str, *parts: Column | str) -> Column:
+    """Ids of a source's utterances: its name and the parts, joined by _."""
+    return F.concat_ws("_", F.lit(source), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def clip_id(path: Column) -> Column:
+    """The part of a clip's file name behind its last _, without extension."""
+    return F.element_at(F.split(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), "_"), -1)
+
+
 def manifest(rows: DataFrame, source: str, text: Column, utterance: Column, **columns: Column) -> DataFrame:
     """Manifest rows; columns that a source doesn't have are null, and -1 offsets stand for whole files."""
     types = {"duration": "double", "start": "long", "stop": "long", "wav_file": "string", "n_tokens": "int"}

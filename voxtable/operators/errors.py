@@ -43,10 +43,15 @@ def error_rates(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "h
     return sums.agg(F.sum("word_errors").alias("word_errors"), F.sum("words").alias("words"), rate("word_errors", "words").alias("wer"), F.sum("char_errors").alias("char_errors"), F.sum("chars").alias("chars"), rate("char_errors", "chars").alias("cer"))
 
 
-def report_lines(rates: DataFrame, key: str) -> DataFrame:
-    """One text line for each group, the total first."""
-    name = F.coalesce(F.col(key).cast("string"), F.lit("TOTAL"))
-    return rates.select(F.col(key).isNotNull().cast("int").alias("rank"), F.format_string("%s WER %.1f%% CER %.1f%%", name, "wer", "cer").alias("value"))
+def report_lines(rates: DataFrame, key: str, dataset: str = "", model: str = "") -> DataFrame:
+    """(rank, value): a report's lines: the data set, the model, both rates over all, then a line for each group."""
+    total, group = F.col(key).isNull(), F.col(key).cast("string")
+    head = F.array(
+        F.struct(F.lit(0).alias("rank"), F.lit(f"DATASET: {dataset}").alias("value")), F.struct(F.lit(1).alias("rank"), F.lit(f"MODEL: {model}").alias("value")),
+        F.struct(F.lit(2).alias("rank"), F.format_string("WER: %.1f%%", "wer").alias("value")), F.struct(F.lit(3).alias("rank"), F.format_string("CER: %.1f%%", "cer").alias("value")),
+    )
+    line = F.array(F.struct(F.lit(4).alias("rank"), F.format_string("%s WER: %.1f%%   CER: %.1f%%", group, "wer", "cer").alias("value")))
+    return rates.select(F.explode(F.when(total, head).otherwise(line)).alias("x")).select("x.rank", "x.value")
 
 
 def example_errors(pairs: DataFrame, examples: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:

@@ -5,39 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.plans.storage import materialize
+from voxtable.plans.storage import forget, materialize
 
+#: Edges of a node from which on it counts as a hub, and parts that a hub's edges are dealt to.
+HUB, SALTS = 1_000, 64
 
-def _minimum(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with the least v of their u as m, and the stored table (u, m, degree) of the nodes.
 
-def _large_star(edges: DataFrame) -> DataFrame:
+    The least is found by an aggregation, whose first half runs before its shuffle. It meets the edges
+    by a join on u. The edges of hubs take a salt from v as well and spread over SALTS tasks, to each of
+    which the hub's one row goes; hubs are at most edges / HUB rows, broadcast by their measured size.
+    """
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "least")
+    hub = F.col("degree") >= HUB
+    hubs = least.filter(hub).select(F.col("u").alias("hub"))
+    if hubs.isEmpty():
+        return edges.join(least.select("u", "m"), "u"), least
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    marked = edges.join(hubs, F.col("u") == F.col("hub"), "left").withColumn("salt", F.when(F.col("hub").isNotNull(), salt).otherwise(-1))
+    parts = F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    return marked.join(least.select("u", "m", F.explode(parts).alias("salt")), ["u", "salt"]).select("u", "v", "m"), least
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _minimum(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    held, least = _with_least(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return held.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every node and its lower neighbours are tied to the least of those neighbours."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _minimum(down)
-    pairs = down.join(least, "u")
-    return pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    held, least = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    return held.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), least
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the least node that can be reached. Nodes may have any ordered type.
 
     Alternating large and small stars end after a logarithmic number of rounds, also on long chains.
-    Each round is an aggregation and a join on the edge table, written to shared storage; nodes with
-    very many edges are pre-aggregated and nothing is gathered by node. Null ends are left out.
+    Each star is an aggregation and a join on the edge table, written to shared storage. Null ends are left out.
     """
-    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna().filter("u <> v").distinct()
-    now, before = materialize(now, "edges"), None
+    now = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna().filter("u <> v").distinct(), "edges")
+    before = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        old = [now]
+        for star in (_large_star, _small_star):
+            out, least = star(now)
+            now = materialize(out, "edges")
+            old += [least, now]
+        for table in old[:-1]:
+            forget(table)
         mark = now.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
         if mark == before:
             break

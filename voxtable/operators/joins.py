@@ -17,6 +17,17 @@ def role_speakers(metadata: DataFrame) -> DataFrame:
     return doctor.unionByName(numbered).unionByName(named[0]).unionByName(named[1])
 
 
+def named_turns(turns: DataFrame, names: DataFrame) -> DataFrame:
+    """turns (rec_id, role, ...) with their speaker from names (rec_id, role, speaker); a role without a name is an error."""
+    held = turns.join(names, ["rec_id", "role"], "left")
+    return held.withColumn("speaker", F.coalesce("speaker", F.raise_error(F.concat(F.lit("no speaker for role "), F.coalesce("role", F.lit("null")), F.lit(" in "), F.col("rec_id").cast("string"))).cast("string")))
+
+
+def must_overlap(found: DataFrame) -> DataFrame:
+    """The result of first_overlap, where an utterance without a speaker is an error."""
+    return found.withColumn("speaker", F.coalesce("speaker", F.raise_error(F.concat(F.lit("no speaker overlaps utterance "), F.col("utt_id").cast("string"))).cast("string")))
+
+
 def first_overlap(utterances: DataFrame, turns: DataFrame, width: float = 30.0) -> DataFrame:
     """utterances (rec_id, utt_id, start, end) with the speaker of the first turn (rec_id, turn_no,
     start, end, speaker) that overlaps, bounds included; null where none does.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxtable.functions.text import hash_order
 from voxtable.operators.graphs import connected_components
+from voxtable.plans.storage import materialize
 
 NAMES = ("train", "dev", "test")
 
@@ -29,8 +32,12 @@ def ranked(rows: DataFrame, key: str, seed: object, group: list[str] | None = No
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     starts = counts.withColumns({"_before": F.coalesce(F.sum("_c").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_c").over(over)})
     within = held.withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", key)))
-    joined = within.join(starts.drop("_c"), [*group, "_b"])
-    return joined.withColumn("rn", F.col("_rank") + F.col("_before")).drop("_h", "_b", "_rank", "_before")
+    names = {c: f"_s{c}" for c in [*group, "_b"]}
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    joined = within.join(starts.drop("_c").withColumnsRenamed(names), same)
+    return joined.withColumn("rn", F.col("_rank") + F.col("_before")).drop("_h", "_b", "_rank", "_before", *names.values())
 
 
 def ratio_split(rows: DataFrame, key: str, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: object = 12354) -> DataFrame:
@@ -52,34 +59,98 @@ def recording_components(mentions: DataFrame) -> DataFrame:
     return found.select(F.substring("node", 2, 1 << 30).alias("rec_id"), F.substring("component", 2, 1 << 30).alias("component"))
 
 
-def stratified_split(recordings: DataFrame, components: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
+def deal(room: list[int], size: int, items: int) -> list[int]:
+    """How many of equal items go to each bin, if each goes to the bin with the most room left, the first of
+    those on a tie. That picks the greatest values of the falling series room - k * size of all bins, so
+    the value of the last pick is searched for instead of making the picks one by one."""
+    def above(v: int) -> list[int]:
+        return [max(0, -((v - r) // size)) if r > v else 0 for r in room]
+
+    low, high = min(room) - size * items - 1, max(room)  # above(low) is enough, above(high) is nothing
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(above(mid)) >= items else (low, mid)
+    out = above(high)
+    for k, r in enumerate(room):
+        if sum(out) < items and r >= high and (r - high) % size == 0:
+            out[k] += 1
+    return out
+
+
+def plan_bins(sizes: list[tuple[int, int]], targets: list[int]) -> tuple[list[tuple[int, int, int, int]], int]:
+    """(size, rank_from, rank_to, bin) for components given as (size, how many), largest first, and the objective.
+
+    The last three components are placed one by one: as long as there are three at all, a bin that is
+    still empty gets one before they run out.
+    """
+    total = sum(n for _, n in sizes)
+    room, used, out, left = list(targets), [0] * len(targets), [], total
+    for size, n in sorted(sizes, reverse=True):
+        rank = 0
+        many = min(n, max(left - 3, 0))
+        for k, c in enumerate(deal(room, size, many) if many else []):
+            if c:
+                out.append((size, rank, rank + c, k))
+                rank, used[k], room[k] = rank + c, used[k] + c, room[k] - c * size
+        left -= many
+        for _ in range(n - many):
+            empty = [k for k, u in enumerate(used) if not u]
+            among = empty if total >= 3 and left <= len(empty) else range(len(room))
+            k = max(among, key=lambda k: (room[k], -k))
+            out.append((size, rank, rank + 1, k))
+            rank, used[k], room[k], left = rank + 1, used[k] + 1, room[k] - size, left - 1
+    return out, sum(r * r for r in room)
+
+
+def stratified_split(recordings: DataFrame, components: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: object = 12354) -> DataFrame:
     """(rec_id, component, category, split, objective): whole components go to one split, category by category.
 
-    A component's category is its most frequent one. Largest first, components go to the split with
-    the largest remaining target; with three or more components no split stays empty. The components
-    of one category are folded in order, so there must be few enough for one row.
+    A component's category is its most frequent one. Largest first, components go to the split with the
+    largest remaining target; with three or more components no split stays empty. The plan is made over
+    counts of equal sizes, of which a category of n recordings has at most sqrt(2n); components take
+    their places by joining on their rank, in hash order, among those of their category and size.
     """
     _ratios(ratios)
     sized = recordings.join(components, "rec_id").groupBy("component").agg(F.count("*").alias("size"), F.mode("category", True).alias("category"))
-    per = sized.groupBy("category").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("size"), "component"))).alias("items"), F.sum("size").alias("n"))
-    targets = [F.ceil(F.col("n") * r).cast("double") for r in ratios]
-    kind = "struct<w:array<double>,c:array<int>,i:int,out:array<struct<component:string,bin:int>>>"
-    start = F.struct(F.array(*[F.lit(0.0)] * 3).alias("w"), F.array(*[F.lit(0)] * 3).alias("c"), F.lit(0).alias("i"), F.array().cast("array<struct<component:string,bin:int>>").alias("out")).cast(kind)
-    count = F.size("items")
-
-    def step(a: Column, x: Column) -> Column:
-        empty = F.size(F.filter(a["c"], lambda k: k == 0))
-        force = (count >= 3) & (count - a["i"] <= empty)
-        room = [F.when(force & (a["c"][k] > 0), F.lit(-1e18)).otherwise(t - a["w"][k]) for k, t in enumerate(targets)]
-        best = F.when((room[0] >= room[1]) & (room[0] >= room[2]), 0).when(room[1] >= room[2], 1).otherwise(2)
-        w = F.transform(a["w"], lambda v, k: F.when(k == best, v - x["size"]).otherwise(v))
-        c = F.transform(a["c"], lambda v, k: F.when(k == best, v + 1).otherwise(v))
-        return F.struct(w.alias("w"), c.alias("c"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(F.struct(x["component"].alias("component"), best.alias("bin")))).alias("out")).cast(kind)
-
-    done = per.select("category", F.aggregate("items", start, step).alias("a"), *[t.alias(f"t{k}") for k, t in enumerate(targets)])
-    objective = sum((F.col(f"t{k}") - F.col("a.w")[k]) ** 2 for k in range(3))
-    placed = done.select("category", objective.alias("objective"), F.explode("a.out").alias("o")).select("category", "objective", "o.component", F.element_at(F.array(*map(F.lit, NAMES)), F.col("o.bin") + 1).alias("split"))
-    return components.join(placed, "component").select("rec_id", "component", "category", "split", "objective")
+    sized = materialize(sized, "components")
+    counts: dict[str | None, list[tuple[int, int]]] = {}
+    for r in sized.groupBy("category", "size").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["category"], []).append((r["size"], r["n"]))
+    runs = []
+    for category, sizes in counts.items():
+        recs = sum(size * n for size, n in sizes)
+        plan, objective = plan_bins(sizes, [math.ceil(recs * r) for r in ratios])
+        runs += [(category, size, low, high, NAMES[k], float(objective)) for size, low, high, k in plan]
+    spark = recordings.sparkSession
+    plan = F.broadcast(spark.createDataFrame(runs, "category string, size long, low long, high long, split string, objective double"))  # bounded by the numbers of sizes
+    placed = ranked(sized, "component", seed, ["category", "size"]).alias("c").join(
+        plan.alias("p"), F.col("c.category").eqNullSafe(F.col("p.category")) & (F.col("c.size") == F.col("p.size")) & (F.col("rn") > F.col("low")) & (F.col("rn") <= F.col("high"))
+    )
+    return components.join(placed.select("component", "c.category", "split", "objective"), "component").select("rec_id", "component", "category", "split", "objective")
+
+
+def document_split(documents: DataFrame, key: str, subset: float = 1.0, ratios: tuple[float, float, float] = (0.9, 0.05, 0.05), seed: object = 0) -> DataFrame:
+    """documents with split, over the first int(subset * n) of them in the hash order."""
+    kept = ranked(documents, key, f"{seed}|subset").filter(F.col("rn") <= F.floor(F.col("n") * subset)).drop("rn", "n") if subset < 1 else documents
+    return ratio_split(kept, key, ratios, seed)
+
+
+def of_split(utterances: DataFrame, splits: DataFrame, key: str, split: str | None = None) -> DataFrame:
+    """The utterances that a split lists: those of one split, or those of any, with the split's name."""
+    if split is not None:
+        return utterances.join(splits.filter(F.col("split") == split).select(key), key, "left_semi")
+    return utterances.join(splits.select(key, "split").distinct(), key)
+
+
+def attach_split(segments: DataFrame, splits: DataFrame, key: str = "rec_id") -> DataFrame:
+    """Segments with the split of their recording; recordings without one go."""
+    return segments.join(splits.select(key, "split"), key)
+
+
+def ids_by_speaker(utterances: DataFrame, speaker: str = "speaker", key: str = "utt_id", group: list[str] | None = None) -> DataFrame:
+    """(speaker, [group], ids): a speaker's utterance ids in order, within a recording where ``group`` names one.
+    A speaker's ids are one array, so group by recording where a speaker may have very many."""
+    return utterances.groupBy(speaker, *(group or [])).agg(F.array_sort(F.collect_list(key)).alias("ids"))
 
 
 def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -88,10 +159,11 @@ def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
 
 
 def describe_split(recordings: DataFrame) -> DataFrame:
-    """Per split: recordings, total and mean duration, mentions of speakers, most speakers, categories with counts.
+    """Per split and, as TOTAL, over all: recordings, total and mean duration, mentions of speakers, most speakers, categories with counts.
     recordings: split, category, duration, nb_speakers."""
     per = recordings.groupBy("split", "category").agg(F.count("*").alias("n"), F.sum("duration").alias("d"), F.sum("nb_speakers").alias("s"), F.max("nb_speakers").alias("m"))
-    return per.groupBy("split").agg(
+    both = per.unionByName(per.groupBy("category").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("s").alias("s"), F.max("m").alias("m")).withColumn("split", F.lit("TOTAL")))
+    return both.groupBy("split").agg(
         F.sum("n").alias("recordings"), F.sum("d").alias("duration"), (F.sum("d") / F.sum("n")).alias("mean_duration"), F.sum("s").alias("speakers"), F.max("m").alias("most_speakers"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "n"))), lambda x: F.concat_ws(":", x["category"], x["n"].cast("string"))), ",").alias("categories"),
     )

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from voxtable.functions.text import replace_all
 
+#: Signs of English and of broken encoding, and words of medical texts.
+ENGLISH, BROKEN, MEDICAL = " and ", "Ã © ", "médecin|docteur"
 #: Parts of sentences that aren't speech, and stricter ones for a file's beginning and end.
 BLACKLIST = ["soustitr", "sous titr", " by ", "*", "--", "subs.fr", "sub-way", "seriessub", "titles", "free.fr", "hotmail.", "{", "}", " \\ ", " - - 0", "bitrate", "file size"]
 HEAD_TAIL = ["titr", "traduct", "adaptrip", "sub", "@", " at "]
@@ -27,6 +29,17 @@ def _listed(text: Column, parts: list[str]) -> Column:
     return out
 
 
+#: Fixed value: films from before this year have no spoken subtitles.
+MIN_YEAR = 1935
+
+
+def film_files(files: DataFrame, path: str = "path", least_year: int = MIN_YEAR) -> DataFrame:
+    """files with year and film, from .../year/film/file, of years from least_year on: the last file of each film."""
+    parts = F.split(path, "/")
+    held = files.withColumns({"year": F.try_element_at(parts, F.lit(-3)).try_cast("int"), "film": F.try_element_at(parts, F.lit(-2))}).filter(F.col("year") >= least_year)
+    return latest_files(held, ["year", "film"], path)
+
+
 def latest_files(files: DataFrame, group: list[str], name: str) -> DataFrame:
     """The row with the last name of each group, by a hash aggregation."""
     rest = [c for c in files.columns if c not in group]
@@ -45,9 +58,9 @@ def clean_sentences(sentences: DataFrame, medical_only: bool = False) -> DataFra
     up, down = doc.orderBy("sent_no"), doc.orderBy(F.desc("sent_no"))
     flagged = sentences.withColumns(
         {
-            "_english": F.sum(F.col("text").contains(" and ").cast("int")).over(doc),
-            "_broken": F.max(F.col("text").contains("Ã © ").cast("int")).over(doc),
-            "_medical": F.max(F.lower("text").rlike("médecin|docteur").cast("int")).over(doc),
+            "_english": F.sum(F.col("text").contains(ENGLISH).cast("int")).over(doc),
+            "_broken": F.max(F.col("text").contains(BROKEN).cast("int")).over(doc),
+            "_medical": F.max(F.lower("text").rlike(MEDICAL).cast("int")).over(doc),
             "_first": F.min("sent_no").over(doc),
             "_last": F.max("sent_no").over(doc),
         }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import product
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,3 +26,39 @@ def sweep(scored: DataFrame, name: str, cuts: list[float], score: str, truth: st
     one = scored.agg(F.count("*").alias("n"), *wrong)
     rows = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(float(c)).alias(name), F.col(f"e{i}").alias("errors")) for i, c in enumerate(cuts)])
     return one.select("n", F.explode(rows).alias("r")).select("r.trial", f"r.{name}", "r.errors", (F.col("r.errors") / F.col("n")).alias("value"))
+
+
+TRIAL = "study string, trial int, params map<string,double>, value double"
+
+
+def grid(ranges: dict[str, list[float]], first: dict[str, float] | None = None) -> list[dict[str, float]]:
+    """All combinations of the parameters' values, behind a first one with default values."""
+    every = [dict(zip(ranges, values)) for values in product(*ranges.values())]
+    return ([first] if first else []) + [p for p in every if p != first]
+
+
+def steps(low: float, high: float, step: float) -> list[float]:
+    """low, low + step, ... up to high."""
+    return [round(low + i * step, 10) for i in range(int((high - low) / step + 1e-9) + 1)]
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The trials of a store; none where there is no store yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return spark.createDataFrame([], TRIAL)
+    return spark.read.schema(TRIAL).parquet(path)
+
+
+def resume(spark: SparkSession, path: str, study: str, trials: list[dict[str, float]], run) -> DataFrame:
+    """Run those of the trials that the store at ``path`` lacks, and return the study's trials.
+
+    run(params) gives the value. Each trial is appended when it is done, so a study that was stopped goes on
+    where it was. Trials are jobs of their own, which may use the whole cluster.
+    """
+    done = {r[0] for r in read_store(spark, path).filter(F.col("study") == study).select("trial").collect()}
+    for number, params in enumerate(trials):
+        if number not in done:
+            row = (study, number, {k: float(v) for k, v in params.items()}, float(run(params)))
+            spark.createDataFrame([row], TRIAL).coalesce(1).write.mode("append").parquet(path)
+    return read_store(spark, path).filter(F.col("study") == study)

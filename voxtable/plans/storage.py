@@ -19,9 +19,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_folder(spark)}/voxtable-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: later jobs start from
     files that survive the loss of an executor, and never repeat the work that made them."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def forget(table: DataFrame) -> None:
+    """Delete the files of a table that materialize returned; no later plan may read it."""
+    if path := getattr(table, "_stored_at", None):
+        _delete(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once no result that is still to be computed needs them."""
+    _delete(spark, work_folder(spark))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtable.functions.text import unescape
+
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """(path, name, value): one row per text file."""
@@ -34,13 +36,7 @@ def subtitle_sentences(files: DataFrame, key: str = "name") -> DataFrame:
     sentences = files.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(r"(?s)<s\b[^>]*>(.*?)</s>"), F.lit(1))).alias("sent_no", "s"))
     children = F.regexp_extract_all("s", F.lit(r"(?s)<\w+\b[^>]*/>|<(\w+)\b[^>]*>.*?</\1>"), F.lit(0))
     held = F.filter(F.slice(children, 1, F.greatest(F.size(children) - 1, F.lit(0))), lambda c: c.rlike(r"^<w\b"))
-    return sentences.select(key, "sent_no", _unescape(F.array_join(F.transform(held, lambda c: F.regexp_extract(c, r"(?s)>([^<]*)<", 1)), " ")).alias("text"))
-
-
-def _unescape(c: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    return sentences.select(key, "sent_no", unescape(F.array_join(F.transform(held, lambda c: F.regexp_extract(c, r"(?s)>([^<]*)<", 1)), " ")).alias("text"))
 
 
 def clip_table(spark: SparkSession, path: str) -> DataFrame:
@@ -90,10 +86,33 @@ def manifest(spark: SparkSession, path: str, schema: str = MANIFEST_SCHEMA) -> D
     return spark.read.schema(schema).csv(path, header=True, nullValue="\u0000", emptyValue="", quote='"', escape='"', multiLine=True, enforceSchema=False)
 
 
-def wave_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, rate, frames, duration) of RIFF files with a plain 44-byte header, from its first bytes."""
-    def number(at: int, size: int) -> Column:
-        return F.conv(F.concat(*[F.hex(F.substring("content", at + i, 1)) for i in reversed(range(size))]), 16, 10).cast("long")
+def wave_headers(spark: SparkSession, path: str, chunks: int = 64) -> DataFrame:
+    """(path, rate, frames, duration) of RIFF files, from their fmt and data chunks, which may follow others.
+
+    A RIFF file without both among its first ``chunks`` chunks is an error; other files are left out.
+    """
+    content = F.col("content")
+
+    def number(at: Column, size: int) -> Column:
+        return F.conv(F.concat(*[F.hex(F.substring(content, at + i, F.lit(1))) for i in reversed(range(size))]), 16, 10).cast("long")
+
+    def word(at: Column) -> Column:
+        return F.decode(F.substring(content, at, F.lit(4)), "ISO-8859-1")
+
+    start = F.struct(F.lit(13).cast("long").alias("at"), F.lit(None).cast("long").alias("rate"), F.lit(None).cast("long").alias("align"), F.lit(None).cast("long").alias("bytes"))
+
+    def step(a: Column, _: Column) -> Column:
+        at = a["at"].cast("int")
+        size = number(at + 4, 4)
+        inside = a["bytes"].isNull() & (at + 8 <= F.length(content))
+        form, data = inside & (word(at) == "fmt "), inside & (word(at) == "data")
+        return F.struct(
+            F.when(inside, a["at"] + 8 + size + size % 2).otherwise(a["at"]).alias("at"), F.when(form, number(at + 12, 4)).otherwise(a["rate"]).alias("rate"),
+            F.when(form, number(at + 20, 2)).otherwise(a["align"]).alias("align"), F.when(data, size).otherwise(a["bytes"]).alias("bytes"),
+        )
 
-    files = spark.read.format("binaryFile").load(path).filter(F.substring("content", 1, 4) == F.lit(bytearray(b"RIFF")))
-    return files.select("path", number(25, 4).alias("rate"), (number(41, 4) / number(33, 2)).cast("long").alias("frames")).withColumn("duration", F.col("frames") / F.col("rate"))
+    files = spark.read.format("binaryFile").load(path).filter((F.substring("content", 1, 4) == F.lit(bytearray(b"RIFF"))) & (F.substring("content", 9, 4) == F.lit(bytearray(b"WAVE"))))
+    read = files.select("path", F.aggregate(F.sequence(F.lit(1), F.lit(chunks)), start, step).alias("h"))
+    whole = (F.col("h.rate") > 0) & (F.col("h.align") > 0) & F.col("h.bytes").isNotNull()
+    frames = F.when(F.coalesce(whole, F.lit(False)), F.floor(F.col("h.bytes") / F.col("h.align"))).otherwise(F.raise_error(F.concat(F.lit("no format or data in "), "path")).cast("long"))
+    return read.select("path", F.col("h.rate").alias("rate"), frames.cast("long").alias("frames")).withColumn("duration", F.col("frames") / F.col("rate"))

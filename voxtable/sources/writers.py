@@ -54,3 +54,20 @@ def list_lines(splits: DataFrame, key: str = "rec_id", debug: int | None = None)
 
 def best_parameters(best: DataFrame) -> DataFrame:
     return best.select("study", F.to_json("params").alias("value"))
+
+
+def write_lines(rows: DataFrame, path: str, value: str = "value", order: list[str] | None = None, mode: str = "ignore") -> None:
+    """Text files of one line a row. With ``order`` the files' names follow that order, and so do the lines in each."""
+    held = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    held.select(value).write.mode(mode).text(path)
+
+
+def language_model_lines(manifest: DataFrame) -> DataFrame:
+    """The texts of a manifest, one for each line of a language model's corpus; nulls go."""
+    return manifest.filter("text is not null").select(F.col("text").alias("value"))
+
+
+def write_summary(summary: DataFrame, path: str, mode: str = "ignore") -> None:
+    """Recordings in order with their total at the end, as one CSV file: there is one row for each recording."""
+    last = (F.col("rec_id") == "TOTAL").cast("int")
+    summary.repartition(1).sortWithinPartitions(last, "rec_id").write.mode(mode).csv(path, header=True)
