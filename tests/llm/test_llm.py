@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -114,8 +115,33 @@ def test_decontamination(spark, edge, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert decontamination.digests(edge, bench).count() == len(EDGE)
     assert decontamination.digests(empty, bench).count() == 0
-    near = decontamination.find(spark.createDataFrame([(1, "x b a c y")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string"), slop=1)
-    assert near.count() == 1
+
+
+def near_items(w, items, slop):
+    """Items with a window whose terms, as often as it has them, lie in some n + slop consecutive words."""
+    found = set()
+    for item, t in items:
+        x = decontamination_words((t or "").lower())
+        n = min(len(x), 10)
+        for k in range(len(x) - n + 1 if n else 0):
+            need = Counter(x[k : k + n])
+            if any(not need - Counter(w[s : s + n + slop]) for s in range(len(w))):
+                found.add(item)
+    return found
+
+
+def test_decontamination_by_proximity(spark):
+    rnd = random.Random(14)
+    words = [f"w{i}" for i in range(7)]
+    items = [(i, " ".join(rnd.choices(words, k=rnd.choice([1, 2, 3, 4, 12])))) for i in range(25)] + [(50, "a a b"), (51, "zz"), (52, "")]
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.choice([0, 3, 12, 40])))) for i in range(30)] + [(100, "x b a c y"), (101, "a q b a"), (102, "a q q q b a"), (103, None), (None, "a b a")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 1, 3):
+        got = {}
+        for r in decontamination.find(d, b, slop=slop).collect():
+            got.setdefault(r.doc_id, set()).add(int(r.item))
+        want = {i: f for i, t in docs if (f := near_items(decontamination_words(t or ""), items, slop))}
+        assert got == want, slop
 
 
 def decontamination_words(text):

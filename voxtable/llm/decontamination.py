@@ -1,16 +1,22 @@
-"""Benchmark decontamination by a distributed positional index of the training texts.
-
-The index holds postings (row, term, position, neighbouring words) of the rarest terms of the test
-windows. Term frequencies over all documents decide which term of each window is the rarest; the
-postings of that term, shifted by its place in the window, are the only places where the window can
-start, and the words next to the posting are intersected with the window's other terms, exactly for
-phrases and within a slop for proximity matches. Only DataFrame functions are used.
-
-Terms of the test set are taken in blocks of bounded size, each of which is broadcast and meets all
-documents, so no part of the work depends on the test set fitting anywhere.
-
-Defined results: null text has no words; repeated rows get a row each; an item without words is
-never found; an item shorter than a window is one window; other columns are ignored.
+"""Benchmark decontamination by a distributed positional inverted index of the training texts.
+
+1. One pass over the texts stores the index: a posting (doc_id, key, term, pos) for every place of a
+   term of the test set, and one for each text's end, whose place is the number of words.
+2. The postings' counts say which of a test window's terms are rarest. The rarest term's postings, moved
+   by its place in the window, are where the window may start.
+3. These starts are intersected with the second rarest term's moved postings, and then with those of the
+   other terms, read only for the rows that are left. A start that is in all lists is an exact match.
+4. A proximity match has all terms of a window, as often as the window has them, in any order within its
+   length and a slop. Postings of its terms around the rarest one are gathered and counted.
+
+Only DataFrame functions are used. Tables about the test set are broadcast up to a size that is checked
+and joined by shuffles beyond it. Joins on postings are by (key, pos, term), so no term or text is hot.
+
+Defined results: null and empty texts have no words; very long texts are indexed like others, posting by
+posting; repeated rows get a row each; rows with a null id are searched like others; an item without
+words is never found; an item shorter than a window is one window; of equally rare terms the first in the
+window leads; an empty table gives no rows, and an empty test set no hits; other columns, whatever their
+names, are ignored (contamination) or kept (drop_contaminated).
 """
 
 from __future__ import annotations
@@ -20,14 +26,16 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.llm.names import broadcast_if_small, fresh
 from voxtable.plans.storage import materialize
 
 #: A word before folding: what the folded text has between ASCII characters other than a-z and 0-9.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows in a block that is broadcast: about 300 bytes each.
-BLOCK = 50_000
-PART = 64
+#: Stands for a text's end; no word has a space.
+END = " "
+#: Rows and characters of tables about the test set that may be broadcast, and of keys of matching rows.
+TERM_ROWS, TERM_CHARACTERS, WINDOW_ROWS, KEY_ROWS = 200_000, 4_000_000, 50_000, 500_000
 
 
 def words(text: Column) -> Column:
@@ -39,111 +47,136 @@ def fold(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows (window_id, phrase, terms, n, items): phrase is the folded words joined by spaces."""
-    item = items.select(F.col(id_col).alias("item"), words(fold(F.col(text_col))).alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
-    window = item.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("terms"))
-    return window.groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items")).select(
-        F.xxhash64("terms").alias("window_id"), F.array_join("terms", " ").alias("phrase"), "terms", F.size("terms").alias("n"), "items"
-    )
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), words(F.col(text_col)).alias("w"))
-
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells a row from rows with another id or text."""
+    return F.xxhash64(id_col, text_col)
 
-def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """How often each of ``terms`` (term; a bounded block) occurs in all documents. Terms are compared
-    in full lower case here, which can only join more words to a term."""
-    seen = docs.select(F.explode(words(F.col(text_col))).alias("word")).select(F.lower("word").alias("term"))
-    return seen.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
 
-
-def anchors(window: DataFrame, df: DataFrame) -> DataFrame:
-    """(term, cands): for each window its rarest term; windows with a term that never occurs are left out."""
-    terms = window.select("window_id", "phrase", "n", "items", F.posexplode("terms").alias("at", "word")).withColumn("term", F.lower("word"))
-    known = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    per = known.groupBy("window_id").agg(F.min("df").alias("least"), F.min_by("term", F.struct("df", "at")).alias("term"), F.min_by("at", F.struct("df", "at")).alias("at"), F.first("phrase").alias("phrase"), F.first("n").alias("n"), F.first("items").alias("items"))
-    return per.filter("least > 0").groupBy("term").agg(F.collect_list(F.struct("at", "n", "phrase", "items")).alias("cands"))
+def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (window_id, n, terms) and the items that each stands in (window_id, item)."""
+    item = items.select(F.col(id_col).cast("string").alias("item"), words(fold(F.col(text_col))).alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
+    each = item.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("terms"))
+    each = materialize(each.select(F.xxhash64("terms").alias("window_id"), "terms", "item"), "windows")
+    return each.groupBy("window_id").agg(F.size(F.first("terms")).alias("n"), F.first("terms").alias("terms")), each.select("window_id", "item").distinct()
 
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Positional postings of ``terms`` (term and any further columns): doc_id, row_hash, pos, and the
-    folded words from ``first`` on, up to ``reach`` words on either side of the term.
+def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored postings (doc_id, key, term, pos) of ``terms`` (word) in one pass; term is a hash, 0 at a text's end.
 
-    A document is dealt in parts of PART words that carry ``reach`` more on either side, so no row holds
-    a whole document; the neighbours are cut out behind the join, for the wanted terms alone.
+    Words meet the terms in full lower case first, which can only join more to a term, as that is quicker
+    than to fold every word.
     """
-    begin = lambda i: F.greatest(i - reach, F.lit(0))
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size("w") - 1, F.lit(PART)),
-        lambda i: F.struct(i.alias("own"), begin(i).alias("first"), F.slice("w", begin(i) + 1, i - begin(i) + PART + reach).alias("words")),
-    )
-    parts = _keyed(docs, id_col, text_col).filter(F.size("w") > 0).select("doc_id", "row_hash", F.explode(parts).alias("part")).select("doc_id", "row_hash", "part.*")
-    tokens = parts.select("doc_id", "row_hash", "own", F.col("first").alias("base"), "words", F.posexplode(F.slice("words", F.col("own") - F.col("first") + 1, PART)).alias("at_own", "word"))
-    wanted = tokens.withColumn("term", F.lower("word")).join(F.broadcast(terms), "term").withColumn("pos", F.col("own") + F.col("at_own"))
-    first = F.greatest(F.col("pos") - reach, F.col("base"))
-    near = F.slice("words", first - F.col("base") + 1, F.col("pos") - first + reach + 1)
-    return wanted.select("doc_id", "row_hash", "pos", first.alias("first"), F.split(fold(F.array_join(near, " ")), " ").alias("near"), *terms.columns)
-
-
-def exact_hits(index: DataFrame) -> DataFrame:
-    """Postings whose shifted neighbours equal a candidate window: starts, lengths and items of the windows."""
-    start = lambda c: F.col("pos") - c["at"]
-    same = lambda c: (start(c) >= F.col("first")) & (F.array_join(F.slice("near", F.greatest(start(c) - F.col("first"), F.lit(0)) + 1, c["n"]), " ") == c["phrase"])
-    hits = F.transform(F.filter("cands", same), lambda c: F.struct(start(c).alias("start"), c["n"].alias("n"), c["items"].alias("items")))
-    return index.select("doc_id", "row_hash", hits.alias("hits")).filter(F.size("hits") > 0)
-
-
-def proximity_hits(index: DataFrame, slop: int) -> DataFrame:
-    """Postings with all terms of a candidate window, in any order, within n + slop words around the term."""
-    def near(c: Column) -> Column:
-        low = F.greatest(F.col("pos") - (c["n"] - 1 + slop), F.col("first"))
-        span = F.slice("near", low - F.col("first") + 1, 2 * (c["n"] - 1 + slop) + 1)
-        reach = F.transform(F.sequence(F.lit(1), F.greatest(F.size(span) - (c["n"] + slop) + 1, F.lit(1))), lambda i: F.slice(span, i, c["n"] + slop))
-        return F.exists(reach, lambda part: F.size(F.array_except(F.split(c["phrase"], " "), part)) == 0)
-
-    hits = F.transform(F.filter("cands", near), lambda c: F.struct((F.col("pos") - c["at"]).alias("start"), c["n"].alias("n"), c["items"].alias("items")))
-    return index.select("doc_id", "row_hash", hits.alias("hits")).filter(F.size("hits") > 0)
-
-
-def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Rows (doc_id, row_hash, hits) for every posting of a rarest term where windows of ``items`` match."""
-    all_windows = materialize(windows(items, size), "windows")
-    blocks = max(1, -(-all_windows.count() // block))
-    out = None
-    for k in range(blocks):
-        window = all_windows.filter(F.pmod(F.xxhash64("window_id"), F.lit(blocks)) == k)
-        terms = window.select(F.explode("terms").alias("term")).select(F.lower("term").alias("term")).distinct()
-        rare = materialize(anchors(window, term_frequencies(docs, terms, text_col)), "anchors")
-        index = postings(docs, rare, size - 1 + (slop or 0), id_col, text_col)
-        hits = exact_hits(index) if slop is None else proximity_hits(index, slop)
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_hash, n_words, n_hit, hit_items (sorted as strings) for every row of docs."""
-    hits = find(docs, items, size, None, id_col, text_col).groupBy("doc_id", "row_hash").agg(F.flatten(F.collect_set("hits")).alias("hits"))
-    places = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(h["items"], lambda i: i.cast("string"))))))
-    found = hits.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), ids.alias("hit_items"))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    return base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_row")), "left").select(
-        "doc_id", "row_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items")
-    )
-
-
-def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return contamination(docs, items).select(
-        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    ends = docs.sparkSession.createDataFrame([(END,)], "word string")
+    named = terms.select("word").distinct().union(ends).select("word", F.lower("word").alias("low"), F.when(F.col("word") == END, F.lit(0)).otherwise(F.xxhash64("word")).cast("long").alias("term"))
+    named = broadcast_if_small(materialize(named, "terms"), TERM_ROWS, TERM_CHARACTERS, "word")
+    source = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.concat(words(F.col(text_col)), F.array(F.lit(END))).alias("w"))
+    tokens = source.select("doc_id", "key", F.posexplode("w").alias("pos", "token")).withColumn("low", F.lower("token"))
+    met = tokens.join(named, "low").filter((F.col("token") == F.col("word")) | (fold(F.col("token")) == F.col("word")))
+    return materialize(met.select("doc_id", "key", "term", "pos"), "postings")
+
+
+def ordered_windows(window: DataFrame, index: DataFrame) -> DataFrame:
+    """(window_id, n, ordered): each window's terms as (df, at, term), rarest first; windows with a term that never occurs go."""
+    df = index.filter("term <> 0").groupBy("term").agg(F.count("*").alias("df"))
+    terms = window.select("window_id", "n", F.posexplode("terms").alias("at", "word")).select("window_id", "n", "at", F.xxhash64("word").alias("term"))
+    known = terms.join(df, "term", "left").groupBy("window_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "term"))).alias("ordered"))
+    return materialize(known.filter(F.col("ordered")[0]["df"] > 0), "ordered")
+
+
+def _anchored(index: DataFrame, plan: DataFrame) -> DataFrame:
+    """Postings of rarest terms with the windows that they lead: key, pos, and the plan's columns with at."""
+    return index.filter("term <> 0").select("key", "term", "pos").join(plan.withColumns({"term": F.col("ordered")[0]["term"], "at": F.col("ordered")[0]["at"]}), "term").drop("term")
+
+
+def exact_matches(index: DataFrame, known: DataFrame) -> DataFrame:
+    """Stored table (key, start, n, window_id) of all places where a window occurs."""
+    plan = broadcast_if_small(known, WINDOW_ROWS)
+    starts = _anchored(index, plan).withColumn("start", F.col("pos") - F.col("at")).filter("start >= 0").select("key", "start", "window_id", "n", "ordered")
+    second = starts.filter("n > 1").select("*", (F.col("start") + F.col("ordered")[1]["at"]).alias("pos"), F.col("ordered")[1]["term"].alias("term"))
+    seconds = plan.filter("n > 1").select(F.col("ordered")[1]["term"].alias("term")).distinct()
+    seconds = broadcast_if_small(materialize(seconds, "seconds"), TERM_ROWS)
+    lists = index.select("key", "pos", "term")
+    met = second.join(lists.join(seconds, "term", "left_semi"), ["key", "pos", "term"], "left_semi").select("key", "start", "window_id", "n", "ordered")
+    met = materialize(met.unionByName(starts.filter("n = 1")).distinct(), "candidates")
+    # the other terms' lists are only read for rows that still have a start
+    keys = broadcast_if_small(materialize(met.filter("n > 2").select("key").distinct(), "keys"), KEY_ROWS)
+    rest = met.filter("n > 2").select("key", "start", "window_id", "n", F.explode(F.slice("ordered", F.lit(3), F.col("n") - 2)).alias("t")).select("key", "start", "window_id", "n", (F.col("start") + F.col("t.at")).alias("pos"), F.col("t.term").alias("term"))
+    there = rest.join(lists.join(keys, "key", "left_semi"), ["key", "pos", "term"], "left_semi").groupBy("key", "start", "window_id", "n").count().filter("count = n - 2")
+    return materialize(there.drop("count").unionByName(met.filter("n <= 2").drop("ordered")), "matches")
+
+
+def near_matches(index: DataFrame, known: DataFrame, slop: int) -> DataFrame:
+    """Stored table (key, pos, window_id): places of a window's rarest term in a stretch of n + slop words that
+    has all terms of the window as often as the window has them, in any order.
+
+    Postings around the rarest term meet it by (key, term, stretch number), so that no join is by text alone.
+    """
+    plan = broadcast_if_small(known, WINDOW_ROWS)
+    anchor = _anchored(index, plan).select("key", F.col("pos").alias("p"), "window_id", "n", "ordered")
+    far = F.col("n") - 1 + slop
+    widest = WINDOW + slop if (most := known.agg(F.max("n")).first()[0]) is None else most + slop
+    stretch = lambda c: F.floor(c / F.lit(widest)).cast("int")
+    wanted = anchor.filter("n > 1").select("key", "p", "window_id", "n", "ordered", F.explode(F.array_distinct(F.transform("ordered", lambda t: t["term"]))).alias("term"))
+    wanted = wanted.withColumn("part", F.explode(F.sequence(stretch(F.greatest(F.col("p") - far, F.lit(0))), stretch(F.col("p") + far))))
+    terms = broadcast_if_small(materialize(plan.select(F.explode("ordered").alias("t")).select("t.term").distinct(), "near_terms"), TERM_ROWS)
+    lists = index.join(terms, "term", "left_semi").select("key", "term", "pos", stretch(F.col("pos")).alias("part")).distinct()
+    found = wanted.join(lists, ["key", "term", "part"]).filter((F.col("pos") >= F.col("p") - far) & (F.col("pos") <= F.col("p") + far))
+    # at most 2 * (n + slop) places around one posting
+    around = found.groupBy("key", "p", "window_id", "n").agg(F.collect_set(F.struct("pos", "term")).alias("places"), F.first("ordered").alias("ordered"))
+
+    def complete(s: Column) -> Column:
+        inside = F.transform(F.filter("places", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + F.col("n") + slop)), lambda x: x["term"])
+        has = lambda term: F.size(F.filter(inside, lambda y: y == term)) >= F.size(F.filter("ordered", lambda t: t["term"] == term))
+        covers = (s["pos"] <= F.col("p")) & (F.col("p") < s["pos"] + F.col("n") + slop)
+        return covers & F.forall(F.transform("ordered", lambda t: t["term"]), has)
+
+    near = around.filter(F.exists("places", complete)).select("key", F.col("p").alias("pos"), "window_id")
+    return materialize(near.unionByName(anchor.filter("n = 1").select("key", F.col("p").alias("pos"), "window_id")).distinct(), "near")
+
+
+def _indexed(docs: DataFrame, items: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index of docs for the items' terms, the windows in order of their terms' counts, and the windows' items."""
+    window, members = windows(items, size)
+    window = materialize(window, "distinct_windows")
+    index = build_index(docs, window.select(F.explode("terms").alias("word")), id_col, text_col)
+    return index, ordered_windows(window, index), members
+
+
+def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, item, pos): exact matches by their start or, with a slop, proximity matches by their rarest term."""
+    index, known, members = _indexed(docs, items, size, id_col, text_col)
+    found = exact_matches(index, known).withColumnRenamed("start", "pos") if slop is None else near_matches(index, known, slop)
+    ids = index.filter("term = 0").select("doc_id", "key").distinct()
+    return found.join(members, "window_id").select("key", "item", "pos").distinct().join(ids, "key").select("doc_id", "key", "item", "pos")
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, n_words, n_hit, hit_items (sorted as strings) and, with a slop, n_near (items with
+    proximity matches) for every row of docs."""
+    index, known, members = _indexed(docs, items, size, id_col, text_col)
+    exact = exact_matches(index, known)
+    places = exact.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
+    found = exact.select("key", "window_id").distinct().join(members, "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
+    base = index.filter("term = 0").select("doc_id", "key", F.col("pos").cast("long").alias("n_words"))
+    out = base.join(places.join(found, "key"), "key", "left")
+    near = [F.lit(None).cast("long").alias("n_near")]
+    if slop is not None:
+        pairs = near_matches(index, known, slop).select("key", "window_id").distinct().join(members, "window_id")
+        out = out.join(pairs.groupBy("key").agg(F.countDistinct("item").alias("n_near")), "key", "left")
+        near = [F.coalesce("n_near", F.lit(0)).alias("n_near")]
+    return out.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"), *near)
+
+
+def digests(docs: DataFrame, items: DataFrame, slop: int = 2) -> DataFrame:
+    return contamination(docs, items, slop=slop).select(
+        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near"
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """docs without the rows that hold a window of an item. The keys of those rows are broadcast up to
-    broadcast_rows of them, and joined by a shuffle beyond that."""
-    hit = materialize(find(docs, items, size, None, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row")).distinct(), "contaminated")
-    right = F.broadcast(hit) if hit.count() <= broadcast_rows else hit
-    return docs.join(right, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_row")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, without the rows that hold a window of an item."""
+    index, known, _ = _indexed(docs, items, size, id_col, text_col)
+    name = fresh(docs.columns, "key")
+    hit = materialize(exact_matches(index, known).select(F.col("key").alias(name)).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(hit, KEY_ROWS), row_key(id_col, text_col) == F.col(name), "left_anti")

@@ -82,13 +82,19 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH fold AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i:i + 9] AS t, array_to_string(w[i:i + 9], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
 place AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM fold), (SELECT DISTINCT n FROM win) WHERE i + n - 1 <= len(w)),
 hit AS (SELECT r, i, n, item_id FROM place JOIN win USING (n, p)),
 word AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
-found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM fold LEFT JOIN word USING (r) LEFT JOIN found USING (r)
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r),
+term AS (SELECT x, count(*) AS df FROM (SELECT unnest(w) AS x FROM fold) GROUP BY x),
+lead AS (SELECT p, n, t, arg_min(x, df) AS x FROM (SELECT DISTINCT p, n, t, unnest(t) AS x FROM win) JOIN term USING (x) GROUP BY p, n, t),
+spot AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM fold),
+near AS (SELECT DISTINCT r, p FROM (SELECT r, p, n, t, w, i, unnest(range(greatest(i - n - 1, 1), i + 1)) AS s FROM spot JOIN lead ON x = w[i])
+    WHERE len(list_filter(t, lambda a: len(list_filter(w[s:s + n + 1], lambda b: b = a)) < len(list_filter(t, lambda b: b = a)))) = 0),
+close AS (SELECT r, count(DISTINCT item_id) AS n_near FROM near JOIN win USING (p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM fold LEFT JOIN word USING (r) LEFT JOIN found USING (r) LEFT JOIN close USING (r)
 """
 
 
