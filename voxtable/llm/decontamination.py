@@ -85,45 +85,65 @@ def ordered_windows(window: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _anchored(index: DataFrame, plan: DataFrame) -> DataFrame:
-    """Postings of rarest terms with the windows that they lead: key, pos, and the plan's columns with at."""
-    return index.filter("term <> 0").select("key", "term", "pos").join(plan.withColumns({"term": F.col("ordered")[0]["term"], "at": F.col("ordered")[0]["at"]}), "term").drop("term")
+    """(key, pos, window_id, n, at, second): postings of rarest terms with the windows that they lead; at is the
+    term's place in the window, second the next term (at, term)."""
+    lead = plan.select("window_id", "n", F.col("ordered")[0]["at"].alias("at"), F.col("ordered")[0]["term"].alias("term"), F.get("ordered", F.lit(1)).alias("second"))
+    return index.filter("term <> 0").select("key", "term", "pos").join(lead, "term").drop("term")
+
+
+def _seconds(index: DataFrame, plan: DataFrame) -> DataFrame:
+    """The postings (key, pos, term) of the second rarest terms."""
+    terms = materialize(plan.filter("n > 1").select(F.col("ordered")[1]["term"].alias("term")).distinct(), "seconds")
+    return index.select("key", "pos", "term").join(broadcast_if_small(terms, TERM_ROWS), "term", "left_semi")
+
+
+def _of_rows(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """The postings (key, pos, term) of the rows whose keys ``rows`` has."""
+    keys = materialize(rows.select("key").distinct(), "keys")
+    return index.filter("term <> 0").select("key", "pos", "term").join(broadcast_if_small(keys, KEY_ROWS), "key", "left_semi")
 
 
 def exact_matches(index: DataFrame, known: DataFrame) -> DataFrame:
     """Stored table (key, start, n, window_id) of all places where a window occurs."""
     plan = broadcast_if_small(known, WINDOW_ROWS)
-    starts = _anchored(index, plan).withColumn("start", F.col("pos") - F.col("at")).filter("start >= 0").select("key", "start", "window_id", "n", "ordered")
-    second = starts.filter("n > 1").select("*", (F.col("start") + F.col("ordered")[1]["at"]).alias("pos"), F.col("ordered")[1]["term"].alias("term"))
-    seconds = plan.filter("n > 1").select(F.col("ordered")[1]["term"].alias("term")).distinct()
-    seconds = broadcast_if_small(materialize(seconds, "seconds"), TERM_ROWS)
-    lists = index.select("key", "pos", "term")
-    met = second.join(lists.join(seconds, "term", "left_semi"), ["key", "pos", "term"], "left_semi").select("key", "start", "window_id", "n", "ordered")
-    met = materialize(met.unionByName(starts.filter("n = 1")).distinct(), "candidates")
+    starts = _anchored(index, plan).withColumn("start", F.col("pos") - F.col("at")).filter("start >= 0").select("key", "start", "window_id", "n", "second")
+    second = starts.filter("n > 1").select("key", "start", "window_id", "n", (F.col("start") + F.col("second.at")).alias("pos"), F.col("second.term").alias("term"))
+    met = second.join(_seconds(index, known), ["key", "pos", "term"], "left_semi").select("key", "start", "window_id", "n")
+    met = materialize(met.unionByName(starts.filter("n = 1").drop("second")).distinct(), "candidates")
     # the other terms' lists are only read for rows that still have a start
-    keys = broadcast_if_small(materialize(met.filter("n > 2").select("key").distinct(), "keys"), KEY_ROWS)
-    rest = met.filter("n > 2").select("key", "start", "window_id", "n", F.explode(F.slice("ordered", F.lit(3), F.col("n") - 2)).alias("t")).select("key", "start", "window_id", "n", (F.col("start") + F.col("t.at")).alias("pos"), F.col("t.term").alias("term"))
-    there = rest.join(lists.join(keys, "key", "left_semi"), ["key", "pos", "term"], "left_semi").groupBy("key", "start", "window_id", "n").count().filter("count = n - 2")
-    return materialize(there.drop("count").unionByName(met.filter("n <= 2").drop("ordered")), "matches")
+    longer = met.filter("n > 2")
+    rest = longer.join(plan.select("window_id", "ordered"), "window_id").select("key", "start", "window_id", "n", F.explode(F.slice("ordered", F.lit(3), F.col("n") - 2)).alias("t"))
+    rest = rest.select("key", "start", "window_id", "n", (F.col("start") + F.col("t.at")).alias("pos"), F.col("t.term").alias("term"))
+    there = rest.join(_of_rows(index, longer), ["key", "pos", "term"], "left_semi").groupBy("key", "start", "window_id", "n").count().filter("count = n - 2")
+    return materialize(there.drop("count").unionByName(met.filter("n <= 2")), "matches")
 
 
 def near_matches(index: DataFrame, known: DataFrame, slop: int) -> DataFrame:
     """Stored table (key, pos, window_id): places of a window's rarest term in a stretch of n + slop words that
     has all terms of the window as often as the window has them, in any order.
 
-    Postings around the rarest term meet it by (key, term, stretch number), so that no join is by text alone.
+    The second rarest term must be near the rarest; what is left meets the other postings around it. Both
+    joins are by (key, part, term), where parts are stretches of the text, so none is by text or term alone.
     """
     plan = broadcast_if_small(known, WINDOW_ROWS)
-    anchor = _anchored(index, plan).select("key", F.col("pos").alias("p"), "window_id", "n", "ordered")
+    widest = (known.agg(F.max("n")).first()[0] or WINDOW) + slop
     far = F.col("n") - 1 + slop
-    widest = WINDOW + slop if (most := known.agg(F.max("n")).first()[0]) is None else most + slop
-    stretch = lambda c: F.floor(c / F.lit(widest)).cast("int")
-    wanted = anchor.filter("n > 1").select("key", "p", "window_id", "n", "ordered", F.explode(F.array_distinct(F.transform("ordered", lambda t: t["term"]))).alias("term"))
-    wanted = wanted.withColumn("part", F.explode(F.sequence(stretch(F.greatest(F.col("p") - far, F.lit(0))), stretch(F.col("p") + far))))
-    terms = broadcast_if_small(materialize(plan.select(F.explode("ordered").alias("t")).select("t.term").distinct(), "near_terms"), TERM_ROWS)
-    lists = index.join(terms, "term", "left_semi").select("key", "term", "pos", stretch(F.col("pos")).alias("part")).distinct()
-    found = wanted.join(lists, ["key", "term", "part"]).filter((F.col("pos") >= F.col("p") - far) & (F.col("pos") <= F.col("p") + far))
+    part = lambda c: F.floor(c / F.lit(widest)).cast("int")
+    parts = F.explode(F.sequence(part(F.greatest(F.col("p") - far, F.lit(0))), part(F.col("p") + far)))
+    parted = lambda lists: lists.withColumn("part", part(F.col("pos"))).distinct()
+    within = F.abs(F.col("r.pos") - F.col("l.p")) <= F.col("l.n") - 1 + slop
+
+    def meet(left: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+        keys = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "term", "part")]
+        return left.alias("l").join(parted(lists).alias("r"), keys[0] & keys[1] & keys[2] & within, how)
+
+    anchor = _anchored(index, plan).withColumnRenamed("pos", "p")
+    first = anchor.filter("n > 1").select("key", "p", "window_id", "n", F.col("second.term").alias("term"), parts.alias("part"))
+    near = materialize(meet(first, _seconds(index, known), "left_semi").select("key", "p", "window_id", "n").distinct(), "near_candidates")
+    wanted = near.join(plan.select("window_id", "ordered"), "window_id").select("key", "p", "window_id", "n", F.explode(F.array_distinct(F.transform("ordered", lambda t: t["term"]))).alias("term")).withColumn("part", parts)
+    found = meet(wanted, _of_rows(index, near), "inner").select("l.key", "l.p", "l.window_id", "l.n", "r.pos", "l.term")
     # at most 2 * (n + slop) places around one posting
-    around = found.groupBy("key", "p", "window_id", "n").agg(F.collect_set(F.struct("pos", "term")).alias("places"), F.first("ordered").alias("ordered"))
+    around = found.groupBy("key", "p", "window_id", "n").agg(F.collect_set(F.struct("pos", "term")).alias("places")).join(plan.select("window_id", "ordered"), "window_id")
 
     def complete(s: Column) -> Column:
         inside = F.transform(F.filter("places", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + F.col("n") + slop)), lambda x: x["term"])
@@ -131,8 +151,8 @@ def near_matches(index: DataFrame, known: DataFrame, slop: int) -> DataFrame:
         covers = (s["pos"] <= F.col("p")) & (F.col("p") < s["pos"] + F.col("n") + slop)
         return covers & F.forall(F.transform("ordered", lambda t: t["term"]), has)
 
-    near = around.filter(F.exists("places", complete)).select("key", F.col("p").alias("pos"), "window_id")
-    return materialize(near.unionByName(anchor.filter("n = 1").select("key", F.col("p").alias("pos"), "window_id")).distinct(), "near")
+    out = around.filter(F.exists("places", complete)).select("key", F.col("p").alias("pos"), "window_id")
+    return materialize(out.unionByName(anchor.filter("n = 1").select("key", F.col("p").alias("pos"), "window_id")).distinct(), "near")
 
 
 def _indexed(docs: DataFrame, items: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
