@@ -263,13 +263,59 @@ def test_language_id(spark, edge, empty):
     assert got[1] == got[2] == "und" and language_id.predictions(empty).count() == 0
 
 
-def test_language_model_sums_to_one(spark):
-    rows = [("a", "abab"), ("a", "aab"), ("b", "bba")]
-    grams = language_id.ngram_counts(language_id.word_counts(spark.createDataFrame(rows, "lang string, text string")), 3).toPandas()
-    scorer = language_id.Scorer(language_id.estimate(grams, 3))
-    # all continuations of a context, by differences of whole-word scores over the closed alphabet
-    words = scorer._words(["a", "ab", "aa", "b"])
-    assert words.shape == (4, 3) and (words[:, :2] < 0).all() and words[0, 2] == 2
+def kneser_ney(counts, order):
+    """Interpolated Kneser-Ney of one language by definition: gram -> probability of its last character behind the others."""
+    letters = {g for g in counts["all"] if len(g) == 1}
+    mine = counts["own"]
+
+    def adjusted(g):
+        if len(g) == order or (len(g) > 1 and g[0] == " "):
+            return mine.get(g, 0)
+        return sum(1 for x in mine if len(x) == len(g) + 1 and x[1:] == g)
+
+    def p(g):
+        if not g:
+            return 1 / (len(letters) + 1)
+        same = [x for x in mine if len(x) == len(g) and x[:-1] == g[:-1]]
+        total = sum(map(adjusted, same))
+        if not total:
+            return p(g[1:])
+        kinds = sum(adjusted(x) > 0 for x in same)
+        return max(adjusted(g) - 0.75, 0) / total + 0.75 * kinds / total * p(g[1:])
+
+    return p
+
+
+def test_language_model_by_definition_and_sums_to_one(spark):
+    rows = [("a", "abab"), ("a", "aab"), ("b", "bba c")]
+    grams = language_id.ngram_counts(language_id.word_counts(spark.createDataFrame(rows, "lang string, text string")), 3)
+    held = grams.collect()
+    found, weights, letters = language_id.probabilities(grams, ["a", "b"], 3)
+    p = {(r.lang, r.gram): r.p for r in found.collect()}
+    back = {(r.lang, r.gram): r.weight for r in weights.collect()}
+    assert letters == 4
+    for lang in "ab":
+        want = kneser_ney({"all": {r.gram for r in held}, "own": {r.gram: r.n for r in held if r.lang == lang}}, 3)
+        assert all(abs(p[x, g] - want(g)) < 1e-12 for x, g in p if x == lang)
+
+        def prob(h, c):
+            if (lang, h + c) in p:
+                return p[lang, h + c]
+            return back.get((lang, h), 1.0) * (prob(h[1:], c) if h else 1 / (letters + 1))
+
+        for h in ("", "a", "b", " a", "ab", "zz"):
+            assert abs(sum(prob(h, c) for c in "abc ?") - 1) < 1e-9, (lang, h)
+
+
+def test_language_id_by_joins_is_the_same(spark, monkeypatch):
+    rnd = random.Random(18)
+    rows = [(i, " ".join("".join(rnd.choices(["ka", "to", "mi"] if i % 2 else ["the", "ing", "çã"], k=3)) for _ in range(20)), "ab"[i % 2]) for i in range(60)] + [(61, "Привет мир", None), (62, "½ ² 7", "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = sorted(map(repr, ((r.doc_id, r.lang_pred, round(r.score, 4), r.rejected) for r in language_id.predictions(docs).collect())))
+    monkeypatch.setattr(language_id, "ARRAY_NUMBERS", 0)
+    assert sorted(map(repr, ((r.doc_id, r.lang_pred, round(r.score, 4), r.rejected) for r in language_id.predictions(docs).collect()))) == one
+    got = {r.doc_id: r.lang_pred for r in language_id.predictions(docs).collect()}
+    assert got[61] in "ab" and got[62] == got[None] == "und"
 
 
 def test_token_counts_after_edits(spark, empty):
