@@ -218,6 +218,39 @@ def test_jaccard_against_all_pairs(spark, edge, empty):
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
 
+def test_forest_recall(spark):
+    """Ids divisible by 20 against all rows, pairs of every similarity from 0.8 on."""
+    rnd = random.Random(16)
+    rows = []
+    for g in range(400):
+        base = [f"v{rnd.randrange(4000)}" for _ in range(90)]
+        for c in range(rnd.choice([2, 3, 8])):
+            w = list(base)
+            for _ in range(rnd.randrange(4)):
+                w[rnd.randrange(90)] = f"y{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    out = {r.doc_id: r for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    grams = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    pairs = [(i, j) for i in range(0, len(rows), 20) for j in range(len(rows)) if i != j and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) - 1e-9]
+    same = [out[i].class_id == out[j].class_id for i, j in pairs]
+    assert len(pairs) > 60 and np.mean(same) >= 0.99
+    assert sum(out[i].n_links for i in range(0, len(rows), 20)) >= 0.99 * len(pairs)
+
+
+def test_recall_estimates():
+    assert jaccard_join.least_depth(0.8, 0.999) == 4 and jaccard_join.least_depth(0.8, 0.9) == 8
+    assert jaccard_join.recall_at(8, 0.8) < 0.999 < jaccard_join.recall_at(8, 0.8, others=300)
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, a), (None, b + " x"), (None, None), (None, None), (3, ""), (None, "only here"), (7, a + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as _dropped", "3 as first_key")
+    kept = jaccard_join.keep_one(docs, jaccard_join.jaccard_classes(docs)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [(1, a), (1, b), (None, None), (None, None), (3, ""), (None, "only here")]))
+    assert {(r.key, r._dropped, r.first_key) for r in kept} == {(1, 2, 3)}
+
+
 def find(root, i):
     while root[i] != i:
         i = root[i]

@@ -2,18 +2,24 @@
 
 1. Every document gets the set of its word five-grams, a hash of that set and a MinHash signature.
    Documents with equal sets are one text; only one copy of each text goes on.
-2. The signature is cut into the labels of several prefix trees. The matched prefix starts at the
-   full label and is shortened until the chance of meeting a pair at the threshold in some tree
-   reaches the target recall. Nodes of that depth with the same members are kept once.
-3. Within a node, texts whose signatures agree nearly enough are tied together; tied texts form
-   candidate groups, by connected components.
+2. The signature is cut into the labels of several prefix trees (tries). Rows (tree, label) whose prefix
+   at the least useful depth is theirs alone have no partner and leave first. What is left is searched
+   from the full label upwards. At each depth the rows of a trie node, in the order of their labels,
+   are tied where their signatures agree nearly enough; tied texts form candidate groups, by connected
+   components. Only nodes that hold several groups are looked at again.
+3. After each depth a text is done when the chance that a partner at the threshold has met it, or one of
+   its group, reaches the target recall. Groups of many variants occupy many nodes and are done at long
+   prefixes; the prefixes of the others are shortened further, until none is left.
 4. All pairs of a group are compared exactly, by counting common five-grams. Groups and nodes of any
    size are cut into tiles (pairs of blocks of bounded size), so no task holds a whole hot group and
-   no pair becomes a row: a tile returns one row for each of its texts.
+   no pair becomes a row: a tile returns one row for each of its texts. As every link is counted, a group
+   of n different texts takes n * n / 2 comparisons.
 
 Defined results: documents without words (null and empty texts) have no links and are classes of
-their own; a text of one to four words has one gram, the whole text; repeated rows count as copies; other columns
-are ignored; an empty table gives no rows. Rows with a null id are compared like others.
+their own; a text of one to four words has one gram, the whole text; very long texts count whole; repeated
+rows count as copies; of equal ids or ties the least comes first; rows with a null id are compared like
+others and come last among the ids of a class; an empty table gives no rows; other columns, whatever
+their names, are ignored (jaccard_classes) or kept (keep_one).
 """
 
 from __future__ import annotations
@@ -24,16 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.batches import map_batches
+from voxtable.llm.names import fresh
 from voxtable.operators.graphs import connected_components
 from voxtable.plans.storage import materialize
 
 WORD = re.compile(r"\w+")
 TREES, DEPTH = 16, 8
-BLOCK = 256
+#: Texts, and grams, in a block of a tile.
+BLOCK, BLOCK_GRAMS = 512, 1 << 19
 #: Candidate ids that may be broadcast; beyond it the texts are fetched by a shuffled join.
 BROADCAST_ROWS = 500_000
 _CACHE_ENTRIES = 150_000
@@ -73,16 +81,26 @@ class Shingler:
         return (least >> np.uint64(32)).astype(">u4")
 
 
-def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the matched prefix from the full label until the target recall is met at the threshold."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def recall_at(depth: int, threshold: float, nodes: int = TREES, others: int = 0, slack: float = 0.2) -> float:
+    """The chance to meet a partner at the threshold in one of ``nodes`` trie nodes at a depth, or in one of
+    ``others`` nodes that texts like it are in; those may be less like the partner, by ``slack``."""
+    return 1 - (1 - threshold**depth) ** nodes * (1 - max(threshold - slack, 0.0) ** depth) ** others
+
+
+def least_depth(threshold: float, recall: float) -> int:
+    """The depth to which the prefix of a text without a group has to be shortened."""
+    return max((d for d in range(1, DEPTH + 1) if recall_at(d, threshold) >= recall), default=1)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells a row from rows with another id or text."""
+    return F.xxhash64(id_col, text_col)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
-    """doc_id, set_hash (null without words), n_grams, signature (big-endian unsigned 32-bit values)."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, key (of the row's id and text), set_hash (null without words), n_grams, signature (big-endian
+    unsigned 32-bit values)."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +112,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sizes.append(len(grams))
                 sets.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                 signatures.append(shingler.signature(grams).tobytes() if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())], ["doc_id", "set_hash", "n_grams", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())], ["doc_id", "key", "set_hash", "n_grams", "signature"])
 
-    return map_batches(source, run, f"doc_id {id_type}, set_hash binary, n_grams int, signature binary")
+    return map_batches(source, run, f"doc_id {id_type}, key long, set_hash binary, n_grams int, signature binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -131,41 +149,30 @@ def _roots(names: list[bytes], near: np.ndarray) -> list[int]:
     return [find(i) for i in range(len(names))]
 
 
-def _tiled(rows: DataFrame, group: str, size: str, member: str) -> DataFrame:
-    """Give each member of a group the tiles it belongs to: pairs (ti, tj) of blocks of about BLOCK members."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64(member), blocks).cast("int")
+def _tiled(rows: DataFrame, blocks: Column, member: str) -> DataFrame:
+    """Give each member of a group the tiles that it belongs to: pairs (ti, tj) of the group's blocks."""
     return (
-        rows.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows.withColumn("blocks", F.greatest(F.ceil(blocks).cast("int"), F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
-        .drop("other")
+        .drop("other", "blocks")
     )
 
 
-def candidate_ties(texts: DataFrame, depth: int, least_agreement: float) -> DataFrame:
-    """Edges (text, root) between texts of one trie node whose signatures agree in enough places.
-
-    texts: set_hash, signature. least_agreement lies well under the threshold: the share of equal
-    places has a standard deviation of about 0.035 at the threshold.
-    """
-    width = 4 * DEPTH
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    keyed = texts.select("set_hash", "signature", tree.alias("tree")).select("set_hash", F.xxhash64("tree", F.substring("signature", F.col("tree") * width + 1, F.lit(4 * depth))).alias("node"))
-    nodes = keyed.groupBy("node").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("set_hash")).alias("who"), F.min("set_hash").alias("first"))
-    distinct = nodes.filter("members > 1").groupBy("members", "who", "first").agg(F.min("node").alias("node")).select("node", "members")
-    # the low byte of each of the 128 values is enough to estimate agreement
-    low = F.unhex(F.regexp_replace(F.hex("signature"), "......(..)", "$1"))
-    sketches = texts.select("set_hash", low.alias("sketch"))
-    members = materialize(keyed.join(distinct, "node"), "members")
-    tiles = _tiled(members.join(sketches, "set_hash"), "node", "members", "set_hash").select("node", "ti", "tj", "set_hash", "sketch")
-
+def _ties(tiles: DataFrame, least_agreement: float) -> DataFrame:
+    """Edges (src, dst) between texts of a node whose signatures agree in enough places. tiles: node, ti, tj,
+    label, set_hash, sketch. Rows of a tile come in the order of their labels."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src: list[bytes] = []
         dst: list[bytes] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+
         for rows in _groups(batches, 3):
-            names = [r[3] for r in rows]
-            bytes_ = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+            names = [r[4] for r in rows]
+            bytes_ = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
             near = np.zeros((len(rows), len(rows)), bool)
             for i in range(len(rows) - 1):
                 near[i, i + 1 :] = (bytes_[i + 1 :] == bytes_[i]).mean(axis=1) >= least_agreement
@@ -174,12 +181,56 @@ def candidate_ties(texts: DataFrame, depth: int, least_agreement: float) -> Data
                     src.append(names[i])
                     dst.append(names[r])
             if len(src) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+                yield made()
                 src, dst = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+        yield made()
 
     key = ["node", "ti", "tj"]
-    return map_batches(tiles.repartition(*key).sortWithinPartitions(*key), run, "src binary, dst binary")
+    return map_batches(tiles.select(*key, "label", "set_hash", "sketch").repartition(*key).sortWithinPartitions(*key, "label"), run, "src binary, dst binary")
+
+
+def candidate_groups(texts: DataFrame, threshold: float, recall: float, least_agreement: float) -> DataFrame:
+    """(set_hash, component) of the texts that may have a partner at the threshold.
+
+    texts: set_hash, signature. least_agreement lies well under the threshold: the share of equal
+    places has a standard deviation of about 0.035 at the threshold.
+    """
+    width, floor = 4 * DEPTH, least_depth(threshold, recall)
+    node = lambda depth: F.xxhash64("tree", F.substring("label", 1, 4 * depth))
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    rows = texts.select("set_hash", "signature", tree.alias("tree")).select("set_hash", "tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("label"))
+    # rows that share their shortest useful prefix with another text
+    shared = rows.groupBy(node(floor).alias("node")).agg(F.count("*").alias("members")).filter("members > 1").select("node")
+    tries = materialize(rows.withColumn("node", node(floor)).join(shared, "node").drop("node"), "tries")
+    # the low byte of each of the 128 values is enough to estimate agreement
+    low = F.unhex(F.regexp_replace(F.hex("signature"), "......(..)", "$1"))
+    sketches = materialize(texts.join(tries.select("set_hash").distinct(), "set_hash", "left_semi").select("set_hash", low.alias("sketch")), "sketches")
+    ties, group = None, None
+    for depth in range(DEPTH, floor - 1, -1):
+        active = tries.select("set_hash", "label", node(depth).alias("node"))
+        if group is not None:
+            active = active.join(group, "set_hash", "left").withColumn("component", F.coalesce("component", "set_hash"))
+            active = active.filter(~F.coalesce("done", F.lit(False)))
+        else:
+            active = active.withColumn("component", F.col("set_hash"))
+        # nodes with several groups; of nodes with the same members one is enough
+        nodes = active.groupBy("node").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("set_hash")).alias("who"), F.min("set_hash").alias("first"), F.min("component").alias("a"), F.max("component").alias("b"))
+        nodes = materialize(nodes.filter("members > 1 and a <> b").groupBy("members", "who", "first").agg(F.min("node").alias("node")).select("node", "members"), "nodes")
+        if nodes.isEmpty():
+            continue
+        met = active.join(nodes, "node").join(sketches, "set_hash").select("node", "members", "label", "set_hash", "sketch")
+        new = materialize(_ties(_tiled(met, F.col("members") / BLOCK, "set_hash"), least_agreement), "ties")
+        ties = new if ties is None else ties.unionByName(new)
+        component = connected_components(ties, "src", "dst").select(F.col("node").alias("set_hash"), "component")
+        group = materialize(component, "groups")
+        if depth > floor:
+            # a group's distinct nodes at this depth, beyond those that any text has, are further chances to be met
+            places = tries.select("set_hash", node(depth).alias("node")).join(group, "set_hash").select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("nodes"))
+            done = F.lit(1.0) - F.lit(1 - recall_at(depth, threshold)) * F.pow(F.lit(1 - max(threshold - 0.2, 0.0) ** depth), F.greatest(F.col("nodes") - TREES, F.lit(0))) >= recall
+            group = materialize(group.join(places.select("component", done.alias("done")), "component"), "groups").select("set_hash", "component", "done")
+    if group is None:
+        return texts.limit(0).select("set_hash", F.col("set_hash").alias("component"))
+    return group.select("set_hash", "component")
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -204,29 +255,20 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 def verified_links(docs: DataFrame, groups: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """Rows (set_hash, root, text_links, doc_links) for the texts of each tile of each candidate group.
 
-    groups: doc_id, set_hash, copies, component, members. The texts come from docs; a row whose text
-    has another set than the one asked for (a repeated id) is left out.
+    groups (stored): key, set_hash, copies, component, blocks. The texts come from docs by the row's key.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = groups.withColumnRenamed("doc_id", "_id")
-    if groups.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("component", "members", "set_hash", "copies", "text")
+    source = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    wanted = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    texts = source.join(wanted, "key").select("component", "blocks", "set_hash", "copies", "text")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
-            rows, sets = [], []
-            for i, (want, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4))):
-                data = shingler.grams(text.as_py()).tobytes()
-                if xxhash.xxh3_128_digest(data) == want:
-                    rows.append(i)
-                    sets.append(data)
-            kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:4], pa.array(sets, pa.binary())], ["component", "members", "set_hash", "copies", "grams"])
-
-    sets = map_batches(texts, load, "component binary, members long, set_hash binary, copies long, grams binary")
-    tiles = _tiled(sets, "component", "members", "set_hash").select("component", "ti", "tj", "set_hash", "block", "copies", "grams")
+            sets = [shingler.grams(text.as_py()).tobytes() for text in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["component", "blocks", "set_hash", "copies", "grams"])
+
+    sets = map_batches(texts, load, "component binary, blocks double, set_hash binary, copies long, grams binary")
+    tiles = _tiled(sets, F.col("blocks"), "set_hash").select("component", "ti", "tj", "set_hash", "block", "copies", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
@@ -254,36 +296,45 @@ def verified_links(docs: DataFrame, groups: DataFrame, threshold: float, id_col:
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), n_links (other documents at the
-    threshold or above, copies included) and n_text_links (other texts at the threshold or above)."""
+    threshold or above, copies included), n_text_links (other texts at the threshold or above), key (of
+    its id and text) and first_key (the key of the row that comes first in its class, null without words)."""
     prints = materialize(fingerprints(docs, id_col, text_col, n), "fingerprints")
-    texts = prints.filter("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("signature").alias("signature"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    texts = prints.filter("set_hash is not null").groupBy("set_hash").agg(least.alias("first"), F.count("*").alias("copies"), F.min("signature").alias("signature"), F.min("n_grams").alias("n_grams"))
     texts = materialize(texts, "texts")
-    ties = candidate_ties(texts.select("set_hash", "signature"), prefix_depth(threshold, recall), threshold - 0.17)
-    component = connected_components(ties, "src", "dst")
-    sizes = component.groupBy("component").agg(F.count("*").alias("members"))
-    groups = texts.drop("signature").join(component, F.col("set_hash") == F.col("node")).join(sizes, "component").select("doc_id", "set_hash", "copies", "component", "members")
-    links = materialize(verified_links(docs, materialize(groups, "groups"), threshold, id_col, text_col, n), "links")
+    groups = candidate_groups(texts.select("set_hash", "signature"), threshold, recall, threshold - 0.17)
+    held = materialize(texts.drop("signature").join(groups, "set_hash"), "grouped")
+    sizes = held.groupBy("component").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_grams") / BLOCK_GRAMS).alias("blocks"))
+    wanted = held.join(sizes, "component").select(F.col("first.key").alias("key"), "set_hash", "copies", "component", "blocks")
+    links = materialize(verified_links(docs, materialize(wanted, "wanted"), threshold, id_col, text_col, n), "links")
     roots = connected_components(links, "set_hash", "root").select(F.col("node").alias("set_hash"), F.col("component").alias("root"))
     counts = links.groupBy("set_hash").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
-    rooted = texts.select("set_hash", "doc_id", "copies").join(roots, "set_hash", "left").join(counts, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
-    classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    per_text = rooted.join(classes, "root").select("set_hash", "class_id", "copies", "text_links", "doc_links")
-    return prints.select("doc_id", "set_hash").join(per_text, "set_hash", "left").select(
+    rooted = texts.select("set_hash", "first", "copies").join(roots, "set_hash", "left").join(counts, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
+    classes = rooted.groupBy("root").agg(F.min("first").alias("first_of_class"))
+    per_text = rooted.join(classes, "root").select("set_hash", "first_of_class", "copies", "text_links", "doc_links")
+    return prints.select("doc_id", "key", "set_hash").join(per_text, "set_hash", "left").select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("first_of_class.doc_id", "doc_id").alias("class_id"),
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("doc_links", F.lit(0))).alias("n_links"),
         F.coalesce("text_links", F.lit(0)).alias("n_text_links"),
+        "key",
+        F.col("first_of_class.key").alias("first_key"),
     )
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents that aren't the first of their class; rows that repeat a kept id go too."""
-    dropped = materialize(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, with one row of each class; rows without words all stay.
+
+    classes (stored) is the result of jaccard_classes. Rows are told apart by id and text, so repeated and
+    null ids with other texts are no harm; of rows with the same id and text one stays.
+    """
+    key, mark = fresh(docs.columns, "key"), row_key(id_col, text_col)
+    dropped = materialize(classes.filter("first_key <> key").select(F.col("key").alias(key)).distinct(), "dropped")
     right = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    kept = docs.join(right, F.col(id_col) == F.col("_dropped"), "left_anti")
-    repeated = classes.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_repeated"))
+    kept = docs.join(right, mark == F.col(key), "left_anti")
+    repeated = classes.filter("first_key = key").groupBy("key").count().filter("count > 1").select(F.col("key").alias(key))
     repeated = materialize(repeated, "repeated")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, F.col(id_col) == F.col("_repeated"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, F.col(id_col) == F.col("_repeated"), "left_anti").unionByName(once)
+    once = kept.join(repeated, mark == F.col(key), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(repeated, mark == F.col(key), "left_anti").unionByName(once)
