@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from voxtable.plans.storage import forget, materialize
@@ -11,56 +11,62 @@ from voxtable.plans.storage import forget, materialize
 HUB, SALTS = 1_000, 64
 
 
-def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) with the least v of their u as m, and the stored table (u, m, degree) of the nodes.
+def _with_least(edges: DataFrame, hubs: bool) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with the least v of their u as m, and the table (u, m) of the nodes.
 
     The least is found by an aggregation, whose first half runs before its shuffle. It meets the edges
-    by a join on u. The edges of hubs take a salt from v as well and spread over SALTS tasks, to each of
-    which the hub's one row goes; hubs are at most edges / HUB rows, broadcast by their measured size.
+    by a join on u. Where there are hubs, their edges take a salt from v as well and spread over SALTS
+    tasks, to each of which the hub's one row goes. Hubs are at most edges / HUB rows.
     """
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    if not hubs:
+        return edges.join(least.select("u", "m"), "u"), least.select("u", "m")
     hub = F.col("degree") >= HUB
-    hubs = least.filter(hub).select(F.col("u").alias("hub"))
-    if hubs.isEmpty():
-        return edges.join(least.select("u", "m"), "u"), least
-    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
-    marked = edges.join(hubs, F.col("u") == F.col("hub"), "left").withColumn("salt", F.when(F.col("hub").isNotNull(), salt).otherwise(-1))
+    marked = edges.join(least.filter(hub).select(F.col("u").alias("hub")), F.col("u") == F.col("hub"), "left")
+    marked = marked.withColumn("salt", F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(-1))
     parts = F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
-    return marked.join(least.select("u", "m", F.explode(parts).alias("salt")), ["u", "salt"]).select("u", "v", "m"), least
+    return marked.join(least.select("u", "m", F.explode(parts).alias("salt")), ["u", "salt"]).select("u", "v", "m"), least.select("u", "m")
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _large_star(edges: DataFrame, hubs: bool) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
-    held, least = _with_least(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    return held.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct(), least
+    held, _ = _with_least(_both_ways(edges), hubs)
+    return held.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
     """Every node and its lower neighbours are tied to the least of those neighbours."""
-    held, least = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    return held.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), least
+    held, least = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), hubs)
+    return held.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+
+def _mark(edges: DataFrame) -> Row:
+    """What changes with the edges, and whether a node is a hub."""
+    per = _both_ways(edges).groupBy("u").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bit_xor("x"), F.lit(0)).alias("x"), F.coalesce(F.max("n") >= HUB, F.lit(False)).alias("hubs")).first()
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the least node that can be reached. Nodes may have any ordered type.
 
     Alternating large and small stars end after a logarithmic number of rounds, also on long chains.
-    Each star is an aggregation and a join on the edge table, written to shared storage. Null ends are left out.
+    Each round is aggregations and joins on the edge table, written to shared storage. Null ends are left out.
     """
     now = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna().filter("u <> v").distinct(), "edges")
-    before = None
+    mark = _mark(now)
     for _ in range(max_rounds):
-        old = [now]
-        for star in (_large_star, _small_star):
-            out, least = star(now)
-            now = materialize(out, "edges")
-            old += [least, now]
-        for table in old[:-1]:
-            forget(table)
-        mark = now.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
+        if not mark["n"]:
+            break
+        before, old = mark, now
+        now = materialize(_small_star(_large_star(now, mark["hubs"]), mark["hubs"]), "edges")
+        mark = _mark(now)
+        forget(old)
         if mark == before:
             break
-        before = mark
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
