@@ -39,7 +39,7 @@ from voxtable.operators.graphs import connected_components
 from voxtable.plans.storage import materialize
 
 WORD = re.compile(r"\w+")
-TREES, DEPTH = 16, 8
+TREES, DEPTH, STEP = 16, 8, 2
 #: Texts, and grams, in a block of a tile.
 BLOCK, BLOCK_GRAMS = 512, 1 << 19
 #: Candidate ids that may be broadcast; beyond it the texts are fetched by a shuffled join.
@@ -206,7 +206,7 @@ def candidate_groups(texts: DataFrame, threshold: float, recall: float, least_ag
     low = F.unhex(F.regexp_replace(F.hex("signature"), "......(..)", "$1"))
     sketches = materialize(texts.join(tries.select("set_hash").distinct(), "set_hash", "left_semi").select("set_hash", low.alias("sketch")), "sketches")
     ties, group = None, None
-    for depth in range(DEPTH, floor - 1, -1):
+    for depth in sorted({floor, *range(DEPTH, floor, -STEP)}, reverse=True):
         active = tries.select("set_hash", "label", node(depth).alias("node"))
         if group is not None:
             active = active.join(group, "set_hash", "left").withColumn("component", F.coalesce("component", "set_hash"))
