@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from voxtable.llm import chat, decontamination, jaccard_join, language_id, licenses, packing, quality, secrets, token_counts, toxicity
 from voxtable.llm.queries import tokenizer
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string"
-EDGE = [(1, None, "en", "a", 0, "x"), (2, "", None, "a", 0, "x"), (3, "one two", "en", None, 7, None), (3, "one two", "en", None, 7, None), (None, "no id here", "fr", "b", 1, "x"), (5, "word " * 30_000, "en", "c", 1, "x")]
+#: Names that operators might take for their own columns.
+CLASHES = ["sequence_id", "toxic", "quality", "hex", "assign", "access", "random", "secrets", "_id", "_row", "_dropped", "key", "_key", "label", "score", "row", "word", "term", "pos", "n", "edits", "component"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+PLAIN = [(1, None, "en", "a", 0), (2, "", None, "a", 0), (3, "one two", "en", None, 7), (3, "one two", "en", None, 7), (None, "no id here", "fr", "b", 1), (5, "word " * 30_000, "en", "c", 1)]
+EDGE = [r + ("x",) * len(CLASHES) for r in PLAIN]
 
 
 @pytest.fixture(scope="module")
@@ -184,7 +187,7 @@ def test_secret_model_finds_glued_and_short_strings(spark):
     tests = [(f"{path}{a}{path}{b} x", [a, b]) for _ in range(50) for a, b in [(some(20), some(32))]] + [(f"see {a}, and", [a]) for k in (12, 15) for _ in range(50) for a in [some(k)]]
     tests += [(f"{path} {path}account_settings=reading-the-quick-brown-fox", [])]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(tests)], "doc_id long, text string")
-    got = {r.doc_id: [s.value for s in r.random] for r in secrets.scan(docs, ratios).collect()}
+    got = {r.doc_id: [s.value for s in r.secrets.random] for r in secrets.scan(docs, ratios).collect()}
     assert got.pop(len(tests) - 1) == []
     found = [[v in got[i] for v in want] for i, (_, want) in enumerate(tests[:-1])]
     assert np.mean(found[:50]) > 0.97 and np.mean(found[50:100]) > 0.8 and np.mean(found[100:]) > 0.9
@@ -395,3 +398,99 @@ def test_licenses_wrapped_and_embedded(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(0, 0, "GPL-3.0"), (1, 1, "ISC"), (2, 1, "MIT"), (3, 0, "MIT"), (3, 0, "Unlicense"), (5, 0, "MIT"), (5, 1, "MIT")]
     assert sorted((r.doc_id or 0, r.line_no, r.license) for r in got) == want and all(r.dice == 1 for r in got)
+
+
+def test_pipeline_stages_on_odd_rows(spark, edge, empty, tmp_path):
+    """Every stage takes rows with nulls, empty and long texts, repeats and clashing names, and keeps their columns."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(3, 0, 0), (5, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "never seen words"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (edge, empty):
+        rows = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            assert out.count() == rows - (name == "ngram_jaccard_join" and rows > 0), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= rows
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Planted toxic documents, copies, passages and secrets are found, and all other documents come through whole."""
+    import corpus_pipeline
+
+    rnd = random.Random(20)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(rnd.choices(vocabulary, k=n))
+    item = prose(30)
+    rows, toxic = [(i, prose(80)) for i in range(200)], set()
+    for i in range(0, 200, 8):
+        words = rows[i][1].split()
+        for at in range(10, 18):
+            words[at] = "zuteb" + rnd.choice("abcdefgh")
+        rows[i] = (i, " ".join(words))
+        toxic.add(i)
+    copies = {300 + k: rows[1][1] + (f" tail{k}" if k else "") for k in range(4)}
+    leaks = {400: prose(40) + " " + " ".join(item.split()[5:17]) + " " + prose(20)}
+    secret = "".join(rnd.choices(secrets.ALPHABET[:62], k=30))
+    keys = {500: f"{prose(60)} password={secret} {prose(5)}"}
+    rows += [*copies.items(), *leaks.items(), *keys.items()]
+    table = [(i, t, "en", "s", len(t)) for i, t in rows]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i in toxic)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    gone = toxic | set(copies) | set(leaks)
+    assert {r.doc_id for r in out} == {i for i, _ in rows} - gone
+    encoder = packing.Encoder(*tokenizer())
+    for i, text in rows:
+        if i not in gone:
+            ids = np.frombuffer(encoder.encode(text.replace(f"password={secret}", "[secret]")), "<u4").tolist() + [2]
+            assert [(r.start, r.length, r.ids_crc32) for r in out if r.doc_id == i] == [(0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
+
+
+def test_encoder_gives_the_ids_of_the_tokenizer_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder(*tokenizer())
+    rnd = random.Random(21)
+    texts = ["", " ", "a<|endoftext|>b", "\n\n  x\t", "don't we'll", "été 日本 😀 x1 22"] + ["".join(rnd.choices("ab é\n\t.,'s日😀1<|>", k=rnd.randint(1, 60))) for _ in range(500)]
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == file.encode(t, add_special_tokens=False).ids, t
+
+
+def base_spans(text):
+    import re
+
+    kinds = {"assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18), "hex": (re.compile(r"[0-9a-f]+"), 0, 16)}
+    return {k: [(m.start(), m.end()) for m in p.finditer(text) if len(m.group(g)) >= n] for k, (p, g, n) in kinds.items()}
+
+
+def test_base_spans_against_plain_search(spark):
+    rnd = random.Random(22)
+    bits = ["password", "TOKEN", "api_key", "secret", "AKIA", "=", ":", " ", '"', "'", "é", "\n", "0a1b2c3d", "ABCDEFGH", "x", "-", "/", "deadbeef01"]
+    rows = [(i, "".join(rnd.choices(bits, k=rnd.randint(0, 40)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in secrets.scan(docs, [0.0] * len(secrets.ALPHABET) ** 2).collect():
+        assert {k: [(s.start, s.end) for s in r.secrets[k]] for k in secrets.BASE} == base_spans(rows[r.doc_id][1])
+
+
+def plain_counts(text):
+    """The base counts by their definition."""
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    many = {t for t, n in Counter(triples).items() if n > 1}
+    hit = {k for i, t in enumerate(triples) if t in many for k in range(i, i + 3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+
+
+def test_base_counts_against_definition():
+    rnd = random.Random(23)
+    for _ in range(500):
+        text = "".join(rnd.choices(["a", "b", " ", " ", "\n", "é", "#", "\x0b", "\x1c", "\u00a0", "x y z ", "日"], k=rnd.randint(0, 60)))
+        assert quality.base_counts(text) == plain_counts(text)

@@ -141,7 +141,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
     runs = plan_runs(histogram, capacity)
     total = sum(histogram.values())
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, total // 200_000 + 1)
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy(length_col, "_bucket").count()
     before = Window.partitionBy(length_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(

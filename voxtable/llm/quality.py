@@ -10,8 +10,10 @@ base rules (50 words, at most half of them in repeated three-word windows).
 Only a bounded sample of labels is used to fit (max_rows); all texts are counted and decoded whole.
 
 Defined results: null and empty texts have no words, fail the base rules and aren't kept; without
-labels of both kinds every document that passes the base rules is kept; repeated rows get a row
-each; other columns are ignored; an empty table gives no rows.
+labels of both kinds every document that passes the base rules is kept; very long texts are read whole;
+of equally good labels of the last line content is taken, and of earlier lines boilerplate; rows with a null id are assessed like others; of several labels of an
+id the least counts; repeated rows get a row each; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -208,12 +210,13 @@ def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_batches(source, run, f"doc_id {id_type}, {longs}, base_failed boolean, content_share double, kept boolean")
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """At most about max_rows labels, chosen by a hash of their id, with their texts; the bounded side is broadcast."""
-    usable = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias(label_col))
+    usable = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("label"))
     keep = min(1.0, max_rows / max(usable.count(), 1))
-    chosen = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(keep * (1 << 20)))
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("text", label_col)
+    chosen = usable.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int(keep * (1 << 20)))
+    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("text_id") == F.col("label_id")).select("text", F.col("label").alias(label_col))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:

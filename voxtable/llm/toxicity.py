@@ -12,8 +12,10 @@ training rows.
 Only labels of training rows are read, from a bounded sample (max_rows); all texts are scored whole.
 
 Defined results: null and empty texts, and those without letters, get the score of a text without
-toxic tokens; a table without toxic labels gives every text the smoothed share of toxic rows;
-repeated rows get a row each; other columns are ignored; an empty table gives no rows.
+toxic tokens; a table without toxic labels gives every text the smoothed share of toxic rows; very long
+texts are scored whole; equal scores are equal probabilities; rows with a null id are scored like others and
+never learned from; of several labels of an id the greatest counts; repeated rows get a row each; an
+empty table gives no rows; other columns, whatever their names, are ignored (predictions) or kept (filter_clean).
 """
 
 from __future__ import annotations
@@ -120,8 +122,9 @@ def _squash(best: float) -> float:
     return min(max(best, -5.0), 15.0) / 5
 
 
-def train(labelled: DataFrame, max_rows: int = 16_000, text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit from rows (text, 0/1 label), which must be at most about max_rows; see sample_labels.
+def train(labelled: DataFrame, max_nodes: int = 1_000_000, text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit from a bounded sample of rows (text, 0/1 label); see sample_labels. The driver holds at most
+    max_nodes words and prefixes, however long the sample's texts are.
 
     Two thirds of the rows, by a hash of the text, give token counts; the others calibrate.
     """
@@ -150,8 +153,12 @@ def train(labelled: DataFrame, max_rows: int = 16_000, text_col: str = "text", l
     lengths = F.filter(F.array(*map(F.lit, PREFIXES)), lambda k: k < F.length("token"))
     names = F.concat(F.array(F.concat(F.lit("="), "token")), F.transform(lengths, lambda k: F.substring(F.col("token"), 1, k)))
     nodes = tokens.select(F.explode(names).alias("node"), "toxic", "other").groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # a node seen once moves its prior too little to matter; the sample bounds how many others there are
-    counts = {r["node"]: (r["toxic"], r["other"]) for r in nodes.filter("toxic + other > 1").toLocalIterator()}
+    # all nodes that a toxic text has, as one occurrence may count, and those that other texts have more than
+    # once, as a single one moves a score by a quarter at most
+    held = materialize(nodes.filter("toxic > 0 or other > 1"), "nodes")
+    if held.count() > max_nodes:  # long texts: those with the most evidence, which move scores most
+        held = held.orderBy(F.desc(F.col("toxic") + F.col("other")), "node").limit(max_nodes)
+    counts = {r["node"]: (r["toxic"], r["other"]) for r in held.toLocalIterator()}
     totals = tokens.agg(F.sum("toxic"), F.sum("other")).first()
     n_toxic, n_other = totals[0] or 0, totals[1] or 0
     model = Model(share=(n_toxic + 1) / (n_toxic + n_other + 2), counts=counts)
@@ -262,13 +269,14 @@ def in_training(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Training rows (text, label): at most about max_rows labels, chosen by a hash of their id, meet docs
     by a broadcast of that bounded sample, so texts aren't shuffled."""
-    usable = labels.filter(F.col(label_col).isNotNull() & in_training(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias(label_col))
+    usable = labels.filter(F.col(label_col).isNotNull() & in_training(id_col)).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("label"))
     keep = min(1.0, max_rows / max(usable.count(), 1))
-    chosen = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(keep * (1 << 20)))
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("text", label_col)
+    chosen = usable.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int(keep * (1 << 20)))
+    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("text_id") == F.col("label_id")).select("text", F.col("label").alias(label_col))
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
