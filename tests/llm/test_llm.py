@@ -369,19 +369,64 @@ def test_token_counts_after_edits(spark, empty):
     assert token_counts.edit_counts(empty.withColumn("edits", token_counts.spread_edits()), *tokenizer()).count() == 0
 
 
+CALL = "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>"
+
+
+def longest(calls):
+    """Levels by plain search: None in a cycle or behind one."""
+    known = {c[2]: [d for d in (c[5] or []) if d in {x[2] for x in calls}] for c in calls}
+    out = {}
+
+    def level(i, path):
+        if i in path:
+            return None
+        if i not in out:
+            below = [level(d, path | {i}) for d in known[i]]
+            value = None if None in below else max(below, default=-1) + 1
+            if value is None and path:
+                return None
+            out[i] = value
+        return out[i]
+
+    return {i: level(i, frozenset()) for i in known}
+
+
 def test_chat(spark):
-    calls = [(1, 0, "a", "add", {"y": "2", "x": "1"}, []), (1, 1, "b", "add", {"x": "one", "z": "1"}, ["a"]), (1, 2, "c", "add", {"x": "1", "y": "2"}, ["b", "a", "?"]), (1, 3, "d", "add", None, ["e"]), (1, 4, "e", "add", {"x": None}, ["d"])]
-    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments map<string,string>, depends_on array<string>")
-    r = spark.createDataFrame([(1, "a", "3"), (1, "a", "4"), (2, "b", "no")], "conv_id long, call_id string, content string")
-    s = spark.createDataFrame([("add", "x", "integer", True), ("add", "y", "integer", True)], "name string, arg string, type string, required boolean")
-    out = {x.call_id: x for x in chat.format_calls(c, r, s).collect()}
-    assert [out[k].level for k in "abcde"] == [0, 1, 2, None, None]
-    assert out["a"].json == '{"arguments":{"x":"1","y":"2"},"id":"a","name":"add","result":"3"}' and out["a"].n_results == 2
-    assert out["b"].problems == "missing:y,type:x,unknown:z" and not out["b"].valid and out["a"].valid
-    assert json.loads(out["e"].json) == {"arguments": {}, "id": "e", "name": "add"}
+    calls = [(1, 0, "a", "add", '{"y": 2, "x": 1}', []), (1, 1, "b", "add", '{"x": "one", "z": 1, "o": {"q": [1], "p": null}}', ["a"]), (1, 2, "c", "add", '{"x": 1.0, "y": 2, "o": {"p": "no", "q": ["s"]}}', ["b", "a", "?"])]
+    calls += [(1, 3, "d", "add", None, ["e"]), (1, 4, "e", "add", '{"x": null}', ["d"]), (1, 5, "f", "sub", "[1]", ["d"]), (1, 6, "g", "sub", "{}", None), (1, 7, None, "add", '{"x": 5, "y": 6}', ["a"]), (None, 8, "a", "add", '{"x": 5, "y": 6}', ["a"]), (1, 9, "a", "add", "{}", [])]
+    c = spark.createDataFrame(calls, CALL)
+    r = spark.createDataFrame([(1, "a", "3"), (1, "a", "4"), (2, "b", "no"), (None, "a", "5"), (1, None, "6")], "conv_id long, call_id string, content string")
+    rules = [("add", "x", "integer", True, None), ("add", "y", "integer", True, ["2", "6"]), ("add", "o", "object", False, None), ("add", "o.p", "string", True, ['"yes"']), ("add", "o.q", "array<integer>", False, None)]
+    s = spark.createDataFrame(rules, "name string, arg string, type string, required boolean, allowed array<string>")
+    got = chat.format_calls(c.withColumn("level", F.lit("extra")), r, s).collect()
+    out = {x.call_id: x for x in got if x.conv_id and x.call_id}
+    assert len(got) == 9 and [out[k].level for k in "abcdefg"] == [0, 1, 2, None, None, None, 0]
+    assert out["a"].json == '{"arguments":{"x":1,"y":2},"id":"a","name":"add","result":"3"}' and out["a"].n_results == 2 and out["a"].valid
+    assert out["b"].problems == "missing:o.p,missing:y,type:x,unknown:z" and out["c"].problems == "type:o.q,value:o.p"
+    assert out["d"].problems == "missing:x,missing:y" and out["f"].problems == "arguments" and out["g"].problems == "tool"
+    assert json.loads(out["e"].json) == {"arguments": {"x": None}, "id": "e", "name": "add"}
+    assert all(x.n_results == 0 and x.level is None and x.valid for x in got if not (x.conv_id and x.call_id))
     assert chat.format_calls(c.limit(0), r.limit(0), s).count() == 0
 
 
+def test_chat_levels_against_plain_search(spark, monkeypatch):
+    from voxtable.llm import names
+
+    rnd = random.Random(19)
+    calls = []
+    for conv in range(12):
+        for k in range(40):
+            before = [f"c{j}" for j in range(k)] if conv % 3 else [f"c{j}" for j in range(40)]
+            some = rnd.sample(before, min(len(before), rnd.choice([0, 1, 1, 1, 2, 3])))
+            calls.append((conv, k, f"c{k}", "t", "{}", some + ["gone"] * rnd.randrange(2)))
+    calls += [(50, k, f"c{k}", "t", "{}", [f"c{k - 1}"]) for k in range(200)] + [(51, k, f"c{k}", "t", "{}", ["c0"]) for k in range(300)] + [(52, 0, "c0", "t", "{}", ["c0"])]
+    monkeypatch.setattr(names, "HOT", 50)
+    linked = chat.link(spark.createDataFrame(calls, CALL), spark.createDataFrame([], "conv_id long, call_id string, content string"))
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(linked).collect()}
+    want = {(conv, i): v for conv in {c[0] for c in calls} for i, v in longest([c for c in calls if c[0] == conv]).items()}
+    assert got == want
+
+
 def test_licenses(spark, edge, empty):
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT license\nreleased under"), (2, None)], "doc_id long, text string")
     assert [(r.doc_id, r.line_no, r.license) for r in licenses.scan(docs).collect()] == [(1, 1, "MIT")]

@@ -21,3 +21,24 @@ def broadcast_if_small(table: DataFrame, most_rows: int, most_characters: int =
     ``sized`` is named, at most most_characters in it. Otherwise Spark chooses the join."""
     row = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(sized)) if sized else F.lit(0), F.lit(0)).alias("size")).first()
     return F.broadcast(table) if row["n"] <= most_rows and row["size"] <= most_characters else table
+
+
+#: Rows with the same key from which on a key counts as hot, and parts that its rows are dealt to.
+HOT, SALTS = 10_000, 32
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """left.join(right, keys, "left") for a right side whose keys are unique: rows of left with a hot key are dealt
+    to SALTS tasks by a hash of column ``by``, and the one row of right for it goes to each. Null keys meet nothing."""
+    salt, hot, count = (fresh([*left.columns, *right.columns], n) for n in ("salt", "hot", "count"))
+    names = {k: fresh([*left.columns, *right.columns], f"hot_{k}") for k in keys}
+    busy = left.groupBy(*keys).agg(F.count("*").alias(count)).filter(F.col(count) >= HOT).select(*[F.col(k).alias(n) for k, n in names.items()], F.lit(True).alias(hot))
+    same = [F.col(k) == F.col(n) for k, n in names.items()]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    # there are at most rows / HOT hot keys; Spark broadcasts them by their measured size or not at all
+    dealt = left.join(busy, on, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(-1)).drop(*names.values(), hot)
+    parts = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    copies = right.join(busy, on, "left").withColumn(salt, F.explode(parts)).drop(*names.values(), hot)
+    return dealt.join(copies, [*keys, salt], "left").drop(salt)

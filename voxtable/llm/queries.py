@@ -54,7 +54,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The arguments of the one tool that plain conversations call.
-ANSWER_SCHEMA = [("answer", "question", "string", True), ("answer", "n_words", "integer", True), ("answer", "deep", "boolean", True)]
+ANSWER_SCHEMA = [("answer", "question", "string", True), ("answer", "n_words", "integer", True), ("answer", "options", "object", False), ("answer", "options.deep", "boolean", True), ("answer", "options.limits", "array<integer>", False)]
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,14 +64,15 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH first AS (SELECT conv_id, min(turn) AS first FROM conversations WHERE role = 'user' GROUP BY conv_id),
-call AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, text, first FROM conversations JOIN first USING (conv_id) WHERE role = 'user' ORDER BY conv_id, turn, text),
-result AS (SELECT conv_id, turn - 1 AS turn, min(text) AS result, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL)
-SELECT conv_id, 'call_' || turn AS call_id, CAST(turn > first AS INTEGER) AS level, turn, coalesce(n, 0) AS n_results, length(text) > 200 AS valid,
-    CASE WHEN length(text) > 200 THEN '' ELSE 'missing:deep' END AS problems,
-    '{"arguments":{' || CASE WHEN length(text) > 200 THEN '"deep":"true",' ELSE '' END || '"n_words":"' || len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) || '","question":' || to_json(text)
-    || '},"id":"call_' || turn || '","name":"answer"' || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || to_json(result) END || '}' AS json
-FROM call LEFT JOIN result USING (conv_id, turn)
+WITH call AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM conversations WHERE role = 'user' ORDER BY conv_id, turn, text),
+result AS (SELECT conv_id, turn - 1 AS turn, min(text) AS result, count(*) AS n_results FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+chain AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, turn - 2 * r ORDER BY turn) - 1 AS level, count(*) OVER (PARTITION BY conv_id, turn % 2, turn - 2 * r) AS size
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS r FROM call))
+SELECT conv_id, 'call_' || turn AS call_id, CAST(CASE WHEN conv_id % 10 <> 0 OR size = 1 THEN level END AS INTEGER) AS level, turn, coalesce(n_results, 0) AS n_results, length(text) BETWEEN 40 AND 200 AS valid,
+    CASE WHEN length(text) < 40 THEN 'type:n_words' WHEN length(text) > 200 THEN 'missing:options.deep' ELSE '' END AS problems,
+    '{"arguments":{"n_words":' || CASE WHEN length(text) < 40 THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END || ',"options":{' || CASE WHEN length(text) <= 200 THEN '"deep":' || CAST(turn % 4 = 0 AS VARCHAR) || ',' ELSE '' END
+    || '"limits":[2,' || n || ']},"question":' || to_json(text) || '},"id":"call_' || turn || '","name":"answer"' || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || to_json(result) END || '}' AS json
+FROM call JOIN chain USING (conv_id, turn) LEFT JOIN result USING (conv_id, turn)
 """
 
 
