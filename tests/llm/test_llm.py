@@ -354,19 +354,37 @@ def test_language_id_by_joins_is_the_same(spark, monkeypatch):
     assert got[61] in "ab" and got[62] == got[None] == "und"
 
 
-def test_token_counts_after_edits(spark, empty):
+def edited(text, edits):
+    new = text
+    for s, e, x in reversed(edits):
+        s, e = min(s, len(text)), min(e, len(text))
+        new = new[:s] + x + new[e:]
+    return new
+
+
+def test_token_counts_after_edits(spark, edge, empty):
+    """Two rounds of edits on stored trees give the counts of whole texts."""
     rnd = random.Random(9)
-    rows = [(i, "".join(rnd.choices([" ", " ", "\n", "a", "bc", "'s", ".", "é"], k=rnd.randint(0, 200))), [(a, a + 3, "x y") for a in sorted(rnd.sample(range(0, 220, 10), 3))]) for i in range(40)] + [(99, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,replacement:string>>")
+    bits = [" ", " ", "\n", "a", "bc", "'s", ".", "é", "<|endoftext|>", "  "]
+    some = lambda: [(a, a + 3, rnd.choice(["x y", "", " ", "<|endoftext|>", " endoftext|>"])) for a in sorted(rnd.sample(range(0, 220, 10), 3))]
+    rows = [(i, "".join(rnd.choices(bits, k=rnd.randint(0, 200))), some(), some()) for i in range(60)] + [(99, None, None, None), (None, "a b", [(1, 1, "c")], [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, one array<struct<start:int,end:int,replacement:string>>, two array<struct<start:int,end:int,replacement:string>>")
     count = lambda t: len(packing.Encoder(*tokenizer()).encode(t)) // 4
-    for r in token_counts.edit_counts(docs, *tokenizer()).collect():
-        text, edits = next((t or "", e or []) for i, t, e in rows if i == r.doc_id)
-        new = text
-        for s, e, x in reversed(edits):
-            s, e = min(s, len(text)), min(e, len(text))
-            new = new[:s] + x + new[e:]
-        assert (r.n_tokens, r.n_tokens_edited, r.n_edits) == (count(text), count(new), len(edits))
-    assert token_counts.edit_counts(empty.withColumn("edits", token_counts.spread_edits()), *tokenizer()).count() == 0
+    ids = F.col("doc_id").eqNullSafe(F.col("edit_id"))
+    edits = docs.select(F.col("doc_id").alias("edit_id"), "one", "two")
+    first = token_counts.edit_trees(token_counts.build_trees(docs, *tokenizer()).join(edits, ids), *tokenizer(), "one").cache()
+    second = token_counts.edit_trees(first.select("doc_id", "text", "chars", "tokens").join(edits, ids), *tokenizer(), "two").cache()
+    for out, level in ((first, 1), (second, 2)):
+        assert out.count() == len(rows)
+        for r in out.collect():
+            _, text, one, two = next(x for x in rows if x[0] == r.doc_id)
+            steps = [text or "", edited(text or "", one or [])]
+            steps.append(edited(steps[1], two or []))
+            assert r.text == steps[level] and (r.n_tokens, r.n_tokens_edited) == (count(steps[level - 1]), count(steps[level]))
+            assert sum(r.tokens) == r.n_tokens_edited and sum(r.chars) == len(r.text)
+    counts = token_counts.edit_counts(edge, *tokenizer()).collect()
+    assert len(counts) == len(EDGE) and all(r.n_reencoded < 60_000 for r in counts)
+    assert token_counts.edit_counts(empty, *tokenizer()).count() == 0
 
 
 CALL = "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>"

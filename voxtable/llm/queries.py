@@ -32,8 +32,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("edits", token_counts.spread_edits())
-    return token_counts.edit_counts(docs, *tokenizer())
+    return token_counts.edit_counts(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

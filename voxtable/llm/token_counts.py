@@ -1,53 +1,68 @@
-"""Edit-aware token counts: a segment tree of pre-token counts per document.
+"""Edit-aware token counts: a stored segment tree of pre-token counts for each document.
 
 A text is cut at the spaces where the tokenizer always starts a pre-token. Runs of such chunks are
-the leaves of a binary tree whose nodes hold sums of characters and tokens. An edit goes down the
-tree to the leaves that it touches; those are encoded again together with a neighbour where the
-edit took away the safe cut between them, and only the sums above them are renewed.
+the leaves of a binary tree whose nodes hold sums of characters and tokens. build_trees makes the trees
+once, as a table with each text and its leaves' sums, from which a tree is put together without encoding.
+edit_trees reads that table: an edit goes down the tree to the leaves that it touches; those are encoded
+again together with a neighbour where the edit took away the safe cut between them, and only the sums
+above them are renewed. Its result is a table of trees again, for the next edits.
 
 Defined results: null text counts as empty; places beyond the text's end are moved to its end;
-edits apply to the original text at once, where one that begins inside another starts at that one's
-end; null edits are no edits; repeated rows get a row each; an empty table gives no rows.
+edits apply to the text at once, where one that begins inside another starts at that one's end, and of
+edits at the same place the shorter comes first; null edits are no edits; the special token's string counts
+as that token, as in packing; very long texts are trees of more leaves; rows with a null id are counted
+like others; repeated rows get a row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.batches import map_batches
-from voxtable.llm.packing import Encoder
+from voxtable.llm.packing import SPECIAL, Encoder
+from voxtable.plans.storage import materialize
 
-#: Places before a space where a pre-token always starts: one of the space's neighbours isn't white space.
-_CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
+#: Places before a space where a pre-token always starts: one of the space's neighbours isn't white space. A
+#: space before the special token belongs to the white space before it.
+_CUT = re.compile(r"(?<=\S)(?= )|(?= (?!" + re.escape(SPECIAL) + r")\S)")
 LEAF_CHUNKS = 64
 
 
 class SegmentTree:
     """Leaves of consecutive text with sums of characters and tokens above them."""
 
-    def __init__(self, text: str, count: Callable[[str], int]):
+    def __init__(self, text: str, count: Callable[[str], int], chars: list[int] | None = None, tokens: list[int] | None = None):
         self.count = count
-        chunks = [c for c in _CUT.split(text) if c]
-        parts = [chunks[i : i + LEAF_CHUNKS] for i in range(0, len(chunks), LEAF_CHUNKS)] or [[]]
-        self.leaves = ["".join(p) for p in parts]
+        if chars is None or tokens is None:
+            chunks = [c for c in _CUT.split(text) if c]
+            self.leaves = ["".join(chunks[i : i + LEAF_CHUNKS]) for i in range(0, len(chunks), LEAF_CHUNKS)] or [""]
+            tokens = [count(leaf) if leaf else 0 for leaf in self.leaves]
+        else:
+            ends = [0, *accumulate(chars)]
+            self.leaves = [text[i:j] for i, j in zip(ends, ends[1:])]
         self.size = 1
-        while self.size < len(parts):
+        while self.size < len(self.leaves):
             self.size *= 2
         self.chars = [0] * (2 * self.size)
         self.tokens = [0] * (2 * self.size)
-        for i, part in enumerate(parts):
-            self.chars[self.size + i] = len(self.leaves[i])
-            self.tokens[self.size + i] = count(self.leaves[i])
+        self.chars[self.size : self.size + len(self.leaves)] = map(len, self.leaves)
+        self.tokens[self.size : self.size + len(self.leaves)] = tokens
         for i in range(self.size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
         self.reencoded = 0
 
+    def stored(self) -> tuple[str, list[int], list[int]]:
+        """The text, and its leaves' characters and tokens."""
+        n = len(self.leaves)
+        return "".join(self.leaves), self.chars[self.size : self.size + n], self.tokens[self.size : self.size + n]
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -81,7 +96,7 @@ class SegmentTree:
     @staticmethod
     def _safe(left: str, right: str) -> bool:
         """Whether a pre-token always starts between two texts that aren't empty."""
-        return right[0] == " " and (not left[-1].isspace() or (len(right) > 1 and not right[1].isspace()))
+        return right[0] == " " and (not left[-1].isspace() or (len(right) > 1 and not right[1].isspace() and not right.startswith(SPECIAL, 1)))
 
     def replace(self, start: int, end: int, text: str) -> None:
         """Replace the characters [start, end) of the current text."""
@@ -121,31 +136,62 @@ def apart(edits: list[dict], length: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def edit_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_edits, n_reencoded (characters encoded again).
+TREE = "text string, chars array<int>, tokens array<int>"
+
+
+def _counter(ranks_path: str, pattern: str) -> Callable[[str], int]:
+    encoder = Encoder(ranks_path, pattern)
+    return lambda part: len(encoder.encode(part)) // 4
+
+
+def build_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, chars, tokens): each text with its leaves' characters and tokens; to be stored for edits."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = source.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(ranks_path, pattern)
+        for batch in batches:
+            made = [SegmentTree(text.as_py() or "", count).stored() for text in batch.column(1)]
+            columns = list(zip(*made)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.int32()))], ["doc_id", "text", "chars", "tokens"])
+
+    return map_batches(source, run, f"doc_id {id_type}, {TREE}")
+
 
-    edits: array<struct<start, end, replacement>> in code points of the original text, end exclusive.
-    Strings of special tokens in a text are ordinary text.
+def edit_trees(trees: DataFrame, ranks_path: str, pattern: str, edits: Column | str = "edits") -> DataFrame:
+    """Trees (doc_id, text, chars, tokens) after their edits, with n_tokens before them, n_tokens_edited, n_edits
+    and n_reencoded (characters encoded again).
+
+    edits: array<struct<start, end, replacement>> in code points of the tree's text, end exclusive.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
+    source = trees.select("doc_id", "text", "chars", "tokens", (F.col(edits) if isinstance(edits, str) else edits).alias("edits"))
     id_type = source.schema["doc_id"].dataType.simpleString()
+    names = ["n_tokens", "n_tokens_edited", "n_edits", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = Encoder(ranks_path, pattern).encoding
-        count = lambda part: len(encoding.encode_ordinary(part))
+        count = _counter(ranks_path, pattern)
         for batch in batches:
             rows = []
-            for text, edits in zip(batch.column(1), batch.column(2)):
-                text, edits = text.as_py() or "", [e for e in edits.as_py() or [] if e]
-                tree = SegmentTree(text, count)
+            for text, chars, tokens, given in zip(*(batch.column(i) for i in range(1, 5))):
+                text, given = text.as_py(), [e for e in given.as_py() or [] if e]
+                tree = SegmentTree(text, count, chars.as_py(), tokens.as_py())
                 before = tree.total
-                for start, end, new in reversed(apart(edits, len(text))):
+                for start, end, new in reversed(apart(given, len(text))):
                     tree.replace(start, end, new)
-                rows.append((before, tree.total, len(edits), tree.reencoded))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded"])
+                rows.append((*tree.stored(), before, tree.total, len(given), tree.reencoded))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "text", "chars", "tokens", *names])
+
+    return map_batches(source, run, f"doc_id {id_type}, {TREE}, " + ", ".join(f"{n} long" for n in names))
+
 
-    return map_batches(source, run, f"doc_id {id_type}, n_tokens long, n_tokens_edited long, n_edits long, n_reencoded long")
+def edit_counts(docs: DataFrame, ranks_path: str, pattern: str, edits: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_edited, n_edits and n_reencoded of documents whose trees are built, stored and
+    edited once; edits(id column, text column) gives each document's edits."""
+    trees = materialize(build_trees(docs, ranks_path, pattern), "trees")
+    return edit_trees(trees, ranks_path, pattern, (edits or spread_edits)("doc_id", "text")).select("doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded")
 
 
 def spread_edits(id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> Column:
