@@ -110,6 +110,7 @@ def test_components_with_a_hub(spark, monkeypatch):
     from voxtable.operators import graphs
 
     monkeypatch.setattr(graphs, "HUB", 10)
+    monkeypatch.setattr(graphs, "LARGE", 1)
     edges = [(0, i) for i in range(1, 60)] + [(i, 1000 + i) for i in range(1, 60)] + [(5000, 5001)]
     out = graphs.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {r.node: r.component for r in out} == {n: 5000 if n >= 5000 else 0 for e in edges for n in e}

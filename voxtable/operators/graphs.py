@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.plans.storage import forget, materialize
 
 #: Edges of a node from which on it counts as a hub, and parts that a hub's edges are dealt to.
 HUB, SALTS = 1_000, 64
+#: Edges from which on hubs are looked for; all edges of a smaller table are little work for one task.
+LARGE = 100_000
 
 
 def _with_least(edges: DataFrame, hubs: bool) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +37,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame, hubs: bool) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
     held, _ = _with_least(_both_ways(edges), hubs)
-    return held.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+    return held.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
@@ -44,10 +46,8 @@ def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
     return held.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _mark(edges: DataFrame) -> Row:
-    """What changes with the edges, and whether a node is a hub."""
-    per = _both_ways(edges).groupBy("u").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bit_xor("x"), F.lit(0)).alias("x"), F.coalesce(F.max("n") >= HUB, F.lit(False)).alias("hubs")).first()
+def _has_hubs(edges: DataFrame) -> bool:
+    return not _both_ways(edges).groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= HUB).isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -57,13 +57,13 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     Each round is aggregations and joins on the edge table, written to shared storage. Null ends are left out.
     """
     now = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna().filter("u <> v").distinct(), "edges")
-    mark = _mark(now)
+    mark = (now.count(), None)
     for _ in range(max_rounds):
-        if not mark["n"]:
+        if not mark[0]:
             break
-        before, old = mark, now
-        now = materialize(_small_star(_large_star(now, mark["hubs"]), mark["hubs"]), "edges")
-        mark = _mark(now)
+        before, old, hubs = mark, now, mark[0] >= LARGE and _has_hubs(now)
+        now = materialize(_small_star(_large_star(now, hubs), hubs), "edges")
+        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         forget(old)
         if mark == before:
             break
