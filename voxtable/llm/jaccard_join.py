@@ -5,8 +5,8 @@
 2. The signature is cut into the labels of several prefix trees (tries). Rows (tree, label) whose prefix
    at the least useful depth is theirs alone have no partner and leave first. What is left is searched
    from the full label upwards. At each depth the rows of a trie node, in the order of their labels,
-   are tied where their signatures agree nearly enough; tied texts form candidate groups, by connected
-   components. Only nodes that hold several groups are looked at again.
+   are tied where their signatures agree nearly enough. Only nodes that hold several groups of tied texts
+   are looked at again. In the end tied texts form candidate groups, by connected components.
 3. After each depth a text is done when the chance that a partner at the threshold has met it, or one of
    its group, reaches the target recall. Groups of many variants occupy many nodes and are done at long
    prefixes; the prefixes of the others are shortened further, until none is left.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.batches import map_batches
-from voxtable.llm.names import fresh
+from voxtable.llm.names import broadcast_if_small, fresh
 from voxtable.operators.graphs import connected_components
 from voxtable.plans.storage import materialize
 
@@ -205,32 +205,26 @@ def candidate_groups(texts: DataFrame, threshold: float, recall: float, least_ag
     # the low byte of each of the 128 values is enough to estimate agreement
     low = F.unhex(F.regexp_replace(F.hex("signature"), "......(..)", "$1"))
     sketches = materialize(texts.join(tries.select("set_hash").distinct(), "set_hash", "left_semi").select("set_hash", low.alias("sketch")), "sketches")
-    ties, group = None, None
+    ties, group, done = None, None, None
     for depth in sorted({floor, *range(DEPTH, floor, -STEP)}, reverse=True):
-        active = tries.select("set_hash", "label", node(depth).alias("node"))
+        active = tries.select("set_hash", "label", node(depth).alias("node"), F.col("set_hash").alias("root"))
         if group is not None:
-            active = active.join(group, "set_hash", "left").withColumn("component", F.coalesce("component", "set_hash"))
-            active = active.filter(~F.coalesce("done", F.lit(False)))
-        else:
-            active = active.withColumn("component", F.col("set_hash"))
+            active = active.drop("root").join(group, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
+            active = active.join(broadcast_if_small(done, BROADCAST_ROWS), "root", "left_anti")
         # nodes with several groups; of nodes with the same members one is enough
-        nodes = active.groupBy("node").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("set_hash")).alias("who"), F.min("set_hash").alias("first"), F.min("component").alias("a"), F.max("component").alias("b"))
+        nodes = active.groupBy("node").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("set_hash")).alias("who"), F.min("set_hash").alias("first"), F.min("root").alias("a"), F.max("root").alias("b"))
         nodes = materialize(nodes.filter("members > 1 and a <> b").groupBy("members", "who", "first").agg(F.min("node").alias("node")).select("node", "members"), "nodes")
-        if nodes.isEmpty():
-            continue
-        met = active.join(nodes, "node").join(sketches, "set_hash").select("node", "members", "label", "set_hash", "sketch")
+        met = active.join(broadcast_if_small(nodes, BROADCAST_ROWS), "node").join(sketches, "set_hash").select("node", "members", "label", "set_hash", "sketch")
         new = materialize(_ties(_tiled(met, F.col("members") / BLOCK, "set_hash"), least_agreement), "ties")
         ties = new if ties is None else ties.unionByName(new)
-        component = connected_components(ties, "src", "dst").select(F.col("node").alias("set_hash"), "component")
-        group = materialize(component, "groups")
         if depth > floor:
-            # a group's distinct nodes at this depth, beyond those that any text has, are further chances to be met
-            places = tries.select("set_hash", node(depth).alias("node")).join(group, "set_hash").select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("nodes"))
-            done = F.lit(1.0) - F.lit(1 - recall_at(depth, threshold)) * F.pow(F.lit(1 - max(threshold - 0.2, 0.0) ** depth), F.greatest(F.col("nodes") - TREES, F.lit(0))) >= recall
-            group = materialize(group.join(places.select("component", done.alias("done")), "component"), "groups").select("set_hash", "component", "done")
-    if group is None:
-        return texts.limit(0).select("set_hash", F.col("set_hash").alias("component"))
-    return group.select("set_hash", "component")
+            # texts tied to the same least text are a group for now; their distinct nodes, beyond those that any
+            # text has, are further chances to be met
+            group = materialize(ties.groupBy(F.col("src").alias("set_hash")).agg(F.min("dst").alias("root")), "groups")
+            places = tries.select("set_hash", node(depth).alias("node")).join(group, "set_hash").select("root", "node").distinct().groupBy("root").agg(F.count("*").alias("nodes"))
+            missed = F.lit(1 - recall_at(depth, threshold)) * F.pow(F.lit(1 - max(threshold - 0.2, 0.0) ** depth), F.greatest(F.col("nodes") - TREES, F.lit(0)))
+            done = materialize(places.filter(1 - missed >= recall).select("root"), "done")
+    return connected_components(ties, "src", "dst").select(F.col("node").alias("set_hash"), "component")
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -304,8 +298,10 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     texts = materialize(texts, "texts")
     groups = candidate_groups(texts.select("set_hash", "signature"), threshold, recall, threshold - 0.17)
     held = materialize(texts.drop("signature").join(groups, "set_hash"), "grouped")
-    sizes = held.groupBy("component").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_grams") / BLOCK_GRAMS).alias("blocks"))
-    wanted = held.join(sizes, "component").select(F.col("first.key").alias("key"), "set_hash", "copies", "component", "blocks")
+    # groups of several blocks: they have BLOCK texts or long ones, so there are few of them
+    sizes = held.groupBy("component").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_grams") / BLOCK_GRAMS).alias("blocks")).filter("blocks > 1")
+    sizes = broadcast_if_small(materialize(sizes, "sizes"), BROADCAST_ROWS)
+    wanted = held.join(sizes, "component", "left").select(F.col("first.key").alias("key"), "set_hash", "copies", "component", F.coalesce("blocks", F.lit(1.0)).alias("blocks"))
     links = materialize(verified_links(docs, materialize(wanted, "wanted"), threshold, id_col, text_col, n), "links")
     roots = connected_components(links, "set_hash", "root").select(F.col("node").alias("set_hash"), F.col("component").alias("root"))
     counts = links.groupBy("set_hash").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
