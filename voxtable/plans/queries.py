@@ -201,13 +201,13 @@ SPLIT = """(SELECT *, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= flo
 (SELECT *, row_number() OVER (ORDER BY md5('12354|' || o_orderkey), o_orderkey) AS rn, count(*) OVER () AS n FROM orders))"""
 
 
-@query(f"""SELECT split, CAST(sum(k) AS BIGINT) AS recordings, round(sum(d), 2) AS duration, round(sum(d) / sum(k), 4) AS mean_duration, string_agg(category || ':' || k, ',' ORDER BY category) AS categories FROM
-(SELECT split, o_orderpriority AS category, count(*) AS k, sum(o_totalprice) AS d FROM {SPLIT} GROUP BY ALL) GROUP BY split""")
+@query(f"""SELECT split, CAST(sum(k) AS BIGINT) AS recordings, round(sum(d), 2) AS duration, round(sum(d) / sum(k), 4) AS mean_duration, CAST(sum(s) AS BIGINT) AS speakers, max(m) AS most_speakers, string_agg(category || ':' || k, ',' ORDER BY category) AS categories FROM
+(SELECT coalesce(split, 'TOTAL') AS split, o_orderpriority AS category, count(*) AS k, sum(o_totalprice) AS d, sum(2 + o_orderkey % 4) AS s, max(2 + o_orderkey % 4) AS m FROM {SPLIT} GROUP BY GROUPING SETS ((split, o_orderpriority), (o_orderpriority))) GROUP BY split""")
 def q_describe_split(spark, sf_dir):
     """A ratio split of orders and its description."""
     parts = splits.ratio_split(table(spark, sf_dir, "orders"), "o_orderkey")
-    rows = parts.select("split", F.col("o_orderpriority").alias("category"), F.col("o_totalprice").alias("duration"), F.lit(1).alias("nb_speakers"))
-    return splits.describe_split(rows).select("split", "recordings", F.round("duration", 2).alias("duration"), F.round("mean_duration", 4).alias("mean_duration"), "categories")
+    rows = parts.select("split", F.col("o_orderpriority").alias("category"), F.col("o_totalprice").alias("duration"), (F.col("o_orderkey") % 4 + 2).alias("nb_speakers"))
+    return splits.describe_split(rows).select("split", "recordings", F.round("duration", 2).alias("duration"), F.round("mean_duration", 4).alias("mean_duration"), "speakers", "most_speakers", "categories")
 
 
 def _components(spark, sf_dir):
@@ -354,10 +354,10 @@ def _turns(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("rec_id"), "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value", "event_id")
     own = Window.partitionBy("rec_id")
     e = e.withColumn("t", F.round((F.col("t") - F.min("t").over(own)) / 3600, 3))
-    return e.select("rec_id", "event_id", F.col("event_type").alias("speaker"), F.col("t").alias("start"), F.round(F.col("t") + 0.5 + F.col("value") / 100, 3).alias("end"))
+    return e.select("rec_id", "event_id", F.col("event_type").alias("speaker"), F.col("t").alias("start"), F.round(F.col("t") + 0.5 + F.col("value") / 100, 4).alias("end"))
 
 
-TURNS = """(SELECT CAST(user_id AS VARCHAR) AS rec_id, event_id, event_type AS speaker, t AS "start", round(t + 0.5 + value / 100, 3) AS "end" FROM
+TURNS = """(SELECT CAST(user_id AS VARCHAR) AS rec_id, event_id, event_type AS speaker, t AS "start", round(t + 0.5 + value / 100, 4) AS "end" FROM
 (SELECT *, round((epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id)) / 3600, 3) AS t FROM events))"""
 
 

@@ -41,7 +41,7 @@ def subtitle_sentences(files: DataFrame, key: str = "name") -> DataFrame:
 
 def clip_table(spark: SparkSession, path: str) -> DataFrame:
     """(path, sentence) from a tab-separated file with a header: its second and third columns."""
-    table = spark.read.csv(path, sep="\t", header=True, quote='"', multiLine=True)
+    table = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True)
     return table.select(F.col(f"`{table.columns[1]}`").alias("path"), F.col(f"`{table.columns[2]}`").alias("sentence"))
 
 
