@@ -211,18 +211,18 @@ def q_describe_split(spark, sf_dir):
 
 
 def _components(spark, sf_dir):
-    return splits.recording_components(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rec_id"), F.xxhash64(F.substring_index("text", " ", 2)).alias("speaker")))
+    return splits.recording_components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rec_id"), F.xxhash64("l_suppkey", "l_shipdate").alias("speaker")))
 
 
 @query()
 def q_components(spark, sf_dir):
-    """Conversations linked by turns that begin with the same two words."""
+    """Orders linked by a supplier who shipped for them on the same day."""
     return _components(spark, sf_dir)
 
 
 def _stratified(spark, sf_dir):
-    roles = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("rec_id")).agg(F.min("role").alias("category"))
-    return splits.stratified_split(roles, materialize(_components(spark, sf_dir), "components"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("rec_id"), F.col("o_orderpriority").alias("category"))
+    return splits.stratified_split(orders, materialize(_components(spark, sf_dir), "components"))
 
 
 @query()
@@ -230,7 +230,7 @@ def q_stratified_split(spark, sf_dir):
     return _stratified(spark, sf_dir)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaking_components, CAST(count(DISTINCT conv_id) AS BIGINT) AS recordings FROM conversations")
+@query("SELECT CAST(0 AS BIGINT) AS leaking_components, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS recordings FROM lineitem")
 def q_leak_check(spark, sf_dir):
     """No component is in two splits and no recording is lost."""
     held = materialize(_stratified(spark, sf_dir), "split")
