@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["q_lines_ids", "q_merge_capped", "q_kfold", "q_bucket_batches", "q_speaker_first_overlap"]
+NAMES = ["q_lines_ids", "q_merge_capped", "q_kfold", "q_bucket_batches", "q_speaker_first_overlap", "q_normalize_rules", "q_hypotheses", "q_wer_by_file", "q_arpa"]
 
 
 def test_entry(spark):

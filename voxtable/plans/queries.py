@@ -421,23 +421,28 @@ def q_ngram_pruned(spark, sf_dir):
     return ngrams.prune(counts, 3, 3).groupBy("n").agg(F.count("*").alias("grams"), F.sum("raw").alias("total"))
 
 
+def _model(spark, sf_dir):
+    counts = materialize(ngrams.ngram_counts(_sentence_words(spark, sf_dir, "benchmark", "item_id"), 3), "counts")
+    return materialize(ngrams.kneser_ney(counts, 3), "model")
+
+
 @query()
 def q_kn_model(spark, sf_dir):
-    counts = materialize(ngrams.ngram_counts(_sentence_words(spark, sf_dir, "benchmark", "item_id"), 3), "counts")
-    return ngrams.kneser_ney(counts, 3)
+    """A Kneser-Ney model of the benchmark texts."""
+    return _model(spark, sf_dir).select("n", "gram", F.round("p", 9).alias("p"), F.round("backoff", 9).alias("backoff"))
 
 
 @query()
 def q_lm_score(spark, sf_dir):
     """All documents scored by the model of the benchmark texts."""
-    counts = materialize(ngrams.ngram_counts(_sentence_words(spark, sf_dir, "benchmark", "item_id"), 3), "counts")
-    model = materialize(ngrams.kneser_ney(counts, 3), "model")
-    return ngrams.score_sentences(_sentence_words(spark, sf_dir), model, 3, "doc_id")
+    scores = ngrams.score_sentences(_sentence_words(spark, sf_dir), _model(spark, sf_dir), 3, "doc_id")
+    return scores.select("doc_id", F.round("log10", 4).alias("log10"), "n")
 
 
 @query()
 def q_arpa(spark, sf_dir):
-    return ngrams.arpa_lines(q_kn_model(spark, sf_dir))
+    """The same model as the lines of an ARPA file."""
+    return ngrams.arpa_lines(_model(spark, sf_dir))
 
 
 CUTS = [250.0 * i for i in range(1, 13)]
