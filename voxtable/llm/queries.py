@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, decontamination, jaccard_join, language_id, licenses, packing, quality, secrets, token_counts, toxicity
+from voxtable.llm import alignment, chat, decontamination, jaccard_join, language_id, licenses, packing, quality, secrets, spelling, token_counts, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer() -> tuple[str, str]:
@@ -19,6 +20,13 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def pieces() -> str:
+    """Place of the second tokenizer's model."""
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,6 +110,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_digests(table(spark, sf_dir, "documents"), *tokenizer(), pieces())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -114,8 +130,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_license_scans": op9_license_scans,
         "op10_language_id": op10_language_id,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_license_scans": licenses.oracle_sql()}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_license_scans": licenses.oracle_sql(), "op11_spelling_variants": spelling.oracle_sql()}
