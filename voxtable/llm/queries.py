@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import alignment, chat, decontamination, jaccard_join, language_id, licenses, packing, quality, secrets, spelling, token_counts, toxicity
+from voxtable.llm import alignment, bloom_lm, chat, decontamination, jaccard_join, language_id, licenses, packing, quality, secrets, spelling, token_counts, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -114,6 +114,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_digests(table(spark, sf_dir, "documents"), *tokenizer(), pieces())
 
@@ -131,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scans": op9_license_scans,
         "op10_language_id": op10_language_id,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_lm_scores": op12_lm_scores,
         "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
