@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.plans.storage import materialize
+
 
 def role_speakers(metadata: DataFrame) -> DataFrame:
     """(rec_id, role, speaker) from (rec_id, doctor, patients joined by -): the doctor, each numbered
@@ -52,3 +54,22 @@ def zip_lines(left: DataFrame, right: DataFrame, key: str = "file", text: str =
     sides = left.select(key, F.split(text, "\n", -1).alias("a")).join(right.select(key, F.split(text, "\n", -1).alias("b")), key)
     same: Column = F.assert_true(F.size("a") == F.size("b"), "line counts differ")
     return sides.select(key, F.when(same.isNull(), F.arrays_zip("a", "b")).alias("z")).select(key, F.posexplode("z").alias("line", "z")).select(key, "line", F.col("z.a").alias("left"), F.col("z.b").alias("right"))
+
+
+#: Rows with the same key from which on a key counts as hot, and tasks that its rows are dealt to.
+HOT, PARTS = 100_000, 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], hot: int = HOT) -> DataFrame:
+    """left.join(right, keys, "left") for a right side whose keys are unique. Rows of left with a key that at least
+    ``hot`` rows have are dealt to PARTS tasks by a hash of the columns ``by``, and the right side's row for it goes
+    to each of them. Null keys meet nothing; tables without hot keys are joined as they are."""
+    busy = left.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot)
+    table = materialize(busy.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot")), "hot")
+    if table.isEmpty():
+        return left.join(right, keys, "left")
+    on = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
+    drop = [f"_hot_{k}" for k in keys] + ["_hot"]
+    dealt = left.join(table, on, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int")).otherwise(-1)).drop(*drop)
+    copies = right.join(table, on, "left").withColumn("_part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(-1))))).drop(*drop)
+    return dealt.join(copies, [*keys, "_part"], "left").drop("_part")
