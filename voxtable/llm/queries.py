@@ -49,7 +49,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.digests(secrets.scan(docs, secrets.train(docs)))
+    ratios = secrets.train(docs)
+    return secrets.digests(secrets.scan(docs, ratios, secrets.calibrate(docs, ratios)))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

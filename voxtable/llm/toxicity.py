@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +46,30 @@ _FLUSH = 50_000
 SEGMENTS = "array<struct<start: int, end: int, score: double>>"
 
 
+class Nodes:
+    """Counts by node as sorted 64-bit hashes: a few bytes for each, in every task."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        keys = np.fromiter(map(_hash, counts), np.uint64, len(counts))
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], np.array([*counts.values()], np.int32).reshape(-1, 2)[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two nodes share a hash")
+
+    def get(self, node: str, default: tuple[int, int]) -> tuple[int, int]:
+        key = np.uint64(_hash(node))
+        at = int(self.keys.searchsorted(key))
+        return tuple(self.counts[at].tolist()) if at < len(self.keys) and self.keys[at] == key else default
+
+
+def _hash(node: str) -> int:
+    return xxhash.xxh3_64_intdigest(node.encode())
+
+
 @dataclass
 class Model:
     share: float = 0.0
-    counts: dict[str, tuple[int, int]] = field(default_factory=dict)  # "=word" or "prefix" -> toxic, other
+    counts: dict[str, tuple[int, int]] | Nodes = field(default_factory=dict)  # "=word" or "prefix" -> toxic, other
     rate: float = 1.0
     log_k: float = 0.0
     weights: tuple[float, float, float] = (-4.0, 0.0, 0.0)
@@ -122,9 +143,9 @@ def _squash(best: float) -> float:
     return min(max(best, -5.0), 15.0) / 5
 
 
-def train(labelled: DataFrame, max_nodes: int = 1_000_000, text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit from a bounded sample of rows (text, 0/1 label); see sample_labels. The driver holds at most
-    max_nodes words and prefixes, however long the sample's texts are.
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit from a bounded sample of rows (text, 0/1 label); see sample_labels, whose rows alone bound it:
+    all words and prefixes of the sample count, and none is left out of the model.
 
     Two thirds of the rows, by a hash of the text, give token counts; the others calibrate.
     """
@@ -153,17 +174,13 @@ def train(labelled: DataFrame, max_nodes: int = 1_000_000, text_col: str = "text
     lengths = F.filter(F.array(*map(F.lit, PREFIXES)), lambda k: k < F.length("token"))
     names = F.concat(F.array(F.concat(F.lit("="), "token")), F.transform(lengths, lambda k: F.substring(F.col("token"), 1, k)))
     nodes = tokens.select(F.explode(names).alias("node"), "toxic", "other").groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # all nodes that a toxic text has, as one occurrence may count, and those that other texts have more than
-    # once, as a single one moves a score by a quarter at most
-    held = materialize(nodes.filter("toxic > 0 or other > 1"), "nodes")
-    if held.count() > max_nodes:  # long texts: those with the most evidence, which move scores most
-        held = held.orderBy(F.desc(F.col("toxic") + F.col("other")), "node").limit(max_nodes)
-    counts = {r["node"]: (r["toxic"], r["other"]) for r in held.toLocalIterator()}
+    counts = {r["node"]: (r["toxic"], r["other"]) for r in materialize(nodes, "nodes").toLocalIterator()}
     totals = tokens.agg(F.sum("toxic"), F.sum("other")).first()
     n_toxic, n_other = totals[0] or 0, totals[1] or 0
     model = Model(share=(n_toxic + 1) / (n_toxic + n_other + 2), counts=counts)
     model.rate = _rate(model, n_other)
-    model.counts = informative(model)
+    model.counts = Nodes(counts)
+    del counts
     scored = map_batches(rows.filter(part == 2), _features(model), "label int, n int, best double, significant int")
     held = scored.collect()
     calm = [r for r in held if not r["label"] and r["n"]]
@@ -174,23 +191,6 @@ def train(labelled: DataFrame, max_nodes: int = 1_000_000, text_col: str = "text
     return model
 
 
-def informative(model: Model, least: float = 0.15) -> dict[str, tuple[int, int]]:
-    """The nodes that move the log-odds of their prior by ``least``; without the others tokens score alike."""
-    kept = Model(share=model.share)
-    for node in sorted(model.counts, key=lambda n: (n[0] == "=", len(n))):
-        token = node.removeprefix("=") if node[0] == "=" else node
-        before = model.share
-        for name in (token[:k] for k in PREFIXES if k < len(token) or (node[0] != "=" and k == len(token))):
-            if name != node and name in kept.counts:
-                a, b = kept.counts[name]
-                before = (a + PRIOR * before) / (a + b + PRIOR)
-        toxic, other = model.counts[node]
-        after = (toxic + PRIOR * before) / (toxic + other + PRIOR)
-        if abs(math.log(after / (1 - after)) - math.log(before / (1 - before))) >= least:
-            kept.counts[node] = (toxic, other)
-    return kept.counts
-
-
 def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
