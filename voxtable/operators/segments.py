@@ -11,21 +11,51 @@ from voxtable.functions.text import unescape
 ORDER = ["turn", "pos"]
 #: Tags in a turn.
 TAGS = ("Turn", "Sync", "Who", "Event", "Comment")
+#: What stands in a tag behind its name; quoted values may hold any sign but their quote.
+ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+#: Comments, literal text, tags and text, in the order in which they are tried.
+MARKUP = rf"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[/?!]?\w+{ATTRIBUTES}>|[^<]+"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, or null; the same name inside another value isn't taken for it."""
+    value = lambda group: F.regexp_extract(tag, rf"""(?s)(?:^<\w+|["'])\s+{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", group)
+    return F.nullif(F.concat(value(1), value(2)), F.lit(""))
+
+
+def markup(files: DataFrame) -> DataFrame:
+    """(rec_id, at, part, tag) of files (rec_id, value): every piece of markup and text in order, without comments;
+    tag is the name that an opening tag has, and null for other pieces."""
+    parts = files.select("rec_id", F.posexplode(F.regexp_extract_all("value", F.lit(MARKUP), F.lit(0))).alias("at", "part"))
+    return parts.filter(~F.col("part").startswith("<!--")).withColumn("tag", F.nullif(F.regexp_extract("part", r"^<(\w+)", 1), F.lit("")))
 
 
 def trs_tokens(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tags with their trailing text, and the speaker table, of annotation files (rec_id, value)."""
-    attribute = lambda c, name: F.nullif(F.regexp_extract(c, rf'\b{name}="([^"]*)"', 1), F.lit(""))
-    heads = files.select("rec_id", F.explode(F.regexp_extract_all("value", F.lit(r"<Speaker\b[^>]*>"), F.lit(0))).alias("tag"))
-    speakers = heads.select("rec_id", attribute(F.col("tag"), "id").alias("speaker_id"), unescape(attribute(F.col("tag"), "name")).alias("speaker"))
-    turns = files.select("rec_id", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<Turn\b.*?</Turn>"), F.lit(0))).alias("turn", "body"))
-    tags = turns.select("rec_id", "turn", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<\w+\b[^>]*>[^<]*"), F.lit(0))).alias("pos", "part"))
-    head = F.regexp_extract("part", r"(?s)^<(\w+)[^>]*>", 0)
-    tokens = tags.select(
-        "rec_id", "turn", "pos", F.regexp_extract("part", r"^<(\w+)", 1).alias("tag"),
-        attribute(head, "time").cast("double").alias("time"), attribute(head, "nb").cast("int").alias("nb"), F.split(attribute(head, "speaker"), " ").alias("speakers"),
-        attribute(head, "startTime").cast("double").alias("turn_start"), attribute(head, "endTime").cast("double").alias("turn_end"),
-        F.regexp_replace(unescape(F.regexp_extract("part", r"(?s)>([^<]*)$", 1)), r"(?U)^\s+|\s+$", "").alias("text"),
+    parts = markup(files)
+    heads = parts.filter("tag = 'Speaker'")
+    speakers = heads.select("rec_id", attribute(F.col("part"), "id").alias("speaker_id"), unescape(attribute(F.col("part"), "name")).alias("speaker"))
+    so_far = Window.partitionBy("rec_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    turns = parts.withColumn("turn", F.sum(F.when(F.col("tag") == "Turn", 1).otherwise(0)).over(so_far).cast("int") - 1).filter("turn >= 0")
+    own = Window.partitionBy("rec_id", "turn").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("tag").isNotNull() & ~F.col("part").endswith("/>")
+    ends = F.col("part").rlike(r"^</\w")
+    placed = turns.withColumns(
+        {
+            "depth": F.sum(F.when(opens, 1).when(ends, -1).otherwise(0)).over(own), "pos": F.sum(F.col("tag").isNotNull().cast("int")).over(own).cast("int") - 1,
+            "closed": F.max(F.col("part").rlike(r"^</Turn\b")).over(own),
+        }
+    ).filter("not closed")
+    literal = F.col("part").startswith("<![CDATA[")
+    # text in a turn itself is spoken; what stands inside another tag isn't
+    spoken = F.when(literal & (F.col("depth") == 1), F.expr("substring(part, 10, length(part) - 12)")).when(~F.col("part").startswith("<") & (F.col("depth") == 1), unescape(F.col("part")))
+    held = placed.withColumn("spoken", spoken).groupBy("rec_id", "turn", "pos").agg(
+        F.max(F.when(F.col("tag").isNotNull(), F.struct("tag", "part"))).alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("spoken").isNotNull(), F.struct("at", "spoken")))), lambda x: x["spoken"]), "").alias("text")
+    )
+    head = F.col("head.part")
+    tokens = held.select(
+        "rec_id", "turn", "pos", "head.tag", attribute(head, "time").cast("double").alias("time"), attribute(head, "nb").cast("int").alias("nb"), F.split(attribute(head, "speaker"), " ").alias("speakers"),
+        attribute(head, "startTime").cast("double").alias("turn_start"), attribute(head, "endTime").cast("double").alias("turn_end"), F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text"),
     )
     return tokens, speakers
 

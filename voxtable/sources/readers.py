@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.functions.text import unescape
+from voxtable.operators.segments import ATTRIBUTES
 
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -13,8 +14,10 @@ def whole_files(spark: SparkSession, path: str, glob: str | None = None, recursi
     reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("name"), "value")
-    return files
+    # Spark gives paths percent-encoded; a plus sign in a name stands for itself
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    files = reader.text(path, wholetext=True).select(place.alias("path"), "value")
+    return files.select("path", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("name"), "value")
 
 
 def lines(files: DataFrame, key: str = "name") -> DataFrame:
@@ -33,10 +36,10 @@ def annotation_files(spark: SparkSession, path: str) -> DataFrame:
 def subtitle_sentences(files: DataFrame, key: str = "name") -> DataFrame:
     """(key, sent_no, text) from subtitle XML: the w children of each s but for its last child, by spaces."""
     body = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
-    sentences = files.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(r"(?s)<s\b[^>]*>(.*?)</s>"), F.lit(1))).alias("sent_no", "s"))
-    children = F.regexp_extract_all("s", F.lit(r"(?s)<\w+\b[^>]*/>|<(\w+)\b[^>]*>.*?</\1>"), F.lit(0))
+    sentences = files.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(rf"(?s)<s\b{ATTRIBUTES}>(.*?)</s>"), F.lit(1))).alias("sent_no", "s"))
+    children = F.regexp_extract_all("s", F.lit(rf"(?s)<\w+\b{ATTRIBUTES}(?<=/)>|<(\w+)\b{ATTRIBUTES}>.*?</\1>"), F.lit(0))
     held = F.filter(F.slice(children, 1, F.greatest(F.size(children) - 1, F.lit(0))), lambda c: c.rlike(r"^<w\b"))
-    return sentences.select(key, "sent_no", unescape(F.array_join(F.transform(held, lambda c: F.regexp_extract(c, r"(?s)>([^<]*)<", 1)), " ")).alias("text"))
+    return sentences.select(key, "sent_no", unescape(F.array_join(F.transform(held, lambda c: F.regexp_extract(c, rf"(?s)^<\w+{ATTRIBUTES}>([^<]*)<", 1)), " ")).alias("text"))
 
 
 def clip_table(spark: SparkSession, path: str) -> DataFrame:
