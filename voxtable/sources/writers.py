@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,3 +74,28 @@ def write_summary(summary: DataFrame, path: str, mode: str = "ignore") -> None:
     """Recordings in order with their total at the end, as one CSV file: there is one row for each recording."""
     last = (F.col("rec_id") == "TOTAL").cast("int")
     summary.repartition(1).sortWithinPartitions(last, "rec_id").write.mode(mode).csv(path, header=True)
+
+
+def write_named(rows: DataFrame, path: str, key: str, order: list[str], extension: str, value: str = "value") -> None:
+    """One text file for each key, ``path/<key><extension>``, with the key's lines in order; a key may name folders.
+
+    Spark's committer lets one attempt of each task through, into a folder of its own; then each file is moved
+    to its name, where a file that exists is kept. A failed write leaves no named file behind, a repeated one
+    no second. Null keys are an error.
+    """
+    spark = rows.sparkSession
+    aside = f"{path.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    named = F.when(F.col(key).isNull(), F.raise_error(F.lit("a file needs a name")).cast("string")).otherwise(F.col(key).cast("string"))
+    rows.select(named.alias("_key"), *[c for c in rows.columns if c in {*order, value}]).repartition("_key").sortWithinPartitions("_key", *order).select("_key", value).write.partitionBy("_key").text(aside)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(aside).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in files.listStatus(make(aside)):
+        name = folder.getPath().getName()
+        if not name.startswith("_key="):
+            continue
+        target = make(path, unquote(name.removeprefix("_key=")) + extension)
+        part = next(x.getPath() for x in files.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-"))
+        files.mkdirs(target.getParent())
+        if not files.exists(target) and not files.rename(part, target):
+            raise OSError(f"can't name {target}")
+    files.delete(make(aside), True)
