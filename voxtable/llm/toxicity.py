@@ -41,7 +41,7 @@ PRIOR = 4.0
 DRIFT = 0.7
 LOWEST, HIGHEST = -3.0, 6.0
 SIGNIFICANT = 2.3  # natural log units above chance: one text in ten without toxic passages
-_CACHE_ENTRIES = 150_000
+_CACHE_ENTRIES = 300_000
 _FLUSH = 50_000
 SEGMENTS = "array<struct<start: int, end: int, score: double>>"
 
@@ -57,9 +57,15 @@ class Nodes:
             raise ValueError("two nodes share a hash")
 
     def get(self, node: str, default: tuple[int, int]) -> tuple[int, int]:
-        key = np.uint64(_hash(node))
-        at = int(self.keys.searchsorted(key))
-        return tuple(self.counts[at].tolist()) if at < len(self.keys) and self.keys[at] == key else default
+        return tuple(self.find([node])[0].tolist())
+
+    def find(self, nodes: list[str]) -> np.ndarray:
+        """A row (toxic, other) for each node, zeros for unknown ones."""
+        if not len(self.keys):
+            return np.zeros((len(nodes), 2), np.int32)
+        asked = np.fromiter(map(_hash, nodes), np.uint64, len(nodes))
+        at = np.minimum(self.keys.searchsorted(asked), len(self.keys) - 1)
+        return self.counts[at] * (self.keys[at] == asked)[:, None]
 
 
 def _hash(node: str) -> int:
@@ -84,6 +90,20 @@ class Model:
         return min(max(value, LOWEST), HIGHEST) - DRIFT
 
 
+def all_odds(model: Model, tokens: list[str]) -> list[float]:
+    """model.odds of each token, read from the nodes together."""
+    if not isinstance(model.counts, Nodes):
+        return list(map(model.odds, tokens))
+    share = np.full(len(tokens), model.share)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    for k in [*PREFIXES, None]:
+        own = np.flatnonzero(lengths > k) if k else np.arange(len(tokens))
+        found = model.counts.find([tokens[i][:k] if k else "=" + tokens[i] for i in own.tolist()])
+        share[own] = (found[:, 0] + PRIOR * share[own]) / (found.sum(axis=1) + PRIOR)
+    values = np.log(share / (1 - share)) - math.log(model.share / (1 - model.share))
+    return (np.clip(values, LOWEST, HIGHEST) - DRIFT).tolist()
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in order, in time linear in the scores.
 
@@ -120,8 +140,9 @@ class Scorer:
         cache = self.cache
         if len(cache) > _CACHE_ENTRIES:
             cache.clear()
-        for w in set(tokens).difference(cache):
-            cache[w] = self.model.odds(w)
+        new = [w for w in set(tokens) if w not in cache]
+        if new:
+            cache.update(zip(new, all_odds(self.model, new)))
         return np.fromiter(map(cache.__getitem__, tokens), np.float64, len(tokens))
 
     def passages(self, text: str) -> tuple[int, float, list[tuple[int, int, float]]]:
