@@ -12,13 +12,25 @@ def test_unescape(spark):
     assert df.select(unescape(F.col("t"))).first()[0] == "a <b> é😀 &lt; &#65;"
 
 
-def test_word_errors_beyond_the_plane(spark):
-    n = 70_000  # distinct words: their codes pass the surrogates
-    ref, hyp = [f"W{i}" for i in range(n)], [f"W{i}" for i in range(n)]
-    hyp[60_000] = "X"
-    df = spark.createDataFrame([(ref, hyp)], "r array<string>, h array<string>").withColumn("w", F.array_distinct(F.concat("r", "h")))
-    a, b = df.select(errors.coded(F.slice("r", 55_000, 60), F.col("w")), errors.coded(F.slice("h", 59_980, 60), F.col("w"))).first()
-    assert len(a) == len(b) == 60 and len({*a, *b}) == 120
+def test_edit_distance():
+    rnd = random.Random(5)
+    for size in (0, 1, 2, 7, 30, 90):
+        for letters in ("ab", "abcdefgh"):
+            for _ in range(40):
+                a, b = ("".join(rnd.choices(letters, k=rnd.randint(0, size))) for _ in range(2))
+                for block in (1, 3, 8, 64, errors.BLOCK):
+                    assert errors.edit_distance(a, b, block) == distance(a, b), (a, b, block)
+
+
+def test_word_errors_of_long_texts(spark):
+    n = 50_000  # distinct words; one word in 50 goes, another changes
+    ref = [f"W{i}" for i in range(n)]
+    hyp = [f"X{i}" if i % 50 == 7 else w for i, w in enumerate(ref) if i % 50 != 30]
+    assert errors.edit_distance(ref, hyp) == 2 * n // 50
+    letters = [f"W{chr(65 + i % 26)}{chr(65 + i // 26 % 26)}{chr(65 + i // 676)}" for i in range(3000)]
+    rows = [(1, " ".join(letters), " ".join(letters[5:2000] + ["NEW"] + letters[2000:])), (2, None, "A B"), (3, "", ""), (4, None, None)]
+    got = {r.id: (r.word_errors, r.char_errors) for r in errors.pair_errors(spark.createDataFrame(rows, "id int, ref string, hyp string")).collect()}
+    assert got[1] == (6, 29) and got[2][0] == 2 and got[3] == got[4] == (0, 0)
 
 
 def test_global_rank(spark):

@@ -2,38 +2,65 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.functions.binding import bind
 from voxtable.functions.text import wer_words
 
+#: Rows of the table of distances that are held as the bits of two integers at a time.
+BLOCK = 4096
 
-#: Code points that can stand for words: all from U+0100 on but for the surrogates.
-FIRST_CODE, SURROGATES, N_SURROGATES, N_CODES = 0x100, 0xD800, 0x800, 0x110000 - 0x100 - 0x800
 
+def edit_distance(a, b, block: int = BLOCK) -> int:
+    """The least number of insertions, deletions and replacements between two sequences.
 
-def coded(words: Column, distinct: Column) -> Column:
-    """A string with one character for each word, by its place in ``distinct``, which must be a stored column.
-
-    There are 1 111 808 characters to take; a pair of texts with more distinct words is an error (its
-    table of distances would have 10^12 cells anyway).
+    Equal ends go first. The table of distances is then walked in blocks of rows (Myers 1999, Hyyrö 2003): a column
+    of a block is two integers whose bits say where the distance rises and falls, so a step takes a few operations on
+    ``block`` rows. Between blocks only the steps along a row are kept, so memory grows with the length.
     """
-    place = lambda w: F.array_position(distinct, w) - 1 + FIRST_CODE
-    point = lambda w: bind(place(w), lambda p: F.when(p >= SURROGATES, p + N_SURROGATES).otherwise(p))
-    text = F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")), "")
-    return F.when(F.size(distinct) <= N_CODES, text).otherwise(F.raise_error(F.lit("a pair of texts has more than 1 111 808 distinct words")))
+    low, least = 0, min(len(a), len(b))
+    while low < least and a[low] == b[low]:
+        low += 1
+    end = 0
+    while end < least - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = sorted((a[low : len(a) - end], b[low : len(b) - end]), key=len)
+    if not len(a):
+        return len(b)
+    steps = [1] * len(a)
+    for start in range(0, len(b), block):
+        rows = b[start : start + block]
+        places: dict = {}
+        for i, x in enumerate(rows):
+            places[x] = places.get(x, 0) | 1 << i
+        every, last = (1 << len(rows)) - 1, len(rows) - 1
+        rises, falls = every, 0
+        for j, x in enumerate(a):
+            above, same = steps[j], places.get(x, 0)
+            diagonal = same | falls
+            if above < 0:
+                same |= 1
+            level = ((same & rises) + rises) ^ rises | same
+            up, down = falls | ~(level | rises) & every, rises & level
+            steps[j] = (up >> last & 1) - (down >> last & 1)
+            up, down = up << 1 | (above > 0), down << 1 | (above < 0)
+            rises, falls = (down | ~(diagonal | up)) & every, up & diagonal & every
+    return len(b) + sum(steps)
+
+
+def _distances(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    pairs = [(r.tolist(), h.tolist()) for r, h in zip(ref, hyp)]
+    return pd.DataFrame({"word_errors": [edit_distance(h, r) for r, h in pairs], "char_errors": [edit_distance("_".join(h), "_".join(r)) for r, h in pairs]})
 
 
 def pair_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """pairs with word and character distances and reference lengths. Words count as in wer_words; the
-    characters of a text include one mark between words. Null texts count as empty."""
+    characters of a text include one mark between words. Null texts count as empty; texts may have any length."""
     r, h = (wer_words(F.coalesce(F.col(c), F.lit(""))) for c in (ref, hyp))
-    out = pairs.withColumns({"_r": r, "_h": h}).withColumn("_w", F.array_distinct(F.concat("_r", "_h")))
-    text = lambda c: F.array_join(c, "_")
-    return out.withColumns(
-        {"word_errors": F.levenshtein(coded(F.col("_h"), F.col("_w")), coded(F.col("_r"), F.col("_w"))).cast("long"), "words": F.size("_r").cast("long"), "char_errors": F.levenshtein(text("_h"), text("_r")).cast("long"), "chars": F.length(text("_r")).cast("long")}
-    ).drop("_r", "_h", "_w")
+    out = pairs.withColumns({"_r": r, "_h": h}).withColumn("_d", F.pandas_udf(_distances, "word_errors long, char_errors long")("_r", "_h"))
+    chars = F.length(F.array_join("_r", "_")).cast("long")
+    return out.withColumns({"word_errors": F.col("_d.word_errors"), "words": F.size("_r").cast("long"), "char_errors": F.col("_d.char_errors"), "chars": chars}).drop("_r", "_h", "_d")
 
 
 def error_rates(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
