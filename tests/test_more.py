@@ -41,6 +41,21 @@ def test_global_rank(spark):
     assert {r.i: r.rn for r in out} == want
 
 
+def test_merge_of_a_long_run(spark):
+    n = 1_000_000
+    run = spark.range(n).select(F.lit("r").alias("rec_id"), F.col("id").cast("int").alias("turn"), F.lit(0).alias("pos"), F.lit("s").alias("speaker"), F.col("id").cast("double").alias("start"), (F.col("id") + 1.0).alias("end"), F.lit("t").alias("text"), F.lit(False).alias("overlap"))
+    out = segments.merge(run, 999.5)
+    assert sorted((r.start, r.end) for r in out.select("start", "end").collect()) == [(float(a), float(min(a + 999, n))) for a in range(0, n, 999)]
+
+
+def test_merge_with_nulls(spark):
+    kind = "rec_id string, turn int, pos int, speaker string, start double, end double, text string, overlap boolean"
+    rows = [("r", 0, 0, None, 0.0, 1.0, "a", None), ("r", 1, 0, None, 1.0, 2.0, None, None), ("r", 2, 0, None, 2.0, None, "c", None), ("r", 3, 0, None, None, 4.0, "d", None)]
+    out = segments.merge(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r.turn, r.end, r.text) for r in out if r.end) == [(0, 2.0, "a"), (3, 4.0, "d")] and len(out) == 3
+    assert segments.merge(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_batch_order(spark):
     rows = spark.createDataFrame([(i, i % 3, i % 7, 100 - i) for i in range(60)], "i int, bucket int, batch long, n int")
     out = batching.batch_order(rows, "n", False).orderBy("place").collect()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,37 +104,47 @@ def rebuild(tokens: DataFrame, speakers: DataFrame) -> DataFrame:
     return named.select("rec_id", "turn", "pos", "speaker", "start", "end", "text", "overlap")
 
 
+MERGED = ["rec_id", "turn", "pos", "speaker", "start", "end", "text", "overlap"]
+
+
 def merge(segments: DataFrame, max_length: float = 10.0, across_overlap: bool = False) -> DataFrame:
     """Join segments that follow each other without a gap, as long as the whole is no longer than max_length.
 
     Segments join only within one speaker and one overlap flag; with across_overlap only within one
-    speaker, and joined segments count as overlapping. A gap ends every merged segment, so runs without
-    gaps are found by a window. The cap depends on where a merged segment began: each run is folded in
-    order to the places where merged segments begin, and cut there.
+    speaker, and joined segments count as overlapping. The cap depends on where a merged segment began, so
+    each speaker's segments are read in order, in one pass behind one shuffle. A task holds no more than the
+    segment that is being merged and a batch of rows, however long a run without gaps is. Null times end a
+    merged segment; null texts are left out of its text; the rows of null keys form keys of their own.
     """
     keys = ["rec_id", "speaker"] + ([] if across_overlap else ["overlap"])
-    order = ["start", "turn", "pos"] if across_overlap else ["turn", "pos"]
-    own = Window.partitionBy(*keys).orderBy(*order)
-    gap = F.coalesce(F.lag("end").over(own) != F.col("start"), F.lit(True))
-    runs = segments.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct(*order, *[c for c in ("turn", "pos", "start", "end", "text") if c not in order], F.col("overlap").alias("flag"))
-    kind = "struct<n:int,begin:double,cuts:array<int>>"
-
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["n"] > 0) & (x["end"] - a["begin"] <= max_length)
-        cuts = F.when(fits, a["cuts"]).otherwise(F.concat(a["cuts"], F.array(a["n"] + 1)))
-        return F.struct((a["n"] + 1).alias("n"), F.when(fits, a["begin"]).otherwise(x["start"]).alias("begin"), cuts.alias("cuts")).cast(kind)
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("begin"), F.array().cast("array<int>").alias("cuts")).cast(kind)
-    folded = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("cuts", F.aggregate("items", start, step)["cuts"])
-    ends = F.concat(F.slice("cuts", 2, F.size("cuts")), F.array(F.size("items") + 1))
-    part = folded.select(*keys, "items", F.explode(F.arrays_zip("cuts", ends.alias("ends"))).alias("c")).select(*keys, F.slice("items", F.col("c.cuts"), F.col("c.ends") - F.col("c.cuts")).alias("m"))
-    first, last = F.element_at("m", 1), F.element_at("m", -1)
-    overlap = F.when(F.size("m") > 1, True).otherwise(first["flag"]) if across_overlap else F.col("overlap")
-    return part.select(
-        "rec_id", first["turn"].alias("turn"), first["pos"].alias("pos"), "speaker", first["start"].alias("start"), last["end"].alias("end"),
-        F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("text"), overlap.alias("overlap"),
-    )
+    order = ["start", "turn", "pos"] if across_overlap else ["turn", "pos", "start"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged, kind = None, None
+        for batch in batches:
+            kind, done = batch.schema, []
+            for rec_id, turn, pos, speaker, start, end, text, overlap in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (rec_id, speaker) if across_overlap else (rec_id, speaker, overlap)
+                follows = merged is not None and merged["key"] == key and None not in (merged["end"], merged["start"], start, end)
+                if follows and merged["end"] == start and end - merged["start"] <= max_length:
+                    merged["end"], merged["overlap"] = end, across_overlap or overlap
+                    merged["texts"].append(text)
+                    continue
+                if merged is not None:
+                    done.append(merged)
+                merged = {"key": key, "rec_id": rec_id, "turn": turn, "pos": pos, "speaker": speaker, "start": start, "end": end, "texts": [text], "overlap": overlap}
+            yield _merged_rows(done, kind)
+        if merged is not None:
+            yield _merged_rows([merged], kind)
+
+    held = segments.select(*MERGED)
+    return held.repartition(*keys).sortWithinPartitions(*keys, *order, "end", "text").mapInArrow(fold, held.schema)
+
+
+def _merged_rows(rows: list[dict], kind: pa.Schema) -> pa.RecordBatch:
+    for r in rows:
+        r["text"] = " ".join(t for t in r["texts"] if t is not None)
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in kind], schema=kind)
 
 
 def violations(segments: DataFrame, max_length: float = 10.0, merged: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxtable.functions import text as X
 from voxtable.operators import batching, corpus, diarization, errors, joins, segments, splits, trials
@@ -23,6 +24,41 @@ def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.from_turns(table(spark, sf_dir, "conversations"))
 
 
+SPOKEN = """(SELECT CAST(conv_id AS VARCHAR) AS rec_id, CAST(turn AS INTEGER) AS turn, role AS speaker, text, turn % 3 = 1 AS overlap,
+  (sum(length(text)) OVER w - length(text)) / 10.0 + 5.0 * (turn // 8) AS "start", sum(length(text)) OVER w / 10.0 + 5.0 * (turn // 8) AS "end" FROM conversations WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn))"""
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of several speakers, each with times of their own; every third overlaps, and a gap follows each eighth turn."""
+    w = Window.partitionBy("conv_id", "role").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    end, gap = F.sum(F.length("text")).over(w), 5.0 * F.floor(F.col("turn") / 8)
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("rec_id"), F.col("turn").cast("int").alias("turn"), F.lit(0).alias("pos"), F.col("role").alias("speaker"),
+        ((end - F.length("text")) / 10.0 + gap).alias("start"), (end / 10.0 + gap).alias("end"), "text", (F.col("turn") % 3 == 1).alias("overlap"),
+    )
+
+
+def _merge_sql(flag: str, overlap: str, cap: float) -> str:
+    """SQL for merging: flag is what keeps segments apart beside the speaker, overlap the flag of a merged one."""
+    return f"""WITH RECURSIVE s AS (SELECT *, {flag} AS flag, row_number() OVER (PARTITION BY rec_id, speaker, {flag} ORDER BY turn) AS r FROM {SPOKEN}),
+m AS (SELECT *, "start" AS b, r AS g FROM s WHERE r = 1 UNION ALL
+ SELECT s.*, CASE WHEN m."end" = s."start" AND s."end" - m.b <= {cap} THEN m.b ELSE s."start" END, CASE WHEN m."end" = s."start" AND s."end" - m.b <= {cap} THEN m.g ELSE s.r END
+ FROM m JOIN s ON s.rec_id = m.rec_id AND s.speaker = m.speaker AND s.flag = m.flag AND s.r = m.r + 1)
+SELECT rec_id, speaker, min(turn) AS turn, min(b) AS "start", max("end") AS "end", string_agg(text, ' ' ORDER BY turn) AS text, {overlap} AS overlap FROM m GROUP BY rec_id, speaker, flag, g"""
+
+
+@query(_merge_sql("overlap", "bool_or(overlap)", 150.0))
+def q_merge_speakers(spark, sf_dir):
+    """Segments of several speakers, joined within a speaker and an overlap flag."""
+    return segments.merge(_spoken(spark, sf_dir), 150.0).drop("pos")
+
+
+@query(_merge_sql("true", "CASE WHEN count(*) > 1 THEN true ELSE bool_or(overlap) END", 150.0))
+def q_merge_across(spark, sf_dir):
+    """The same across overlap flags: joined segments count as overlapping."""
+    return segments.merge(_spoken(spark, sf_dir), 150.0, across_overlap=True).drop("pos")
+
+
 @query("""SELECT conv_id, count(*) AS turns, sum(CAST(trim(text, ' ' || chr(10) || chr(9) || chr(13)) NOT IN ('<NA>', '') AS BIGINT)) AS with_text, sum(CAST(text <> '<NA>' AS BIGINT)) AS with_exact_text, sum(CAST(length(text) / 100.0 >= 1.5 AS BIGINT)) AS long_enough
 FROM (SELECT conv_id, CASE WHEN turn % 3 = 0 THEN '<NA>' WHEN turn % 5 = 0 THEN ' <NA> ' ELSE text END AS text FROM conversations) GROUP BY conv_id""")
 def q_missing_texts(spark, sf_dir):
