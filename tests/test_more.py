@@ -236,6 +236,32 @@ def test_wave_with_other_chunks(spark, tmp_path):
         readers.wave_headers(spark, str(tmp_path / "c.wav")).collect()
 
 
+def test_wave_kinds(spark, tmp_path):
+    import struct
+
+    from voxtable.sources import readers, writers
+
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 16000, 64000, 4, 16)
+    data = lambda n, m: b"data" + struct.pack("<I", n) + b"\0" * m
+    late = fmt + b"".join(b"junk" + struct.pack("<I", 3) + b"abc\0" for _ in range(200)) + data(400, 400)
+    wide = b"ds64" + struct.pack("<IQQQI", 28, 0, 800, 200, 0) + fmt + data(0xFFFFFFFF, 800) + b"LIST" + struct.pack("<I", 2) + b"xx"
+    files = {
+        "plain é.wav": b"RIFF\0\0\0\0WAVE" + fmt + data(4000, 4000), "a b/late.wav": b"RIFF\0\0\0\0WAVE" + late, "wide.wav": b"RF64\xff\xff\xff\xffWAVE" + wide,
+        "open.wav": b"RIFF\0\0\0\0WAVE" + fmt + data(0xFFFFFFFF, 40), "text.wav": b"not a wave file", "none.wav": b"", "cut.wav": b"RIFF\0\0\0\0WAVE" + fmt[:20],
+    }
+    given = spark.createDataFrame(list(files.items()), "name string, value binary")
+    for _ in range(2):
+        assert writers.write_bytes(given, str(tmp_path / "w"), "name", "value") == len(files)
+    out = {r.path.rsplit("/", 1)[1]: r for r in readers.wave_headers(spark, str(tmp_path / "w"), problems=True).collect()}
+    got = {k: (r.format, r.frames) for k, r in out.items()}
+    assert got == {
+        "plain é.wav": ("RIFF", 1000), "late.wav": ("RIFF", 100), "wide.wav": ("RF64", 200), "open.wav": ("RIFF", 10),
+        "text.wav": ("other", None), "cut.wav": ("no format or data", None),
+    }
+    assert out["plain é.wav"].bytes_read < 100 and (out["late.wav"].duration, out["late.wav"].channels) == (100 / 16000, 2)
+    assert out["wide.wav"].bytes_read < 100 and out["late.wav"].bytes_read < 2000
+
+
 def test_film_files(spark):
     from voxtable.operators import subtitles
 

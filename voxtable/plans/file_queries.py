@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from voxtable.functions import text as X
-from voxtable.operators import corpus, segments
-from voxtable.plans.queries import SEGMENTS, query, table, trs_files
+from voxtable.operators import corpus, segments, subtitles
+from voxtable.plans.queries import QUERIES, SEGMENTS, SQL, query, sentences, table, trs_files
 from voxtable.plans.storage import work_folder
 from voxtable.sources import readers, writers
 
@@ -67,3 +67,38 @@ def q_excluded_recordings(spark, sf_dir):
     short = c.groupBy("conv_id").agg(F.min(F.length("text")).alias("least")).filter("least < 40").select("conv_id")
     kept = corpus.without(c.filter("turn % 4 = 0"), short, "conv_id")
     return corpus.least_speakers(kept.select(F.col("conv_id").alias("rec_id"), F.col("role").alias("speaker")), 2)
+
+
+@query("""SELECT 'Clip é ' || conv_id || '_' || turn AS name, CASE turn % 4 WHEN 3 THEN 'other' ELSE 'RIFF' END AS format, CASE WHEN turn % 4 < 3 THEN CAST(8000 + 1000 * (turn % 4) AS BIGINT) END AS rate,
+CASE WHEN turn % 4 < 3 THEN CAST(strlen(text) // 2 AS BIGINT) END AS frames, CASE WHEN turn % 4 < 3 THEN strlen(text) // 2 / CAST(8000 + 1000 * (turn % 4) AS DOUBLE) END AS duration FROM conversations""")
+def q_wave_headers(spark, sf_dir):
+    """Headers of one audio file for each turn, whose samples are the bytes of its text. Where turn % 4 is 1, data comes
+    behind another chunk; where it is 3, the file is no audio. Only the headers are read."""
+    little = lambda n, size: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(size)]))
+    text, rate = F.encode("text", "UTF-8"), 8000 + 1000 * (F.col("turn") % 4)
+    plain = lambda s: F.encode(F.lit(s), "UTF-8")
+    form = F.concat(plain("fmt "), little(F.lit(16), 4), little(F.lit(1), 2), little(F.lit(1), 2), little(rate, 4), little(2 * rate, 4), little(F.lit(2), 2), little(F.lit(16), 2))
+    other = F.when(F.col("turn") % 4 == 1, F.concat(plain("LIST"), little(F.length(text), 4), text, F.when(F.length(text) % 2 == 1, plain("\0")).otherwise(plain("")))).otherwise(plain(""))
+    audio = F.concat(plain("RIFF"), little(F.length(form) + F.length(other) + F.length(text) + 12, 4), plain("WAVE"), form, other, plain("data"), little(F.length(text), 4), text)
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("Clip é "), "conv_id", F.lit("_"), "turn", F.lit(".wav")).alias("name"), F.when(F.col("turn") % 4 == 3, text).otherwise(audio).alias("value"))
+    path = _folder(spark, "wave")
+    writers.write_bytes(c, path, "name", "value")
+    name = F.regexp_extract("path", r"([^/]+)\.wav$", 1)
+    return readers.wave_headers(spark, path, "*.wav", problems=True).select(name.alias("name"), "format", "rate", "frames", "duration")
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) - 1 AS INTEGER) AS line, text FROM ({SQL["q_clean_sentences"]})""")
+def q_named_texts(spark, sf_dir):
+    """One .txt file of cleaned sentences for each document, read back by lines."""
+    path = _folder(spark, "texts")
+    writers.write_named(subtitles.clean_sentences(sentences(spark, sf_dir)), path, "doc_id", ["sent_no"], ".txt", "text")
+    return readers.lines(readers.whole_files(spark, path, "*.txt")).select("name", "line", F.col("value").alias("text"))
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY n, "rank", value) AS BIGINT) AS line, value FROM ({SQL["q_arpa"]})""")
+def q_named_arpa(spark, sf_dir):
+    """The lines of an ARPA file in one file of that name, in order, read back with their places from 1."""
+    path = _folder(spark, "arpa")
+    writers.write_named(QUERIES["q_arpa"](spark, sf_dir).withColumn("key", F.lit("model")), path, "key", ["n", "rank", "value"], ".arpa")
+    lines = readers.lines(readers.whole_files(spark, path, "*.arpa"))
+    return lines.select((F.col("line") + 1).cast("long").alias("line"), "value")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,33 +94,65 @@ def manifest(spark: SparkSession, path: str, schema: str = MANIFEST_SCHEMA) -> D
     return spark.read.schema(schema).csv(path, header=True, nullValue="\u0000", emptyValue="", quote='"', escape='"', multiLine=True, enforceSchema=False)
 
 
-def wave_headers(spark: SparkSession, path: str, chunks: int = 64) -> DataFrame:
-    """(path, rate, frames, duration) of RIFF files, from their fmt and data chunks, which may follow others.
+HEADERS = "path string, format string, rate long, channels long, frames long, duration double, bytes_read long"
+NO_FORMAT = "no format or data"
+
+
+def wave_headers(spark: SparkSession, path: str, glob: str = "*", problems: bool = False) -> DataFrame:
+    """(path, rate, frames, duration) of RIFF and RF64 files from their fmt and data chunks, wherever those stand.
 
-    A RIFF file without both among its first ``chunks`` chunks is an error; other files are left out.
+    Spark lists the files; tasks go from chunk to chunk and read each one's first bytes only, so files of any size
+    cost a few hundred bytes (bytes_read in the result of ``wave_chunks``). Spark lists no empty files. A file without both chunks is an error;
+    other kinds of files are left out. With ``problems`` no file is an error or left out: the result has the
+    columns of wave_chunks for all. Paths must be in a store that pyarrow.fs can open.
     """
-    content = F.col("content")
-
-    def number(at: Column, size: int) -> Column:
-        return F.conv(F.concat(*[F.hex(F.substring(content, at + i, F.lit(1))) for i in reversed(range(size))]), 16, 10).cast("long")
-
-    def word(at: Column) -> Column:
-        return F.decode(F.substring(content, at, F.lit(4)), "ISO-8859-1")
-
-    start = F.struct(F.lit(13).cast("long").alias("at"), F.lit(None).cast("long").alias("rate"), F.lit(None).cast("long").alias("align"), F.lit(None).cast("long").alias("bytes"))
-
-    def step(a: Column, _: Column) -> Column:
-        at = a["at"].cast("int")
-        size = number(at + 4, 4)
-        inside = a["bytes"].isNull() & (at + 8 <= F.length(content))
-        form, data = inside & (word(at) == "fmt "), inside & (word(at) == "data")
-        return F.struct(
-            F.when(inside, a["at"] + 8 + size + size % 2).otherwise(a["at"]).alias("at"), F.when(form, number(at + 12, 4)).otherwise(a["rate"]).alias("rate"),
-            F.when(form, number(at + 20, 2)).otherwise(a["align"]).alias("align"), F.when(data, size).otherwise(a["bytes"]).alias("bytes"),
-        )
-
-    files = spark.read.format("binaryFile").load(path).filter((F.substring("content", 1, 4) == F.lit(bytearray(b"RIFF"))) & (F.substring("content", 9, 4) == F.lit(bytearray(b"WAVE"))))
-    read = files.select("path", F.aggregate(F.sequence(F.lit(1), F.lit(chunks)), start, step).alias("h"))
-    whole = (F.col("h.rate") > 0) & (F.col("h.align") > 0) & F.col("h.bytes").isNotNull()
-    frames = F.when(F.coalesce(whole, F.lit(False)), F.floor(F.col("h.bytes") / F.col("h.align"))).otherwise(F.raise_error(F.concat(F.lit("no format or data in "), "path")).cast("long"))
-    return read.select("path", F.col("h.rate").alias("rate"), frames.cast("long").alias("frames")).withColumn("duration", F.col("frames") / F.col("rate"))
+    read = wave_chunks(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length"))
+    if problems:
+        return read
+    whole = F.when(F.col("format") == NO_FORMAT, F.raise_error(F.concat(F.lit("no format or data in "), "path")).cast("long")).otherwise(F.col("frames"))
+    return read.filter("format != 'other'").select("path", "rate", whole.alias("frames"), "duration")
+
+
+def wave_chunks(files: DataFrame) -> DataFrame:
+    """path, format (RIFF, RF64, 'no format or data', or other), rate, channels, frames, duration and bytes_read of
+    listed files (path, length). Lengths and rates that a file doesn't give are null. A data chunk whose size was
+    never filled in, or that goes past the end of the file, ends with the file."""
+    def read(batches):
+        for batch in batches:
+            yield pd.DataFrame([(p, *chunk_walk(p, int(n))) for p, n in zip(batch["path"], batch["length"])], columns=HEADERS.replace(",", "").split()[::2])
+
+    # a listing is small beside the files, and one task may have listed them all
+    return files.select("path", "length").repartition("path").mapInPandas(read, HEADERS)
+
+
+def chunk_walk(path: str, length: int) -> tuple:
+    """format, rate, channels, frames, duration and the number of bytes read of one file."""
+    store, place = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    rate = channels = align = size = wide = None
+    at, seen = 12, 0
+    with store.open_input_file(place) as f:
+        def part(start: int, n: int) -> bytes:
+            nonlocal seen
+            held = f.read_at(n, start)
+            seen += len(held)
+            return held
+
+        head = part(0, 12) if length >= 12 else b""
+        kind = head[:4].decode("latin-1")
+        if kind not in ("RIFF", "RF64") or head[8:] != b"WAVE":
+            return "other", None, None, None, None, seen
+        while at + 8 <= length and (rate is None or size is None):
+            name, n = struct.unpack("<4sI", part(at, 8))
+            body = at + 8
+            if name == b"ds64" and n >= 24 and body + 24 <= length:
+                wide = struct.unpack("<Q", part(body + 8, 8))[0]
+            elif name == b"fmt " and n >= 16 and body + 16 <= length:
+                channels, rate, align = struct.unpack("<HI4xH", part(body + 2, 12))
+            elif name == b"data":
+                n = wide if n == 0xFFFFFFFF and wide is not None else n
+                size = min(n, length - body)
+            at = body + n + n % 2
+    if not rate or not align or size is None:
+        return NO_FORMAT, rate, channels, None, None, seen
+    frames = size // align
+    return kind, rate, channels, frames, frames / rate, seen

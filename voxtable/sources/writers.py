@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,3 +101,25 @@ def write_named(rows: DataFrame, path: str, key: str, order: list[str], extensio
         if not files.exists(target) and not files.rename(part, target):
             raise OSError(f"can't name {target}")
     files.delete(make(aside), True)
+
+
+def write_bytes(rows: DataFrame, path: str, name: str, value: str) -> int:
+    """One file of bytes for each row, ``path/<name>``, written by the tasks; the number of files. Names must be
+    unique. A file appears under its name when it is whole, so a repeated task replaces it by the same one.
+    The path must be in a store that pyarrow.fs can open, which all executors share."""
+    path = path if "://" in path else f"file://{path}"
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+        for batch in batches:
+            for n, v in zip(batch["name"], batch["value"]):
+                place = f"{root}/{n}"
+                aside = f"{place}.{uuid.uuid4().hex}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(aside) as out:
+                    out.write(v)
+                store.move(aside, place)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    done = rows.select(F.col(name).alias("name"), F.col(value).cast("binary").alias("value")).mapInPandas(write, "n long")
+    return done.agg(F.sum("n")).first()[0] or 0
