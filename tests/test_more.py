@@ -262,6 +262,50 @@ def test_wave_kinds(spark, tmp_path):
     assert out["wide.wav"].bytes_read < 100 and out["late.wav"].bytes_read < 2000
 
 
+def test_two_drivers_share_a_study(spark, tmp_path):
+    import threading
+    import time
+
+    from voxtable.operators import trials
+
+    ran, grid, path = [], trials.grid({"a": [1.0, 2.0, 3.0, 4.0]}), str(tmp_path / "my store")
+
+    def run(params):
+        ran.append(params["a"])
+        time.sleep(0.3)
+        return params["a"] ** 2
+
+    drivers = [threading.Thread(target=trials.resume, args=(spark, path, "a study", grid, run)) for _ in range(2)]
+    for d in drivers:
+        d.start()
+    for d in drivers:
+        d.join()
+    assert sorted(ran) == [1.0, 2.0, 3.0, 4.0]
+    assert sorted((r.trial, r.value) for r in trials.read_store(spark, path).collect()) == [(i, (i + 1.0) ** 2) for i in range(4)]
+
+
+def test_trials_of_lost_drivers_and_failures(spark, tmp_path):
+    import pytest
+
+    from voxtable.operators import trials
+
+    path, grid = str(tmp_path / "store"), trials.grid({"a": [1.0, 2.0]})
+    assert trials.claim(spark, path, "s", 0, 3600.0) and not trials.claim(spark, path, "s", 0, 3600.0)
+    assert [r.trial for r in trials.resume(spark, path, "s", grid, lambda p: p["a"], lease=3600.0).collect()] == [1]
+    assert sorted(r.trial for r in trials.resume(spark, path, "s", grid, lambda p: p["a"], lease=0.0).collect()) == [0, 1]
+    with pytest.raises(ZeroDivisionError):
+        trials.resume(spark, path, "t", grid, lambda p: 1 / 0)
+    assert trials.resume(spark, path, "t", grid, lambda p: p["a"]).count() == 2
+
+
+def test_boundaries_and_limits(spark):
+    rows = spark.createDataFrame([(i, float(i % 100)) for i in range(1000)] + [(1000, None)], "k int, n double")
+    assert batching.length_boundaries(rows, "n", 10) == [9.0, 19.0, 29.0, 39.0, 49.0, 59.0, 69.0, 79.0, 89.0, 99.0]
+    assert batching.length_boundaries(rows.limit(0), "n") == []
+    out = batching.bucket_batches(rows.filter("n is not null"), "k", "n", [50.0, 99.0], 1000.0, 1, 0, max_examples=4)
+    assert {r["count"] for r in out.groupBy("bucket", "batch").count().collect()} <= {2, 4} and out.count() == 1000
+
+
 def test_film_files(spark):
     from voxtable.operators import subtitles
 

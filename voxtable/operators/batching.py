@@ -17,13 +17,28 @@ def fixed_batches(rows: DataFrame, file: str, order: str, size: int) -> DataFram
     return rows.withColumn("batch", F.floor(place / size).cast("int"))
 
 
-def bucket_batches(rows: DataFrame, key: str, length: str, boundaries: list[float], capacity: float, seed: object, epoch: int, drop_last: bool = False) -> DataFrame:
-    """rows with bucket and batch: rows of similar length, as many as fit into capacity at the bucket's bound.
+def length_boundaries(rows: DataFrame, length: str, buckets: int = 30, accuracy: int = 10000) -> list[float]:
+    """Upper bounds of ``buckets`` buckets of about equal numbers of rows, from a mergeable sketch of the lengths.
 
-    Rows beyond the last boundary share a bucket of batches of one. Order within a bucket is by hash.
+    A bound's rank is off by at most 1 / accuracy of the rows. Equal bounds become one; the last is the greatest
+    length. Null lengths don't count, and an empty table has no bounds.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    found = rows.agg(F.percentile_approx(length, shares, accuracy).alias("q"), F.max(length).alias("m")).first()
+    return [] if found["m"] is None else sorted({float(x) for x in [*found["q"], found["m"]]})
+
+
+def bucket_batches(rows: DataFrame, key: str, length: str, boundaries: list[float], capacity: float, seed: object, epoch: int, drop_last: bool = False, max_examples: int | None = None) -> DataFrame:
+    """rows with bucket and batch: rows of similar length, as many as fit into capacity at the bucket's bound, and at
+    most ``max_examples``.
+
+    Rows beyond the last boundary share a bucket of batches of one. Order within a bucket is by hash of the key, which
+    must tell rows apart: the rows of a weighted sample need a key of their own for each draw.
     """
     bucket = F.size(F.filter(F.array(*map(F.lit, boundaries)), lambda b: b < F.col(length)))
     limits = [max(1, int(capacity // b)) if b else 1 for b in boundaries] + [1]
+    if max_examples is not None:
+        limits = [min(n, max_examples) for n in limits]
     held = ranked(rows.withColumn("bucket", bucket), key, f"{seed}|{epoch}", ["bucket"])
     limit = F.array(*map(F.lit, limits))[F.col("bucket")]
     out = held.withColumn("batch", F.floor((F.col("rn") - 1) / limit).cast("long"))
@@ -33,9 +48,15 @@ def bucket_batches(rows: DataFrame, key: str, length: str, boundaries: list[floa
 
 
 def batch_padding(batches: DataFrame, length: str) -> DataFrame:
-    """Per batch: rows, frames with padding, padding and its percentage."""
-    total = F.count("*") * F.max(length)
-    return batches.groupBy("bucket", "batch").agg(F.count("*").alias("rows"), total.alias("frames"), (total - F.sum(length)).alias("padding"), F.when(total > 0, 100 * (total - F.sum(length)) / total).alias("padding_percent"))
+    """Per batch: rows, frames, padding up to its longest row, and padding in percent of the frames."""
+    frames, padding = F.sum(length), F.count("*") * F.max(length) - F.sum(length)
+    return batches.groupBy("bucket", "batch").agg(F.count("*").alias("rows"), frames.alias("frames"), padding.alias("padding"), F.when(frames > 0, 100 * padding / frames).alias("padding_percent"))
+
+
+def bucket_statistics(batches: DataFrame, length: str, capacity: float) -> DataFrame:
+    """Per bucket: rows, the batches that its length would fill, and its range of lengths in percent of their mean."""
+    total, n = F.sum(length), F.count("*")
+    return batches.groupBy("bucket").agg(n.alias("rows"), F.floor(total / capacity).alias("full_batches"), F.when(total > 0, 100 * (F.max(length) - F.min(length)) / (total / n)).otherwise(0.0).alias("pad_factor"))
 
 
 def batch_order(batches: DataFrame, length: str, training: bool, seed: object = 0) -> DataFrame:

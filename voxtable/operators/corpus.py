@@ -15,6 +15,20 @@ def category_of(name: Column) -> Column:
     return F.element_at(F.split(name, "_"), 2)
 
 
+#: Fixed value: the category of clips that preparation leaves out.
+DROPPED = ("REPAS",)
+
+
+def kept_categories(clips: DataFrame, name: str, dropped: tuple[str, ...] = DROPPED) -> DataFrame:
+    """Clips whose name has none of the dropped categories; names without a category stay."""
+    return clips.filter(~F.coalesce(category_of(F.col(name)).isin(*dropped), F.lit(False)))
+
+
+def first_samples(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order, where a data set is limited to so many samples."""
+    return rows.orderBy(*order).limit(n)
+
+
 MISSING = "<NA>"
 
 

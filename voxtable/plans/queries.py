@@ -302,11 +302,53 @@ def q_bucket_batches(spark, sf_dir):
     return _bucketed(spark, sf_dir)
 
 
-@query(f"SELECT bucket, batch, count(*) AS \"rows\", count(*) * max(n_chars) AS frames, CAST(count(*) * max(n_chars) - sum(n_chars) AS BIGINT) AS padding, 100.0 * (count(*) * max(n_chars) - sum(n_chars)) / (count(*) * max(n_chars)) AS padding_percent FROM {BATCHES} GROUP BY bucket, batch")
+@query(f"SELECT bucket, batch, count(*) AS \"rows\", CAST(sum(n_chars) AS BIGINT) AS frames, CAST(count(*) * max(n_chars) - sum(n_chars) AS BIGINT) AS padding, 100.0 * (count(*) * max(n_chars) - sum(n_chars)) / sum(n_chars) AS padding_percent FROM {BATCHES} GROUP BY bucket, batch")
 def q_batch_padding(spark, sf_dir):
     return batching.batch_padding(_bucketed(spark, sf_dir), "n_chars")
 
 
+#: Bounds of 30 buckets of about equal numbers of documents, and batches of 12 documents at most.
+LEARNED = """WITH r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS r, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL),
+bounds AS (SELECT DISTINCT CAST(n_chars AS DOUBLE) AS bound FROM r WHERE r = n OR r IN (SELECT CAST(ceil(i / 30.0 * (SELECT count(n_chars) FROM documents)) AS BIGINT) FROM range(1, 30) t(i))),
+b AS (SELECT doc_id, n_chars, (SELECT count(*) FROM bounds WHERE bound < n_chars) AS bucket FROM documents)"""
+
+
+@query(f"{LEARNED} SELECT bound FROM bounds")
+def q_length_boundaries(spark, sf_dir):
+    """Bucket bounds from the documents' lengths."""
+    return spark.createDataFrame([(b,) for b in batching.length_boundaries(table(spark, sf_dir, "documents"), "n_chars")], "bound double")
+
+
+@query(f"""{LEARNED}, l AS (SELECT b.*, least(12, greatest(1, CAST(floor(100000 / greatest(bound, 1)) AS BIGINT))) AS lim FROM b JOIN (SELECT bound, row_number() OVER (ORDER BY bound) - 1 AS bucket FROM bounds) USING (bucket)),
+p AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY md5('5|1|' || doc_id), doc_id) - 1) // lim AS batch FROM l)
+SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS "rows", CAST(floor(sum(n_chars) / 100000) AS BIGINT) AS full_batches, 100 * (max(n_chars) - min(n_chars)) / (sum(n_chars) / count(*)) AS pad_factor, count(DISTINCT batch) AS batches, max(n) AS most
+FROM (SELECT *, count(*) OVER (PARTITION BY bucket, batch) AS n FROM p) GROUP BY bucket""")
+def q_bucket_statistics(spark, sf_dir):
+    """Statistics of buckets with learned bounds and a limit of examples, and their batches."""
+    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "lengths")
+    batches = materialize(batching.bucket_batches(docs, "doc_id", "n_chars", batching.length_boundaries(docs, "n_chars"), 100000.0, 5, 1, max_examples=12), "batches")
+    per = batches.groupBy("bucket", "batch").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("batches"), F.max("n").alias("most"))
+    return batching.bucket_statistics(batches, "n_chars", 100000.0).join(per, "bucket")
+
+
+@query("""SELECT doc_id, category FROM (SELECT doc_id, CASE WHEN n_chars % 4 = 0 THEN 'REPAS' ELSE lang END AS category FROM documents) WHERE category <> 'REPAS' ORDER BY doc_id LIMIT 50""")
+def q_limited_samples(spark, sf_dir):
+    """The first fifty clips, where those of a dropped category are left out."""
+    name = F.concat(F.lit("clip_"), F.when(F.col("n_chars") % 4 == 0, "REPAS").otherwise(F.col("lang")), F.lit("_"), "doc_id")
+    clips = table(spark, sf_dir, "documents").withColumn("name", name)
+    return corpus.first_samples(corpus.kept_categories(clips, "name"), 50, "doc_id").select("doc_id", corpus.category_of(F.col("name")).alias("category"))
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 100 < 90 THEN 'train' ELSE 'test' END AS split FROM orders)
+SELECT 'speaker' AS kind, CAST(o_custkey AS BIGINT) AS key, count(DISTINCT split) AS splits FROM s GROUP BY o_custkey HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'recording', CAST(o_orderkey AS BIGINT), count(DISTINCT split) FROM s GROUP BY o_orderkey HAVING count(DISTINCT split) > 1""")
+def q_leaks(spark, sf_dir):
+    """Customers, and orders, that a split of the orders by their numbers has in both parts."""
+    s = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 100 < 90, "train").otherwise("test").alias("split"))
+    of = lambda kind, key: splits.leaks(s, key).select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"), "splits")
+    return of("speaker", "o_custkey").unionByName(of("recording", "o_orderkey"))
+
+
 @query("SELECT conv_id, turn, [1] || list_transform(string_split(text, ' '), lambda w: length(w)) || [2] AS tokens FROM conversations WHERE len(string_split(text, ' ')) BETWEEN 2 AND 200")
 def q_bos_eos(spark, sf_dir):
     """Sequences of 2 to 200 tokens with their marks; a word's length stands for its token."""
