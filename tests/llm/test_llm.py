@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -445,6 +446,79 @@ def test_chat_levels_against_plain_search(spark, monkeypatch):
     assert got == want
 
 
+def plain_licenses(text, threshold=licenses.THRESHOLD):
+    """The scan's definition by plain search: (line_no, license, dice) of one text."""
+    def told(words):
+        plain = [re.sub(r"^v(\d+)$", r"\1", w) for w in words]
+        return {w for w in plain if w in licenses.NEGATIONS + licenses.FAMILY or (w.isdigit() and w != "0")}
+
+    known = []
+    for i, (name, notice) in enumerate(licenses.NOTICES):
+        w = re.findall(licenses.WORD, notice.lower())
+        known.append((i, name, set(zip(w, w[1:])), told(w)))
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    by_line = [re.findall(licenses.WORD, line.lower()) for line in text.split("\n")]
+    out, taken = [], set()
+    for n, w in enumerate(by_line):
+        b = set(zip(w, w[1:]))
+        denied = n and set(by_line[n - 1][-2:]) & set(licenses.NEGATIONS)
+        met = [(dice(b, k), -i, name) for i, name, k, t in known if b and not denied and t == told(w) and dice(b, k) >= threshold]
+        if met:
+            out.append((n, max(met)[2], round(max(met)[0], 6)))
+            taken.add(n)
+    words, lines = [x for w in by_line for x in w], [n for n, w in enumerate(by_line) for _ in w]
+    found = []
+    for i, name, k, t in known:
+        longest = int(len(k) * (2 - threshold) / threshold + 1e-9)
+        for at in range(len(words) - 1):
+            if (words[at], words[at + 1]) not in k or set(words[max(at - 2, 0):at]) & set(licenses.NEGATIONS):
+                continue
+            best = (0, 0)
+            for n in range(1, min(longest, len(words) - 1 - at) + 1):
+                w = words[at : at + n + 1]
+                after = words[at + n + 1] if at + n + 1 < len(words) else ""
+                if told(w) != t or (re.fullmatch(r"v?\d+", w[-1]) and re.fullmatch(r"[1-9]\d?", after)):
+                    continue
+                best = max(best, (dice(set(zip(w, w[1:])), k), -n))
+            if best[0] >= threshold:
+                end = at - best[1] + 1
+                if not taken & set(range(lines[at], lines[end - 1] + 1)):
+                    found.append((-best[0], i, at, end, lines[at], name))
+    picked = []
+    for x in sorted(found):
+        if all(not (y[2] < x[3] and x[2] < y[3]) for y in picked):
+            picked.append(x)
+    return sorted(out + [(x[4], x[5], round(-x[0], 6)) for x in picked])
+
+
+def test_licenses_equal_a_plain_search(spark):
+    rnd = random.Random(9)
+    parts = [t for _, t in licenses.NOTICES] + ["Not", "never", "version 1", "v2", "2020", "Copyright Jane Doe.", "the license", "word " * 5]
+    texts = []
+    for _ in range(150):
+        words = " ".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))).split()
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(words))
+            words[at] = rnd.choice([words[at], "x", "3", "1", "lesser", "not", words[at] + "\n"])
+        texts.append("".join(w + rnd.choice([" ", " ", " ", " ", "\n"]) for w in words))
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.line_no, r.license, r.dice))
+    assert {i: sorted(v) for i, v in got.items()} == {i: w for i, t in enumerate(texts) if (w := plain_licenses(t))}
+
+
+def test_licenses_tell_versions_siblings_and_denials_apart(spark):
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    cases = [
+        (gnu.format("", "1"), None), (gnu.format("", "2"), "GPL-2.0"), (gnu.format("", "3.0"), "GPL-3.0"), (gnu.format("Lesser ", "2.1"), "LGPL-2.1"), (gnu.format("Lesser ", "2"), None),
+        (gnu.format("Affero ", "3"), "AGPL-3.0"), ("This work is licensed under a Creative Commons Attribution 3.0 International License.", None), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+        ("Not released under the MIT License.", None), ("This is never\nreleased under the MIT License.", None), ("Copyright 2020 Jane Doe. Released under the MIT License.", "MIT"),
+        ("text\nThis program and the accompanying materials are made available under the terms\nof the Eclipse Public License 2.0", "EPL-2.0"), ("", None), ("word " * 20_000 + gnu.format("", "3"), "GPL-3.0"),
+    ]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(cases) if name}
+
+
 def test_licenses(spark, edge, empty):
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT license\nreleased under"), (2, None)], "doc_id long, text string")
     assert [(r.doc_id, r.line_no, r.license) for r in licenses.scan(docs).collect()] == [(1, 1, "MIT")]

@@ -10,8 +10,15 @@ Only texts that have one of a notice's anchor words are taken apart, since witho
 are left for t. A window that touches a matched line doesn't count; of windows that overlap the best one
 does, under the number of its first line.
 
-Defined results: null text has no lines; a line of one word has no bigrams and never matches; ties
-go to the name that sorts first; repeated rows count once; other columns are ignored.
+The coefficient alone takes another version, a sibling of the same family or a denial for the notice, as they
+differ in a word or two. So a passage must have exactly the notice's telling words: version numbers (zeros aside),
+words that set a family's licences apart, and negations. Behind a negation nothing counts: it may be one of the two words
+before a window, or of the last two of the line before a line. Nor does a window whose last number goes on (2 of 2.1).
+
+Defined results: null and empty texts have no lines; a line of one word has no bigrams and never matches; very
+long texts are compared line by line and window by window, whole; of equal coefficients the notice that is listed
+first wins, then the earlier window, then the shorter; rows with a null id are scanned like others; repeated
+rows count once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +36,14 @@ NOTICES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
@@ -41,8 +52,20 @@ NOTICES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Words that deny a licence.
+NEGATIONS = ["no", "nor", "not", "never", "neither", "isn", "aren", "wasn"]
+#: Words that tell licences of a family apart.
+FAMILY = ["affero", "lesser", "library", "nc", "nd", "sa", "noncommercial", "noderivatives", "sharealike"]
 WORD = r"[a-z0-9]+"
 THRESHOLD = 0.8
+#: A folded line of which one of the last two words is a negation.
+DENIED = rf"(^|[^a-z0-9])({'|'.join(NEGATIONS)})([^a-z0-9]+[a-z0-9]+)?[^a-z0-9]*$"
+
+
+def telling(words: Column) -> Column:
+    """The telling words, sorted and joined: numbers but zero (2 of v2, too), and words of NEGATIONS and FAMILY."""
+    plain = F.transform(words, lambda w: F.regexp_replace(w, r"^v(\d+)$", "$1"))
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(plain, lambda w: w.isin(NEGATIONS + FAMILY) | (w.rlike(r"^\d+$") & (w != "0"))))), " ")
 
 
 def bigrams(line: Column) -> Column:
@@ -53,20 +76,25 @@ def bigrams(line: Column) -> Column:
 def notices(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(notice_no, license, bigrams, k) of the fixed list or of others, which must be few."""
     rows = [(i, name, text) for i, (name, text) in enumerate(texts or NOTICES)]
-    return spark.createDataFrame(rows, "notice_no int, license string, text string").select("notice_no", "license", bigrams(F.col("text")).alias("bigrams")).withColumn("k", F.size("bigrams"))
+    told = telling(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    return spark.createDataFrame(rows, "notice_no int, license string, text string").select("notice_no", "license", told.alias("told"), bigrams(F.col("text")).alias("bigrams")).withColumn("k", F.size("bigrams"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, license, dice): for each line that reaches the threshold its best licence, and
     each notice found in a window of words, under its first line."""
     known = notices(docs.sparkSession, texts)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     bounds = known.agg(F.min("k"), F.max("k")).first()
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
+    each = F.split(text_col, "\n", -1)
+    pairs = F.zip_with(each, F.concat(F.array(F.lit("")), each), lambda line, before: F.struct(line.alias("line"), before.alias("before")))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.posexplode(pairs).alias("line_no", "pair")).select("doc_id", "row", "line_no", "pair.*")
+    lines = lines.filter(F.col("line").isNotNull() & ~F.lower("before").rlike(DENIED)).drop("before")
     sized = lines.withColumn("bigrams", bigrams(F.col("line"))).withColumn("m", F.size("bigrams")).filter((F.col("m") >= low * bounds[0]) & (F.col("m") <= high * bounds[1]))
-    shared = known.select("notice_no", "license", "k", F.explode("bigrams").alias("bigram"))
-    parts = sized.select("doc_id", "row", "line_no", "m", F.explode("bigrams").alias("bigram"))
-    met = parts.join(F.broadcast(shared), "bigram").filter((F.col("m") >= low * F.col("k")) & (F.col("m") <= high * F.col("k")))
+    sized = sized.withColumn("told", telling(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))))
+    shared = known.select("notice_no", "license", "told", "k", F.explode("bigrams").alias("bigram"))
+    parts = sized.select("doc_id", "row", "line_no", "m", "told", F.explode("bigrams").alias("bigram"))
+    met = parts.join(F.broadcast(shared), ["bigram", "told"]).drop("told").filter((F.col("m") >= low * F.col("k")) & (F.col("m") <= high * F.col("k")))
     dice = met.distinct().groupBy("doc_id", "row", "line_no", "notice_no", "license", "m", "k").count().withColumn("dice", 2 * F.col("count") / (F.col("m") + F.col("k"))).filter(F.col("dice") >= threshold)
     best = dice.groupBy("doc_id", "row", "line_no").agg(F.max_by("license", F.struct("dice", -F.col("notice_no"))).alias("license"), F.max("dice").alias("dice"))
     taken = best.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("taken"))
@@ -93,14 +121,15 @@ def anchors(bigrams: list[str], threshold: float) -> set[str]:
 
 def windows(docs: DataFrame, known: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, notice_no, license, at, end, line_no, last_line, dice): from each place of a notice's bigram the
-    window of words with the greatest coefficient, if it reaches the threshold. Each is found within its row."""
+    window of words with the greatest coefficient of those with its telling words, if it reaches the threshold. Each is
+    found within its row."""
     widest = (2 - threshold) / threshold
     fixed = known.collect()  # a fixed list
     words = sorted({w for r in fixed for w in anchors(r["bigrams"], threshold)})
     text, any_anchor = F.lower(text_col), F.lit(False)
     for w in words:
         any_anchor = any_anchor | text.contains(w)
-    shared = known.select("notice_no", "license", "k", F.col("bigrams").alias("notice"), F.explode("bigrams").alias("bigram"))
+    shared = known.select("notice_no", "license", "told", "k", F.col("bigrams").alias("notice"), F.explode("bigrams").alias("bigram"))
     every = sorted({b for r in fixed for b in r["bigrams"]})
     most = max(int(r["k"] * widest + 1e-9) for r in fixed)
     let = lambda x, use: F.element_at(F.transform(F.array(x), use), 1)
@@ -111,7 +140,7 @@ def windows(docs: DataFrame, known: DataFrame, threshold: float, id_col: str = "
 
     def hits_of(pairs: Column, lines: Column) -> Column:
         known_at = F.filter(F.transform(pairs, lambda b, i: F.struct(i.alias("at"), b.alias("bigram"))), lambda x: x["bigram"].isin(every))
-        return F.transform(known_at, lambda x: F.struct(x["at"].alias("at"), x["bigram"].alias("bigram"), F.filter(F.slice(pairs, x["at"] + 1, most), lambda b: b.isNotNull()).alias("pairs"), F.slice(lines, x["at"] + 1, most + 1).alias("lines")))
+        return F.transform(known_at, lambda x: F.struct(x["at"].alias("at"), x["bigram"].alias("bigram"), F.filter(F.slice(pairs, x["at"] + 1, most + 1), lambda b: b.isNotNull()).alias("pairs"), F.concat_ws(" ", F.get(pairs, x["at"] - 2), F.get(pairs, x["at"] - 1)).alias("before"), F.slice(lines, x["at"] + 1, most + 1).alias("lines")))
 
     def in_lines(by_line: Column) -> Column:
         lines = F.flatten(F.transform(by_line, lambda w, i: F.array_repeat(i, F.size(w))))
@@ -119,13 +148,16 @@ def windows(docs: DataFrame, known: DataFrame, threshold: float, id_col: str = "
 
     cut = docs.filter(any_anchor).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.explode(let(by_line, in_lines)).alias("hit")).select("doc_id", "row", "hit.*")
     longest = F.floor(F.col("k") * widest + 1e-9).cast("int")
-    hits = cut.join(F.broadcast(shared), "bigram").select("doc_id", "row", "notice_no", "license", "k", "notice", "at", F.slice("pairs", F.lit(1), longest).alias("tail"), "lines")
+    hits = cut.filter(~F.col("before").rlike(rf"(^| )({'|'.join(NEGATIONS)})( |$)")).join(F.broadcast(shared), "bigram")
+    hits = hits.select("doc_id", "row", "notice_no", "license", "told", "k", "notice", "at", "pairs", F.slice("pairs", F.lit(1), longest).alias("tail"), "lines")
     hits = hits.filter(F.size(F.array_intersect("tail", "notice")) >= F.col("k") / widest - 1e-9)
 
     def measured(n: Column) -> Column:
         window = F.slice("tail", F.lit(1), n)
         both = F.size(F.array_intersect(window, F.col("notice")))
-        return F.struct((2 * both / (F.size(F.array_distinct(window)) + F.col("k"))).alias("dice"), (-n).alias("n"))
+        same = telling(F.flatten(F.transform(window, lambda b: F.split(b, " ")))) == F.col("told")
+        goes_on = F.coalesce(F.get("pairs", n).rlike(r"^v?\d+ [1-9]\d?$"), F.lit(False))
+        return F.struct(F.when(same & ~goes_on, 2 * both / (F.size(F.array_distinct(window)) + F.col("k"))).otherwise(0.0).alias("dice"), (-n).alias("n"))
 
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("tail")), measured))
     hits = hits.withColumn("best", best).filter(F.col("best.dice") >= threshold)
@@ -136,12 +168,14 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
     """The same over DuckDB's documents view."""
     quoted = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(NOTICES))
     split = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    kept = ", ".join(f"'{w}'" for w in NEGATIONS + FAMILY)
+    told = rf"list_sort(list_distinct(list_filter(list_transform(w, lambda x: regexp_replace(x, '^v([0-9]+)$', '\1')), lambda x: x IN ({kept}) OR (regexp_matches(x, '^[0-9]+$') AND x <> '0'))))"
     return f"""
-    WITH notice AS (SELECT i, license, {split} AS b FROM (SELECT i, license, regexp_extract_all(lower(t), '{WORD}') AS w FROM (VALUES {quoted}) v(i, license, t))),
-    line AS (SELECT doc_id, text, line_no - 1 AS line_no, {split} AS b FROM (
-        SELECT doc_id, text, line_no, regexp_extract_all(lower(l), '{WORD}') AS w FROM (
-            SELECT DISTINCT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents))),
+    WITH notice AS (SELECT i, license, {split} AS b, {told} AS told FROM (SELECT i, license, regexp_extract_all(lower(t), '{WORD}') AS w FROM (VALUES {quoted}) v(i, license, t))),
+    line AS (SELECT doc_id, text, line_no - 1 AS line_no, {split} AS b, {told} AS told FROM (
+        SELECT doc_id, text, line_no, regexp_extract_all(lower(l), '{WORD}') AS w FROM (SELECT *, coalesce(lag(l) OVER (PARTITION BY doc_id, text ORDER BY line_no), '') AS before FROM (
+            SELECT DISTINCT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)) WHERE NOT regexp_matches(lower(before), '{DENIED}'))),
     dice AS (SELECT doc_id, text, line_no, i, license, 2.0 * len(list_intersect(line.b, notice.b)) / (len(line.b) + len(notice.b)) AS dice
-        FROM line JOIN notice ON len(line.b) * (2 - {threshold}) >= len(notice.b) * {threshold} AND len(line.b) * {threshold} <= len(notice.b) * (2 - {threshold}))
+        FROM line JOIN notice ON line.told = notice.told AND len(line.b) * (2 - {threshold}) + 1e-9 >= len(notice.b) * {threshold} AND len(line.b) * {threshold} <= len(notice.b) * (2 - {threshold}) + 1e-9)
     SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, license, round(dice, 6) AS dice
     FROM dice WHERE dice >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, text, line_no ORDER BY dice DESC, i) = 1"""
