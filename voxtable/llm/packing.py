@@ -26,6 +26,8 @@ from voxtable.plans.storage import materialize
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
+#: Salts that stored pieces take by their place, more than any number of buckets that they are dealt to.
+SALTS = 1 << 30
 
 
 class Encoder:
@@ -129,19 +131,21 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length", salt_col: str | None = None) -> DataFrame:
     """Add sequence_id and offset to every row of ``pieces`` (any table with a length column).
 
     ``pieces`` is read twice, so it should be a stored table. The histogram has at most ``capacity``
     rows and the plan a few thousand: both are bounded by capacity, whatever the number of pieces.
-    Ranks are dealt by (length, bucket), so that a length with most of the rows spreads over tasks.
+    Ranks are dealt by (length, bucket), so that a length with most of the rows spreads over tasks, and equal
+    rows do too where ``salt_col`` names a stored column that isn't made from the content (see salted).
     """
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy(F.col(length_col).cast("long")).count().collect()}
     runs = plan_runs(histogram, capacity)
     total = sum(histogram.values())
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, total // 200_000 + 1)
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)).cast("int"))
+    by = F.col(salt_col) if salt_col else F.xxhash64(*pieces.columns)
+    bucketed = pieces.withColumn("_bucket", F.pmod(by, F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy(length_col, "_bucket").count()
     before = Window.partitionBy(length_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
@@ -169,16 +173,22 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
     )
 
 
+def salted(pieces: DataFrame, name: str = "_salt") -> DataFrame:
+    """pieces with a number below SALTS by each row's place among them, to be stored with them."""
+    return pieces.withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+
+
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Tokenise, cut and pack documents: pieces with their ids, sequence_id and offset."""
-    return pack(materialize(tokenize_pieces(docs, ranks_path, pattern, capacity, end_id), "pieces"), capacity)
+    pieces = materialize(salted(tokenize_pieces(docs, ranks_path, pattern, capacity, end_id)), "pieces")
+    return pack(pieces, capacity, salt_col="_salt").drop("_salt")
 
 
 def piece_digests(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """The packing of documents with a checksum for the ids, which are dropped as soon as they are summed."""
     pieces = tokenize_pieces(docs, ranks_path, pattern, capacity, end_id)
     slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(materialize(slim, "pieces"), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(materialize(salted(slim), "pieces"), capacity, salt_col="_salt").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, end_id: int = 2) -> DataFrame:
