@@ -42,8 +42,10 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     parts = ["turn", "name", "arguments", "depends_on"]
     once = calls.filter(known).groupBy(*KEY).agg(F.min(F.struct(*parts)).alias("c")).select(*KEY, "c.*")
     answers = results.groupBy(*KEY).agg(F.min("content").alias("result"), F.count("*").alias("n_results"))
-    every = once.unionByName(calls.filter(~known).select(*KEY, *parts))
-    return every.join(answers, KEY, "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+    linked = once.join(answers, KEY, "left").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
+    # calls without keys take no part in the join, where they would all be one key's rows
+    alone = calls.filter(~known).select(*KEY, *parts, F.lit(None).cast("string").alias("result"), F.lit(0).cast("long").alias("n_results"))
+    return linked.unionByName(alone)
 
 
 def _chains(singles: DataFrame) -> DataFrame:
@@ -62,7 +64,9 @@ def _chains(singles: DataFrame) -> DataFrame:
 
 def levels(linked: DataFrame) -> DataFrame:
     """linked with level: 0 for calls without known dependencies, else one more than the highest of theirs."""
-    nodes = materialize(linked.filter("conv_id is not null and call_id is not null").select(*KEY), "calls")
+    keyless = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    alone, linked = linked.filter(keyless).withColumn("level", F.lit(None).cast("int")), linked.filter(~keyless)
+    nodes = materialize(linked.select(*KEY), "calls")
     asked = linked.join(nodes, KEY, "left_semi").select(*KEY, F.explode("depends_on").alias("parent")).filter("parent is not null").distinct()
     there = nodes.select("conv_id", F.col("call_id").alias("parent"), F.lit(True).alias("there"))
     edges = materialize(spread_join(asked, there, ["conv_id", "parent"], "call_id").filter("there").drop("there"), "dependencies")
@@ -85,7 +89,7 @@ def levels(linked: DataFrame) -> DataFrame:
         done = materialize(done.unionByName(fresh_levels), "levels")
     ends = done.select("conv_id", F.col("call_id").alias("ahead"), F.col("level").alias("below"))
     single = spread_join(chains.filter("not moving"), ends, ["conv_id", "ahead"], "call_id").select(*KEY, (F.col("below") + F.col("distance")).alias("level"))
-    return linked.join(done.unionByName(single), KEY, "left").withColumn("level", F.col("level").cast("int"))
+    return linked.join(done.unionByName(single), KEY, "left").withColumn("level", F.col("level").cast("int")).unionByName(alone)
 
 
 def _members(value: Column, path: Column | None = None) -> Column:
