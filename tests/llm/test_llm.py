@@ -67,6 +67,15 @@ def test_packing_round_trip(edge, empty):
     assert packing.piece_digests(empty, *tokenizer()).count() == 0
 
 
+def test_equal_rows_spread_over_buckets(spark):
+    docs = spark.createDataFrame([(None, None)] * 3000 + [(1, "one two three")] * 500, "doc_id long, text string")
+    packed = packing.pack_documents(docs, *tokenizer()).select("length", "sequence_id", "offset").collect()
+    assert len(packed) == 3500 and len({(r.sequence_id, r.offset) for r in packed}) == 3500
+    assert len({r.sequence_id for r in packed}) == -(-sum(r.length for r in packed) // 1024)
+    per = Counter(r._salt % 16 for r in packing.salted(docs).collect())
+    assert len(per) == 16 and max(per.values()) < 2 * 3500 / 16
+
+
 def test_segments_match_quadratic_search():
     rnd = random.Random(2)
     for _ in range(300):
@@ -134,6 +143,23 @@ def near_items(w, items, slop):
     return found
 
 
+def test_decontamination_beyond_its_broadcasts(spark, monkeypatch):
+    rnd = random.Random(4)
+    vocabulary = ["the", "The", *(f"w{i}" for i in range(60))]
+    some = lambda n: [rnd.choice(vocabulary) if rnd.random() < 0.7 else "the" for _ in range(n)]
+    items = [(i, " ".join(some(rnd.randint(0, 25)))) for i in range(12)]
+    cut = lambda t: " ".join(t.split()[: rnd.randint(5, 20)])
+    docs = [(i, " ".join([*some(rnd.randint(0, 60)), cut(rnd.choice(items)[1]), *some(5)])) for i in range(120)] + [(7, None), (None, items[1][1]), (500, " ".join(some(8000)))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontamination.digests(docs, items).collect()))
+    kept = sorted(map(str, decontamination.drop_contaminated(docs, items).collect()))
+    for limit in ("TERM_ROWS", "TERM_CHARACTERS", "WINDOW_ROWS", "KEY_ROWS"):
+        monkeypatch.setattr(decontamination, limit, 0)
+    assert sorted(map(str, decontamination.digests(docs, items).collect())) == want
+    assert sorted(map(str, decontamination.drop_contaminated(docs, items).collect())) == kept
+    assert 0 < len(kept) < 123
+
+
 def test_decontamination_by_proximity(spark):
     rnd = random.Random(14)
     words = [f"w{i}" for i in range(7)]
@@ -350,6 +376,7 @@ def test_language_id_by_joins_is_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     one = sorted(map(repr, ((r.doc_id, r.lang_pred, round(r.score, 4), r.rejected) for r in language_id.predictions(docs).collect())))
     monkeypatch.setattr(language_id, "ARRAY_NUMBERS", 0)
+    monkeypatch.setattr(names, "HOT", 20)
     assert sorted(map(repr, ((r.doc_id, r.lang_pred, round(r.score, 4), r.rejected) for r in language_id.predictions(docs).collect()))) == one
     got = {r.doc_id: r.lang_pred for r in language_id.predictions(docs).collect()}
     assert got[61] in "ab" and got[62] == got[None] == "und"

@@ -9,8 +9,9 @@
 4. A proximity match has all terms of a window, as often as the window has them, in any order within its
    length and a slop. Postings of its terms around the rarest one are gathered and counted.
 
-Only DataFrame functions are used. Tables about the test set are broadcast up to a size that is checked
-and joined by shuffles beyond it. Joins on postings are by (key, pos, term), so no term or text is hot.
+Only DataFrame functions are used. Tables about the test set are broadcast up to a size that is checked.
+Beyond it each term or text is dealt to parts, to each of which the test set's rows go, so that a frequent
+term or a long text is no single task's work. Joins of postings with postings are by (key, pos, term).
 
 Defined results: null and empty texts have no words; very long texts are indexed like others, posting by
 posting; repeated rows get a row each; rows with a null id are searched like others; an item without
@@ -26,7 +27,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.names import broadcast_if_small, fresh
+from voxtable.llm.names import broadcast_if_small, fresh, meet_test_set
 from voxtable.plans.storage import materialize
 
 #: A word before folding: what the folded text has between ASCII characters other than a-z and 0-9.
@@ -58,7 +59,7 @@ def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
     each = item.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("terms"))
     each = materialize(each.select(F.xxhash64("terms").alias("window_id"), "terms", "item"), "windows")
-    return each.groupBy("window_id").agg(F.size(F.first("terms")).alias("n"), F.first("terms").alias("terms")), each.select("window_id", "item").distinct()
+    return each.groupBy("window_id").agg(F.size(F.first("terms")).alias("n"), F.first("terms").alias("terms")), materialize(each.select("window_id", "item").distinct(), "members")
 
 
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,10 +70,10 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     """
     ends = docs.sparkSession.createDataFrame([(END,)], "word string")
     named = terms.select("word").distinct().union(ends).select("word", F.lower("word").alias("low"), F.when(F.col("word") == END, F.lit(0)).otherwise(F.xxhash64("word")).cast("long").alias("term"))
-    named = broadcast_if_small(materialize(named, "terms"), TERM_ROWS, TERM_CHARACTERS, "word")
+    named = materialize(named, "terms")
     source = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.concat(words(F.col(text_col)), F.array(F.lit(END))).alias("w"))
     tokens = source.select("doc_id", "key", F.posexplode("w").alias("pos", "token")).withColumn("low", F.lower("token"))
-    met = tokens.join(named, "low").filter((F.col("token") == F.col("word")) | (fold(F.col("token")) == F.col("word")))
+    met = meet_test_set(tokens, named, "low", TERM_ROWS, TERM_CHARACTERS, "word", by=("key", "pos")).filter((F.col("token") == F.col("word")) | (fold(F.col("token")) == F.col("word")))
     return materialize(met.select("doc_id", "key", "term", "pos"), "postings")
 
 
@@ -88,31 +89,35 @@ def _anchored(index: DataFrame, plan: DataFrame) -> DataFrame:
     """(key, pos, window_id, n, at, second): postings of rarest terms with the windows that they lead; at is the
     term's place in the window, second the next term (at, term)."""
     lead = plan.select("window_id", "n", F.col("ordered")[0]["at"].alias("at"), F.col("ordered")[0]["term"].alias("term"), F.get("ordered", F.lit(1)).alias("second"))
-    return index.filter("term <> 0").select("key", "term", "pos").join(lead, "term").drop("term")
+    return meet_test_set(index.filter("term <> 0").select("key", "term", "pos"), lead, "term", WINDOW_ROWS, by=("key", "pos")).drop("term")
 
 
 def _seconds(index: DataFrame, plan: DataFrame) -> DataFrame:
     """The postings (key, pos, term) of the second rarest terms."""
     terms = materialize(plan.filter("n > 1").select(F.col("ordered")[1]["term"].alias("term")).distinct(), "seconds")
-    return index.select("key", "pos", "term").join(broadcast_if_small(terms, TERM_ROWS), "term", "left_semi")
+    return meet_test_set(index.select("key", "pos", "term"), terms, "term", TERM_ROWS, how="left_semi", by=("key", "pos"))
 
 
 def _of_rows(index: DataFrame, rows: DataFrame) -> DataFrame:
     """The postings (key, pos, term) of the rows whose keys ``rows`` has."""
     keys = materialize(rows.select("key").distinct(), "keys")
-    return index.filter("term <> 0").select("key", "pos", "term").join(broadcast_if_small(keys, KEY_ROWS), "key", "left_semi")
+    return meet_test_set(index.filter("term <> 0").select("key", "pos", "term"), keys, "key", KEY_ROWS, how="left_semi", by=("pos",))
+
+
+def of_windows(found: DataFrame, table: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """found with what a stored table says of its windows; a window may be found in any share of the texts."""
+    return meet_test_set(found, table, "window_id", WINDOW_ROWS, by=by)
 
 
 def exact_matches(index: DataFrame, known: DataFrame) -> DataFrame:
     """Stored table (key, start, n, window_id) of all places where a window occurs."""
-    plan = broadcast_if_small(known, WINDOW_ROWS)
-    starts = _anchored(index, plan).withColumn("start", F.col("pos") - F.col("at")).filter("start >= 0").select("key", "start", "window_id", "n", "second")
+    starts = _anchored(index, known).withColumn("start", F.col("pos") - F.col("at")).filter("start >= 0").select("key", "start", "window_id", "n", "second")
     second = starts.filter("n > 1").select("key", "start", "window_id", "n", (F.col("start") + F.col("second.at")).alias("pos"), F.col("second.term").alias("term"))
     met = second.join(_seconds(index, known), ["key", "pos", "term"], "left_semi").select("key", "start", "window_id", "n")
     met = materialize(met.unionByName(starts.filter("n = 1").drop("second")).distinct(), "candidates")
     # the other terms' lists are only read for rows that still have a start
     longer = met.filter("n > 2")
-    rest = longer.join(plan.select("window_id", "ordered"), "window_id").select("key", "start", "window_id", "n", F.explode(F.slice("ordered", F.lit(3), F.col("n") - 2)).alias("t"))
+    rest = of_windows(longer, known.select("window_id", "ordered"), ("key", "start")).select("key", "start", "window_id", "n", F.explode(F.slice("ordered", F.lit(3), F.col("n") - 2)).alias("t"))
     rest = rest.select("key", "start", "window_id", "n", (F.col("start") + F.col("t.at")).alias("pos"), F.col("t.term").alias("term"))
     there = rest.join(_of_rows(index, longer), ["key", "pos", "term"], "left_semi").groupBy("key", "start", "window_id", "n").count().filter("count = n - 2")
     return materialize(there.drop("count").unionByName(met.filter("n <= 2")), "matches")
@@ -125,7 +130,7 @@ def near_matches(index: DataFrame, known: DataFrame, slop: int) -> DataFrame:
     The second rarest term must be near the rarest; what is left meets the other postings around it. Both
     joins are by (key, part, term), where parts are stretches of the text, so none is by text or term alone.
     """
-    plan = broadcast_if_small(known, WINDOW_ROWS)
+    plan = known.select("window_id", "ordered")
     widest = (known.agg(F.max("n")).first()[0] or WINDOW) + slop
     far = F.col("n") - 1 + slop
     part = lambda c: F.floor(c / F.lit(widest)).cast("int")
@@ -137,13 +142,13 @@ def near_matches(index: DataFrame, known: DataFrame, slop: int) -> DataFrame:
         keys = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "term", "part")]
         return left.alias("l").join(parted(lists).alias("r"), keys[0] & keys[1] & keys[2] & within, how)
 
-    anchor = _anchored(index, plan).withColumnRenamed("pos", "p")
+    anchor = _anchored(index, known).withColumnRenamed("pos", "p")
     first = anchor.filter("n > 1").select("key", "p", "window_id", "n", F.col("second.term").alias("term"), parts.alias("part"))
     near = materialize(meet(first, _seconds(index, known), "left_semi").select("key", "p", "window_id", "n").distinct(), "near_candidates")
-    wanted = near.join(plan.select("window_id", "ordered"), "window_id").select("key", "p", "window_id", "n", F.explode(F.array_distinct(F.transform("ordered", lambda t: t["term"]))).alias("term")).withColumn("part", parts)
+    wanted = of_windows(near, plan, ("key", "p")).select("key", "p", "window_id", "n", F.explode(F.array_distinct(F.transform("ordered", lambda t: t["term"]))).alias("term")).withColumn("part", parts)
     found = meet(wanted, _of_rows(index, near), "inner").select("l.key", "l.p", "l.window_id", "l.n", "r.pos", "l.term")
     # at most 2 * (n + slop) places around one posting
-    around = found.groupBy("key", "p", "window_id", "n").agg(F.collect_set(F.struct("pos", "term")).alias("places")).join(plan.select("window_id", "ordered"), "window_id")
+    around = of_windows(found.groupBy("key", "p", "window_id", "n").agg(F.collect_set(F.struct("pos", "term")).alias("places")), plan, ("key", "p"))
 
     def complete(s: Column) -> Column:
         inside = F.transform(F.filter("places", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + F.col("n") + slop)), lambda x: x["term"])
@@ -168,7 +173,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None
     index, known, members = _indexed(docs, items, size, id_col, text_col)
     found = exact_matches(index, known).withColumnRenamed("start", "pos") if slop is None else near_matches(index, known, slop)
     ids = index.filter("term = 0").select("doc_id", "key").distinct()
-    return found.join(members, "window_id").select("key", "item", "pos").distinct().join(ids, "key").select("doc_id", "key", "item", "pos")
+    return of_windows(found, members, ("key", "pos")).select("key", "item", "pos").distinct().join(ids, "key").select("doc_id", "key", "item", "pos")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,12 +182,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     index, known, members = _indexed(docs, items, size, id_col, text_col)
     exact = exact_matches(index, known)
     places = exact.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    found = exact.select("key", "window_id").distinct().join(members, "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
+    found = of_windows(exact.select("key", "window_id").distinct(), members, ("key",)).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
     base = index.filter("term = 0").select("doc_id", "key", F.col("pos").cast("long").alias("n_words"))
     out = base.join(places.join(found, "key"), "key", "left")
     near = [F.lit(None).cast("long").alias("n_near")]
     if slop is not None:
-        pairs = near_matches(index, known, slop).select("key", "window_id").distinct().join(members, "window_id")
+        pairs = of_windows(near_matches(index, known, slop).select("key", "window_id").distinct(), members, ("key",))
         out = out.join(pairs.groupBy("key").agg(F.countDistinct("item").alias("n_near")), "key", "left")
         near = [F.coalesce("n_near", F.lit(0)).alias("n_near")]
     return out.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"), *near)

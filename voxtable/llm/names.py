@@ -23,6 +23,18 @@ def broadcast_if_small(table: DataFrame, most_rows: int, most_characters: int =
     return F.broadcast(table) if row["n"] <= most_rows and row["size"] <= most_characters else table
 
 
+def meet_test_set(left: DataFrame, table: DataFrame, key: str, most_rows: int, most_characters: int = 0, sized: str | None = None, how: str = "inner", by: tuple[str, ...] = ()) -> DataFrame:
+    """left.join(table, key, how) for a stored table whose rows don't grow with left's: a broadcast up to the given
+    size. Beyond it left's rows are dealt to SALTS parts of each key by a hash of the columns ``by``, and every row of
+    the table goes to each part, so that a key with any share of left's rows is many tasks' work."""
+    row = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(sized)) if sized else F.lit(0), F.lit(0)).alias("size")).first()
+    if row["n"] <= most_rows and row["size"] <= most_characters:
+        return left.join(F.broadcast(table), key, how)
+    salt = fresh([*left.columns, *table.columns], "salt")
+    copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(copies, [key, salt], how).drop(salt)
+
+
 #: Rows with the same key from which on a key counts as hot, and parts that its rows are dealt to.
 HOT, SALTS = 10_000, 32
 
