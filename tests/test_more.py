@@ -1,9 +1,12 @@
+import itertools
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from voxtable.functions.text import unescape
-from voxtable.operators import batching, diarization, errors, ranking, sampling, segments
+from voxtable.functions.text import hash_order, unescape
+from voxtable.operators import batching, diarization, errors, ranking, sampling, segments, splits
 from test_operators import HEAD, distance, rebuilt
 
 
@@ -137,7 +140,6 @@ def test_components_with_a_hub(spark, monkeypatch):
     from voxtable.operators import graphs
 
     monkeypatch.setattr(graphs, "HUB", 10)
-    monkeypatch.setattr(graphs, "LARGE", 1)
     edges = [(0, i) for i in range(1, 60)] + [(i, 1000 + i) for i in range(1, 60)] + [(5000, 5001)]
     out = graphs.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {r.node: r.component for r in out} == {n: 5000 if n >= 5000 else 0 for e in edges for n in e}
@@ -311,3 +313,33 @@ def test_film_files(spark):
 
     rows = [("x/fr/1934/7/a.xml",), ("x/fr/1935/7/a.xml",), ("x/fr/1935/7/b.xml",), ("x/fr/2001/9/c.xml",), ("odd",)]
     assert sorted(r.path for r in subtitles.film_files(spark.createDataFrame(rows, "path string")).collect()) == ["x/fr/1935/7/b.xml", "x/fr/2001/9/c.xml"]
+
+
+def test_leave_one_out_in_blocks(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 7}" if i < 40 else None) for i in range(45)], "id long, who string")
+    one = sorted(map(str, splits.leave_one_out(rows, "id", "who").collect()))
+    assert len(one) == 45 * 8 and sorted(map(str, splits.leave_one_out(rows, "id", "who", most=3).collect())) == one
+    assert splits.leave_one_out(rows.filter("id < 0"), "id", "who").count() == 0
+
+
+def test_objective_lies_between_its_bound_and_the_plan():
+    rnd = random.Random(6)
+    reached = 0
+    for _ in range(60):
+        parts = [rnd.choice([1, 1, 2, 3, 9]) for _ in range(rnd.randint(1, 7))]
+        total = sum(parts)
+        targets = [math.ceil(total * r) for r in (0.8, 0.1, 0.1)]
+        sums = ([sum(p for p, b in zip(parts, to) if b == k) for k in range(3)] for to in itertools.product(range(3), repeat=len(parts)))
+        least = min(sum((t - u) ** 2 for t, u in zip(targets, used)) for used in sums)
+        bound, greedy = splits.least_objective(targets, total, max(parts)), splits.plan_bins(sorted(Counter(parts).items()), targets)[1]
+        assert bound <= least <= greedy
+        reached += bound == greedy
+    assert reached > 10
+
+
+def test_ranges_of_ranks_are_even(spark):
+    rows = spark.range(400_000).select(F.col("id").cast("string").alias("k"))
+    out = splits.ranked(rows, "k", 1, buckets=64).agg(F.countDistinct("rn").alias("n"), F.max("rn").alias("most")).first()
+    assert (out.n, out.most) == (400_000, 400_000)
+    per = [r[0] for r in rows.groupBy(F.floor(F.conv(F.substring(hash_order(1, F.col("k")), 1, 3), 16, 10).cast("int") * 64 / 4096)).count().select("count").collect()]
+    assert len(per) == 64 and max(per) < 2 * 400_000 / 64

@@ -9,8 +9,6 @@ from voxtable.plans.storage import forget, materialize
 
 #: Edges of a node from which on it counts as a hub, and parts that a hub's edges are dealt to.
 HUB, SALTS = 1_000, 64
-#: Edges from which on hubs are looked for; all edges of a smaller table are little work for one task.
-LARGE = 100_000
 
 
 def _with_least(edges: DataFrame, hubs: bool) -> tuple[DataFrame, DataFrame]:
@@ -54,14 +52,14 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """(node, component): component is the least node that can be reached. Nodes may have any ordered type.
 
     Alternating large and small stars end after a logarithmic number of rounds, also on long chains.
-    Each round is aggregations and joins on the edge table, written to shared storage. Null ends are left out.
+    Hubs are looked for wherever there are enough edges for one. Each round is aggregations and joins on the edge table, written to shared storage. Null ends are left out.
     """
     now = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna().filter("u <> v").distinct(), "edges")
     mark = (now.count(), None)
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        before, old, hubs = mark, now, mark[0] >= LARGE and _has_hubs(now)
+        before, old, hubs = mark, now, mark[0] >= HUB and _has_hubs(now)
         now = materialize(_small_star(_large_star(now, hubs), hubs), "edges")
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         forget(old)

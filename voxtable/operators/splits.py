@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from voxtable.functions.text import hash_order
 from voxtable.operators.graphs import connected_components
+from voxtable.operators.ranking import global_rank
 from voxtable.plans.storage import materialize
 
 NAMES = ("train", "dev", "test")
@@ -20,14 +22,14 @@ def _ratios(ratios: tuple[float, float, float]) -> None:
         raise ValueError("ratios must sum to 1")
 
 
-def ranked(rows: DataFrame, key: str, seed: object, group: list[str] | None = None, buckets: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, key: str, seed: object, group: list[str] | None = None, buckets: int = 4096) -> DataFrame:
     """rows with rn, the rank of their hash within a group (or all rows), and the group's size n.
 
-    Ranks are found inside 64 ranges of the hash and moved by the sizes of the ranges before, so that
-    no task ranks a whole table.
+    Ranks are found inside ranges of the hash (4096 at most) and moved by the sizes of the ranges before, so
+    that no task ranks a whole table: hashes are even, so a range has about its share of the distinct keys.
     """
     group = group or []
-    held = rows.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") * buckets / 256).cast("int"))
+    held = rows.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 3), 16, 10).cast("int") * buckets / 4096).cast("int"))
     counts = held.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     starts = counts.withColumns({"_before": F.coalesce(F.sum("_c").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_c").over(over)})
@@ -102,8 +104,25 @@ def plan_bins(sizes: list[tuple[int, int]], targets: list[int]) -> tuple[list[tu
     return out, sum(r * r for r in room)
 
 
+def least_objective(targets: list[int], total: int, largest: int) -> int:
+    """What no assignment of ``total`` recordings can get below, if one component has ``largest`` of them: the sum of
+    the squared rooms left, were all else divisible. plan_bins is optimal wherever it reaches this."""
+    def even(room: int, bins: int) -> int:
+        q, r = divmod(room, bins)
+        return (bins - r) * q * q + r * (q + 1) * (q + 1)
+
+    room, bins = sum(targets) - total, len(targets)
+    best = []
+    for target in targets:
+        own = target - largest
+        # the bin with the largest component has at most its own room
+        best.append(even(room, bins) if bins == 1 or own >= -(-room // bins) else own * own + even(room - own, bins - 1))
+    return max(min(best), even(room, bins))
+
+
 def stratified_split(recordings: DataFrame, components: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: object = 12354) -> DataFrame:
-    """(rec_id, component, category, split, objective): whole components go to one split, category by category.
+    """(rec_id, component, category, split, objective, bound): whole components go to one split, category by
+    category. The objective is the category's; it can't be less than bound, so the gap is at most their difference.
 
     A component's category is its most frequent one. Largest first, components go to the split with the
     largest remaining target; with three or more components no split stays empty. The plan is made over
@@ -120,13 +139,14 @@ def stratified_split(recordings: DataFrame, components: DataFrame, ratios: tuple
     for category, sizes in counts.items():
         recs = sum(size * n for size, n in sizes)
         plan, objective = plan_bins(sizes, [math.ceil(recs * r) for r in ratios])
-        runs += [(category, size, low, high, NAMES[k], float(objective)) for size, low, high, k in plan]
+        bound = least_objective([math.ceil(recs * r) for r in ratios], recs, max(s for s, _ in sizes))
+        runs += [(category, size, low, high, NAMES[k], float(objective), float(bound)) for size, low, high, k in plan]
     spark = recordings.sparkSession
-    plan = F.broadcast(spark.createDataFrame(runs, "category string, size long, low long, high long, split string, objective double"))  # bounded by the numbers of sizes
+    plan = F.broadcast(spark.createDataFrame(runs, "category string, size long, low long, high long, split string, objective double, bound double"))  # bounded by the numbers of sizes
     placed = ranked(sized, "component", seed, ["category", "size"]).alias("c").join(
         plan.alias("p"), F.col("c.category").eqNullSafe(F.col("p.category")) & (F.col("c.size") == F.col("p.size")) & (F.col("rn") > F.col("low")) & (F.col("rn") <= F.col("high"))
     )
-    return components.join(placed.select("component", "c.category", "split", "objective"), "component").select("rec_id", "component", "category", "split", "objective")
+    return components.join(placed.select("component", "c.category", "split", "objective", "bound"), "component").select("rec_id", "component", "category", "split", "objective", "bound")
 
 
 def document_split(documents: DataFrame, key: str, subset: float = 1.0, ratios: tuple[float, float, float] = (0.9, 0.05, 0.05), seed: object = 0) -> DataFrame:
@@ -180,10 +200,14 @@ def kfold(rows: DataFrame, key: str, k: int, seed: object = 0) -> DataFrame:
 
 
 def leave_one_out(rows: DataFrame, key: str, speaker: str, most: int = 1000) -> DataFrame:
-    """(fold, key, role): one fold for each speaker, whose rows are test. Every row is in every fold, so
-    the number of speakers, which is checked, bounds the result."""
-    speakers = [r[0] for r in rows.select(speaker).distinct().orderBy(speaker).limit(most + 1).collect()]
-    if len(speakers) > most:
-        raise ValueError(f"more than {most} speakers")
-    folds = F.array(*map(F.lit, speakers))
-    return rows.select(F.explode(folds).alias("fold"), key, speaker).select("fold", key, F.when(F.col("fold") == F.col(speaker), "test").otherwise("train").alias("role"))
+    """(fold, key, role): one fold for each speaker, whose rows are test. Every row is in every fold by
+    definition; the speakers are taken in blocks of ``most``, each of which makes its folds in one pass over rows."""
+    known = materialize(global_rank(rows.select(F.col(speaker).alias("fold")).distinct(), [F.col("fold")]), "speakers")
+    kind = f"array<{rows.schema[speaker].dataType.simpleString()}>"
+
+    def block(low: int) -> DataFrame:
+        names = [r["fold"] for r in known.filter(F.col("rn").between(low + 1, low + most)).orderBy("rn").collect()]
+        return rows.select(F.explode(F.array(*map(F.lit, names)).cast(kind)).alias("fold"), key, F.col(speaker).alias("_who"))
+
+    every = reduce(DataFrame.unionAll, map(block, range(0, max(known.count(), 1), most)))
+    return every.select("fold", key, F.when(F.col("fold") == F.col("_who"), "test").otherwise("train").alias("role"))

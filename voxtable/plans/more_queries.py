@@ -126,12 +126,12 @@ def q_of_split(spark, sf_dir):
     return dev.select("split", "text").unionByName(test.select("split", "text")).groupBy("split").agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).cast("decimal(38,0)").alias("chars"))
 
 
-@query("SELECT user_id AS rec_id, count(DISTINCT event_type) AS speakers FROM events WHERE event_id % 3 <> 0 GROUP BY user_id HAVING count(DISTINCT event_type) < 5")
+@query("SELECT user_id || '_' || strftime(ts, '%Y-%m-%d') AS rec_id, count(DISTINCT event_type) AS speakers FROM events WHERE event_id % 3 <> 0 GROUP BY ALL HAVING count(DISTINCT event_type) < 3")
 def q_few_speakers(spark, sf_dir):
-    """Recordings with fewer than five speakers, where listed events are excluded first."""
+    """Recordings (a user's days) with fewer than three speakers, where listed events are excluded first."""
     e = table(spark, sf_dir, "events")
     kept = corpus.without(e, e.filter("event_id % 3 = 0").select("event_id"), "event_id")
-    return corpus.least_speakers(kept.select(F.col("user_id").alias("rec_id"), F.col("event_type").alias("speaker")), 5)
+    return corpus.least_speakers(kept.select(F.concat_ws("_", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("rec_id"), F.col("event_type").alias("speaker")), 3)
 
 
 @query("SELECT doc_id, CAST(trunc(n_chars / 1000.0 * 16000) AS BIGINT) AS \"start\", CAST(trunc((n_chars + 37) / 1000.0 * 16000) AS BIGINT) AS stop, (trunc((n_chars + 37) / 1000.0 * 16000) - trunc(n_chars / 1000.0 * 16000)) / 16000 AS duration FROM documents")
@@ -258,11 +258,11 @@ def q_manifest_files(spark, sf_dir):
     return readers.manifest(spark, f"{path}/split=*").select(*columns)
 
 
-@query("SELECT string_split(replace(text, chr(13), ''), chr(10))[i] AS value FROM documents, range(1, 2) r(i) WHERE lang = 'fr'")
+@query("SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS value FROM documents")
 def q_language_model_corpus(spark, sf_dir):
-    """The first lines of French documents, a line each, as a language model's corpus, written and read."""
+    """All lines of all documents, a line each, as a language model's corpus, written and read."""
     path = folder(spark, "lm")
-    rows = table(spark, sf_dir, "documents").filter("lang = 'fr'").select(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1)[0].alias("text"))
+    rows = table(spark, sf_dir, "documents").select(F.explode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1)).alias("text"))
     writers.write_lines(writers.language_model_lines(rows), path)
     return spark.read.text(path)
 
@@ -276,13 +276,14 @@ def q_parallel_lines(spark, sf_dir):
     return joins.zip_lines(files.select("file", F.col("a").alias("value")), files.select("file", F.col("b").alias("value")))
 
 
-@query("SELECT 'clip/' || doc_id || '.mp3' AS path, replace(string_split(text, chr(10))[1], chr(13), '') AS sentence FROM documents WHERE length(replace(string_split(text, chr(10))[1], chr(13), '')) > 0")
+@query("SELECT 'clip/' || doc_id || '_' || (i - 1) || '.mp3' AS path, sentence FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS sentence, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(sentence) > 0")
 def q_clip_table(spark, sf_dir):
-    """Clips and sentences as a tab-separated file, written and read by position."""
+    """Clips and sentences (every line of every document) as a tab-separated file, written and read by position."""
     path = folder(spark, "clips")
-    first = F.replace(F.split("text", "\n", -1)[0], F.lit("\r"), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(F.lit("c").alias("client"), F.concat(F.lit("clip/"), "doc_id", F.lit(".mp3")).alias("path"), first.alias("sentence"), F.lit("0").alias("votes")).filter("length(sentence) > 0")
-    rows.write.csv(path, sep="\t", header=True, quote='"', escape='"')
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1)).alias("line", "sentence"))
+    name = F.concat(F.lit("clip/"), "doc_id", F.lit("_"), "line", F.lit(".mp3"))
+    rows = lines.select(F.lit("c").alias("client"), name.alias("path"), "sentence", F.lit("0").alias("votes")).filter("length(sentence) > 0")
+    rows.write.csv(path, sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return readers.clip_table(spark, path)
 
 

@@ -238,6 +238,13 @@ def q_leak_check(spark, sf_dir):
     return per.agg(F.sum((F.col("splits") > 1).cast("long")).alias("leaking_components"), F.sum("recordings").alias("recordings"))
 
 
+@query(f"SELECT o_custkey AS speaker, count(DISTINCT split) AS splits FROM {SPLIT} GROUP BY o_custkey HAVING count(DISTINCT split) > 1")
+def q_leaks_by_speaker(spark, sf_dir):
+    """Customers (as speakers) whose orders a plain ratio split puts into more than one split."""
+    parts = splits.ratio_split(table(spark, sf_dir, "orders"), "o_orderkey").withColumnRenamed("o_custkey", "speaker")
+    return splits.leaks(parts, "speaker")
+
+
 @query("""WITH u AS (SELECT conv_id, row_number() OVER (ORDER BY md5('0|' || conv_id), conv_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations)),
 f AS (SELECT conv_id, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END AS own FROM u)
 SELECT CAST(fold AS INTEGER) AS fold, conv_id, CASE WHEN fold = own THEN 'test' ELSE 'train' END AS role FROM f, range(5) r(fold)""")
