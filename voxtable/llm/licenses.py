@@ -23,9 +23,13 @@ rows count once; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from voxtable.plans.storage import materialize
+
 #: Notices by SPDX identifier.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -89,7 +93,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: list[tuple[str, s
     each = F.split(text_col, "\n", -1)
     pairs = F.zip_with(each, F.concat(F.array(F.lit("")), each), lambda line, before: F.struct(line.alias("line"), before.alias("before")))
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.posexplode(pairs).alias("line_no", "pair")).select("doc_id", "row", "line_no", "pair.*")
-    lines = lines.filter(F.col("line").isNotNull() & ~F.lower("before").rlike(DENIED)).drop("before")
+    # like a window, a line without an anchor word has too few of any notice's bigrams
+    lines = lines.filter(F.col("line").isNotNull() & has_anchor(F.lower("line"), known.collect(), threshold) & ~F.lower("before").rlike(DENIED)).drop("before")
     sized = lines.withColumn("bigrams", bigrams(F.col("line"))).withColumn("m", F.size("bigrams")).filter((F.col("m") >= low * bounds[0]) & (F.col("m") <= high * bounds[1]))
     sized = sized.withColumn("told", telling(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))))
     shared = known.select("notice_no", "license", "told", "k", F.explode("bigrams").alias("bigram"))
@@ -97,6 +102,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: list[tuple[str, s
     met = parts.join(F.broadcast(shared), ["bigram", "told"]).drop("told").filter((F.col("m") >= low * F.col("k")) & (F.col("m") <= high * F.col("k")))
     dice = met.distinct().groupBy("doc_id", "row", "line_no", "notice_no", "license", "m", "k").count().withColumn("dice", 2 * F.col("count") / (F.col("m") + F.col("k"))).filter(F.col("dice") >= threshold)
     best = dice.groupBy("doc_id", "row", "line_no").agg(F.max_by("license", F.struct("dice", -F.col("notice_no"))).alias("license"), F.max("dice").alias("dice"))
+    best = materialize(best, "licences")
     taken = best.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("taken"))
     found = windows(docs, known, threshold, id_col, text_col).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     found = found.filter(F.col("taken").isNull() | ~F.arrays_overlap(F.sequence("line_no", "last_line"), F.col("taken")))
@@ -119,16 +125,19 @@ def anchors(bigrams: list[str], threshold: float) -> set[str]:
     return out
 
 
+def has_anchor(text: Column, fixed: list[Row], threshold: float) -> Column:
+    """Whether a folded text has an anchor word of any notice of the fixed list."""
+    words = sorted({w for r in fixed for w in anchors(r["bigrams"], threshold)})
+    return reduce(lambda found, w: found | text.contains(w), words, F.lit(False))
+
+
 def windows(docs: DataFrame, known: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, notice_no, license, at, end, line_no, last_line, dice): from each place of a notice's bigram the
     window of words with the greatest coefficient of those with its telling words, if it reaches the threshold. Each is
     found within its row."""
     widest = (2 - threshold) / threshold
     fixed = known.collect()  # a fixed list
-    words = sorted({w for r in fixed for w in anchors(r["bigrams"], threshold)})
-    text, any_anchor = F.lower(text_col), F.lit(False)
-    for w in words:
-        any_anchor = any_anchor | text.contains(w)
+    text = F.lower(text_col)
     shared = known.select("notice_no", "license", "told", "k", F.col("bigrams").alias("notice"), F.explode("bigrams").alias("bigram"))
     every = sorted({b for r in fixed for b in r["bigrams"]})
     most = max(int(r["k"] * widest + 1e-9) for r in fixed)
@@ -146,7 +155,7 @@ def windows(docs: DataFrame, known: DataFrame, threshold: float, id_col: str = "
         lines = F.flatten(F.transform(by_line, lambda w, i: F.array_repeat(i, F.size(w))))
         return let(pairs_of(F.flatten(by_line)), lambda pairs: let(lines, lambda n: hits_of(pairs, n)))
 
-    cut = docs.filter(any_anchor).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.explode(let(by_line, in_lines)).alias("hit")).select("doc_id", "row", "hit.*")
+    cut = docs.filter(has_anchor(text, fixed, threshold)).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.explode(let(by_line, in_lines)).alias("hit")).select("doc_id", "row", "hit.*")
     longest = F.floor(F.col("k") * widest + 1e-9).cast("int")
     hits = cut.filter(~F.col("before").rlike(rf"(^| )({'|'.join(NEGATIONS)})( |$)")).join(F.broadcast(shared), "bigram")
     hits = hits.select("doc_id", "row", "notice_no", "license", "told", "k", "notice", "at", "pairs", F.slice("pairs", F.lit(1), longest).alias("tail"), "lines")
