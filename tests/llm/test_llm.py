@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, decontamination, jaccard_join, language_id, licenses, packing, quality, secrets, token_counts, toxicity
+from voxtable.llm import chat, decontamination, jaccard_join, language_id, licenses, names, packing, quality, secrets, token_counts, toxicity
 from voxtable.llm.queries import tokenizer
 
 #: Names that operators might take for their own columns.
@@ -456,8 +456,6 @@ def test_chat(spark):
 
 
 def test_chat_levels_against_plain_search(spark, monkeypatch):
-    from voxtable.llm import names
-
     rnd = random.Random(19)
     calls = []
     for conv in range(12):
