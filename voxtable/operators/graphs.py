@@ -19,13 +19,27 @@ def _with_least(edges: DataFrame, hubs: bool) -> tuple[DataFrame, DataFrame]:
     tasks, to each of which the hub's one row goes. Hubs are at most edges / HUB rows.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    return _met(edges, least, hubs), least.select("u", "m")
+
+
+def _met(edges: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
+    """(u, v, m): the edges with their u's least v, from least (u, m, degree)."""
     if not hubs:
-        return edges.join(least.select("u", "m"), "u"), least.select("u", "m")
+        return edges.join(least.select("u", "m"), "u")
     hub = F.col("degree") >= HUB
     marked = edges.join(least.filter(hub).select(F.col("u").alias("hub")), F.col("u") == F.col("hub"), "left")
     marked = marked.withColumn("salt", F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(-1))
     parts = F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
-    return marked.join(least.select("u", "m", F.explode(parts).alias("salt")), ["u", "salt"]).select("u", "v", "m"), least.select("u", "m")
+    return marked.join(least.select("u", "m", F.explode(parts).alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
+def star_ties(members: DataFrame, group: str, member: str) -> tuple[DataFrame, DataFrame]:
+    """(u, v): each member of a group tied to the least one, so that n members take n - 1 ties, and the stored table
+    of the groups' least members, which may be forgotten once the ties are stored. Groups of one tie nothing."""
+    rows = members.select(F.col(group).alias("u"), F.col(member).alias("v")).dropna()
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"), F.count("*").alias("degree"))
+    least = materialize(least.filter("m <> most").select("u", "m", "degree"), "least")
+    return _met(rows, least, not least.filter(F.col("degree") >= HUB).isEmpty()).select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -60,7 +74,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if not mark[0]:
             break
         before, old, hubs = mark, now, mark[0] >= HUB and _has_hubs(now)
-        now = materialize(_small_star(_large_star(now, hubs), hubs), "edges")
+        large = materialize(_large_star(now, hubs), "edges")  # the small star reads it more than once
+        now = materialize(_small_star(large, hubs), "edges")
+        forget(large)
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         forget(old)
         if mark == before:

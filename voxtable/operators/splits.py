@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxtable.functions.text import hash_order
-from voxtable.operators.graphs import connected_components
+from voxtable.operators.graphs import connected_components, star_ties
 from voxtable.operators.ranking import global_rank
-from voxtable.plans.storage import materialize
+from voxtable.plans.storage import forget, materialize
 
 NAMES = ("train", "dev", "test")
 
@@ -54,11 +54,15 @@ def ratio_split(rows: DataFrame, key: str, ratios: tuple[float, float, float] =
 def recording_components(mentions: DataFrame) -> DataFrame:
     """(rec_id, component) from (rec_id, speaker): recordings linked by common speakers.
 
-    Edges run between recordings and speakers, never between all recordings of a speaker.
+    Each recording of a speaker is tied to the speaker's least one, so there are fewer ties than mentions, and none
+    for speakers of one recording. A component is named by its least recording, as text. Null ends are left out.
     """
-    edges = mentions.select(F.concat(F.lit("r"), F.col("rec_id").cast("string")).alias("r"), F.concat(F.lit("s"), F.col("speaker").cast("string")).alias("s")).dropna()
-    found = connected_components(edges, "r", "s").filter("node like 'r%'")
-    return found.select(F.substring("node", 2, 1 << 30).alias("rec_id"), F.substring("component", 2, 1 << 30).alias("component"))
+    held = mentions.select(F.col("rec_id").cast("string").alias("rec_id"), "speaker").dropna()
+    ties, least = star_ties(held, "speaker", "rec_id")
+    found = connected_components(ties, "u", "v")
+    forget(least)
+    tied = found.filter("node <> component").withColumnRenamed("node", "rec_id")
+    return held.select("rec_id").distinct().join(tied, "rec_id", "left").select("rec_id", F.coalesce("component", "rec_id").alias("component"))
 
 
 def deal(room: list[int], size: int, items: int) -> list[int]:
