@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from voxtable.functions.text import hash_order
 from voxtable.operators.ranking import global_rank
 from voxtable.operators.splits import ranked
+from voxtable.plans.storage import materialize
 
 
 def fixed_batches(rows: DataFrame, file: str, order: str, size: int) -> DataFrame:
@@ -17,15 +20,25 @@ def fixed_batches(rows: DataFrame, file: str, order: str, size: int) -> DataFram
     return rows.withColumn("batch", F.floor(place / size).cast("int"))
 
 
-def length_boundaries(rows: DataFrame, length: str, buckets: int = 30, accuracy: int = 10000) -> list[float]:
-    """Upper bounds of ``buckets`` buckets of about equal numbers of rows, from a mergeable sketch of the lengths.
+def length_boundaries(rows: DataFrame, length: str, buckets: int = 30) -> list[float]:
+    """Upper bounds of ``buckets`` buckets of about equal numbers of rows: the lengths at those ranks, exactly.
 
-    A bound's rank is off by at most 1 / accuracy of the rows. Equal bounds become one; the last is the greatest
-    length. Null lengths don't count, and an empty table has no bounds.
+    Rows are counted by length; the distinct lengths are dealt by ranges, each of which adds up its own counts and
+    those of the ranges before it. Equal bounds become one; the last is the greatest length. Null lengths don't
+    count, and an empty table has no bounds.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    found = rows.agg(F.percentile_approx(length, shares, accuracy).alias("q"), F.max(length).alias("m")).first()
-    return [] if found["m"] is None else sorted({float(x) for x in [*found["q"], found["m"]]})
+    counts = rows.select(F.col(length).alias("v")).dropna().groupBy("v").agg(F.count("*").alias("n"))
+    held = materialize(counts.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "lengths")
+    total = held.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    wanted = sorted({math.ceil(i / buckets * total) for i in range(1, buckets)} | {total})
+    over = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.groupBy("range").agg(F.sum("n").alias("size")).select("range", F.coalesce(F.sum("size").over(over), F.lit(0)).alias("before"))  # one row for each range
+    own = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    to = held.withColumn("to", F.sum("n").over(own)).join(F.broadcast(starts), "range").withColumn("to", F.col("to") + F.col("before"))
+    met = to.filter(F.exists(F.array(*map(F.lit, wanted)), lambda r: (r > F.col("to") - F.col("n")) & (r <= F.col("to"))))
+    return sorted(float(r["v"]) for r in met.select("v").collect())  # a row for each bucket at most
 
 
 def bucket_batches(rows: DataFrame, key: str, length: str, boundaries: list[float], capacity: float, seed: object, epoch: int, drop_last: bool = False, max_examples: int | None = None) -> DataFrame:
