@@ -54,7 +54,7 @@ def q_trs_folders(spark, sf_dir):
     odd = s.groupBy("of").agg(F.collect_list(F.struct(F.when(F.col("turn") % 5 == 2, F.format_string('startTime="%s" endTime="%s"><Sync', "s", "e")).otherwise(F.format_string('startTime="%s" endTime="%s"', "s", "e")).alias("old"), F.when(F.col("turn") % 5 == 2, F.format_string('startTime="%s" endTime="%s"><Who nb="4"/><Sync', "s", "e")).otherwise(F.format_string('startTime="%s" endTime="%s"', "s", "s")).alias("new"))).alias("edits"))
     edited = files.join(odd, files["rec_id"] == odd["of"], "left").select("rec_id", F.aggregate(F.coalesce("edits", F.array().cast("array<struct<old:string,new:string>>")), F.col("value"), lambda v, x: F.replace(v, x["old"], x["new"])).alias("value"))
     path = _folder(spark, "trs")
-    writers.write_named(edited.select(F.concat(F.lit("record-"), F.lpad("rec_id", 2, "0"), F.lit(" été/a b")).alias("key"), "value"), path, "key", ["value"], ".trs")
+    writers.write_named(edited.select(F.concat(F.lit("record-"), F.lpad("rec_id", F.greatest(F.length("rec_id"), F.lit(2)), "0"), F.lit(" été/a b")).alias("key"), "value"), path, "key", ["value"], ".trs")
     tokens, names = segments.trs_tokens(readers.annotation_files(spark, path))
     return segments.rebuild(tokens, names).select("rec_id", "speaker", "start", "end", "text")
 
