@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxtable.operators import batching, graphs, splits
 from voxtable.plans import storage
+from voxtable.sources import readers, writers
 
 
 def _shuffle_files(spark):
@@ -50,3 +51,30 @@ def test_exact_bounds_of_many_lengths(spark):
     held, n = sorted(values), len(values)
     ranks = [-(-i * n // 30) for i in range(1, 31)]
     assert batching.length_boundaries(rows, "n") == sorted({float(held[r - 1]) for r in ranks})
+
+
+def test_named_files_are_written_and_named_by_tasks(spark, tmp_path, monkeypatch):
+    calls = []
+    gateway = type(spark._jvm.org.apache.hadoop.fs.Path)
+    monkeypatch.setattr(gateway, "__call__", lambda self, *a, old=gateway.__call__: (calls.append(a) if self._fqn.endswith("fs.Path") else None) or old(self, *a))
+    rows = spark.createDataFrame([(f"a b/é {k}+%", i, None if i == 1 else f"{k} {i}") for k in range(40) for i in range(3)], "key string, at int, value string").repartition(5)
+    path = str(tmp_path / "out x")
+    for _ in range(2):
+        writers.write_named(rows, path, "key", ["at"], ".txt")
+    assert len(calls) < 10  # the driver's calls don't grow with the files
+    assert sorted(p.name for p in Path(path).rglob("*") if p.is_file()) == sorted(f"é {k}+%.txt" for k in range(40))
+    assert Path(path, "a b", "é 7+%.txt").read_text() == "7 0\n\n7 2\n"
+    assert not [p for p in Path(path).iterdir() if p.name.startswith("_")]
+    with pytest.raises(Exception, match="a file needs a name"):
+        writers.write_named(rows.union(spark.createDataFrame([(None, 1, "x")], rows.schema)), str(tmp_path / "failed"), "key", ["at"], ".txt")
+    assert not [p for p in (tmp_path / "failed").rglob("*") if p.is_file()]
+    assert readers.whole_files(spark, path, "*.txt").count() == 40
+
+
+def test_recordings_of_three_figures_keep_their_folder(spark, tmp_path):
+    turns = spark.createDataFrame([(c, 0, "user", f"some words of {c}") for c in (7, 12, 123, 124, 1240)], "conv_id long, turn int, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["q_trs_folders"](spark, str(tmp_path))
+    assert sorted((r.rec_id, r.text) for r in found.collect()) == sorted((f"record-{c:03d}", f"some words of {c} fin") for c in (7, 12, 123, 124, 1240))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxtable.functions.text import srt_time
+from voxtable.plans.storage import forget, materialize
 
 
 def rttm_line() -> Column:
@@ -81,26 +82,56 @@ def write_summary(summary: DataFrame, path: str, mode: str = "ignore") -> None:
 def write_named(rows: DataFrame, path: str, key: str, order: list[str], extension: str, value: str = "value") -> None:
     """One text file for each key, ``path/<key><extension>``, with the key's lines in order; a key may name folders.
 
-    Spark's committer lets one attempt of each task through, into a folder of its own; then each file is moved
-    to its name, where a file that exists is kept. A failed write leaves no named file behind, a repeated one
-    no second. Null keys are an error.
+    Tasks write the files aside, each attempt into a folder of its own; once all are written, tasks move those of
+    the attempts that succeeded to their names, where a file that exists is kept. A failed write leaves no named file
+    behind, a repeated one no second. Null keys are an error, and null values empty lines. The path must be in a
+    store that pyarrow.fs can open, which all executors share.
     """
-    spark = rows.sparkSession
-    aside = f"{path.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    place = quote((path if "://" in path else f"file://{path}").rstrip("/"), safe="/:@")
+    aside = f"_writing-{uuid.uuid4().hex}"
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(place)
+        folder, names, out = f"{root}/{aside}/{uuid.uuid4().hex}", [], None
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            done = len(names)
+            for k, v in zip(batch["name"], batch["value"]):
+                if not names or names[-1] != k:
+                    if out:
+                        out.close()
+                    out = store.open_output_stream(f"{folder}/{len(names)}")
+                    names.append(k)
+                out.write(f"{'' if v is None else v}\n".encode())
+            yield pd.DataFrame({"name": names[done:], "part": [f"{folder}/{i}" for i in range(done, len(names))]})
+        if out:
+            out.close()
+
+    def move(batches):
+        store, root = fs.FileSystem.from_uri(place)
+        made = set()
+        for batch in batches:
+            for name, part in zip(batch["name"], batch["part"]):
+                target = f"{root}/{name}{extension}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                if store.get_file_info(target).type == fs.FileType.NotFound:
+                    store.move(part, target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
     named = F.when(F.col(key).isNull(), F.raise_error(F.lit("a file needs a name")).cast("string")).otherwise(F.col(key).cast("string"))
-    rows.select(named.alias("_key"), *[c for c in rows.columns if c in {*order, value}]).repartition("_key").sortWithinPartitions("_key", *order).select("_key", value).write.partitionBy("_key").text(aside)
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    files = make(aside).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for folder in files.listStatus(make(aside)):
-        name = folder.getPath().getName()
-        if not name.startswith("_key="):
-            continue
-        target = make(path, unquote(name.removeprefix("_key=")) + extension)
-        part = next(x.getPath() for x in files.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-"))
-        files.mkdirs(target.getParent())
-        if not files.exists(target) and not files.rename(part, target):
-            raise OSError(f"can't name {target}")
-    files.delete(make(aside), True)
+    held = rows.select(named.alias("name"), *[F.col(c).alias(f"_{c}") for c in order], F.col(value).cast("string").alias("value")).repartition("name").sortWithinPartitions("name", *[f"_{c}" for c in order])
+    store, root = fs.FileSystem.from_uri(place)
+    store.create_dir(root, recursive=True)
+    try:
+        parts = materialize(held.select("name", "value").mapInPandas(write, "name string, part string"), "named")
+        parts.repartition("name").mapInPandas(move, "n long").agg(F.sum("n")).collect()
+        forget(parts)
+    finally:
+        if store.get_file_info(f"{root}/{aside}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{root}/{aside}")
 
 
 def write_bytes(rows: DataFrame, path: str, name: str, value: str) -> int:
