@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from voxtable.operators import batching, graphs, splits
+from voxtable.operators import batching, graphs, ngrams, splits
 from voxtable.plans import storage
 from voxtable.sources import readers, writers
 
@@ -78,3 +78,15 @@ def test_recordings_of_three_figures_keep_their_folder(spark, tmp_path):
 
     found = __spark_entry__.queries()["q_trs_folders"](spark, str(tmp_path))
     assert sorted((r.rec_id, r.text) for r in found.collect()) == sorted((f"record-{c:03d}", f"some words of {c} fin") for c in (7, 12, 123, 124, 1240))
+
+
+def test_scores_by_a_broadcast_model_and_by_joins(spark):
+    rnd = random.Random(2)
+    text = lambda n: [rnd.choice("abcdef") for _ in range(n)]
+    learned = spark.createDataFrame([(text(12),) for _ in range(15)], "words array<string>")
+    model = storage.materialize(ngrams.kneser_ney(storage.materialize(ngrams.ngram_counts(learned, 3), "counts"), 3), "model")
+    asked = spark.createDataFrame([(i, text(i % 9) + ["x y", "zz", ""][: i % 4]) for i in range(40)] + [(99, None)], "sent_id int, words array<string>")
+    of = lambda most: {r.sent_id: (round(r.log10, 9), r.n) for r in ngrams.score_sentences(asked, model, 3, most=most).collect()}
+    assert of(10_000) == of(0) and len(of(10_000)) == 40
+    plan = ngrams.score_sentences(asked, model, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning") <= 1
