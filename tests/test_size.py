@@ -90,3 +90,20 @@ def test_scores_by_a_broadcast_model_and_by_joins(spark):
     assert of(10_000) == of(0) and len(of(10_000)) == 40
     plan = ngrams.score_sentences(asked, model, 3)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("hashpartitioning") <= 1
+
+
+def test_calibration_takes_every_row(spark):
+    """One odd row among 8000 sets the bound of rejection, wherever it stands."""
+    from voxtable.llm import language_id
+
+    texts = [(f"the quick brown fox {'jumps ' * (i % 5)}", "en") for i in range(4000)] + [(f"le renard brun {'saute ' * (i % 5)}", "fr") for i in range(4000)]
+    odd = [("zyxwv " * 3, "en")]
+    rows = spark.createDataFrame(texts + odd, "text string, lang string")
+    model = language_id.train(rows)
+    least = [min(r.entropies) for r in language_id.score(spark.createDataFrame(odd, "text string, lang string"), model, "lang", "text").collect()]
+    known = language_id.score(rows, model, "lang", "text").collect()
+    right = [min(r.entropies) for r in known if model.languages[r.entropies.index(min(r.entropies))] == r.doc_id]
+    assert max(right) == least[0]
+    mean = sum(right) / len(right)
+    spread = (sum((x - mean) ** 2 for x in right) / len(right)) ** 0.5
+    assert abs(model.reject - (max(right) + max(10 * spread, 1.0))) < 1e-6

@@ -11,7 +11,7 @@ scores. Both ways give the same entropies.
 
 A text's language is the one with the lowest cross-entropy per character. The score is a softmax over
 the entropies whose temperature, like the entropy beyond which a text counts as ``rejected``, is
-calibrated on a share of the training rows. A rejected text still has the language that is nearest.
+calibrated on all training rows. A rejected text still has the language that is nearest.
 
 Words are runs of letters, in lower case, between boundary marks, so word scores can be kept in a
 bounded cache and every letter of every text counts.
@@ -33,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.batches import map_batches
@@ -171,16 +171,13 @@ def ngram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
     return map_batches(words, run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, order: int = ORDER, text_col: str = "text", lang_col: str = "lang", max_calibration: int = 4_000) -> Model:
-    """Fit on rows (text, lang): counts cover all of them; calibration uses at most about
-    max_calibration rows, chosen by a hash of their text."""
+def train(rows: DataFrame, order: int = ORDER, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on rows (text, lang): counts and calibration cover all of them."""
     model = estimate(materialize(ngram_counts(word_counts(rows, text_col, lang_col), order), "ngrams"), order)
     if model.languages:
         usable = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-        share = min(1.0, max_calibration / max(usable.count(), 1))
-        sample = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        entropies = score(sample, model, "lang", "text").filter("entropies is not null").select("doc_id", "entropies").collect()
-        calibrate(model, [(r[0], r[1]) for r in entropies])
+        known = score(usable, model, "lang", "text").filter("entropies is not null").select(F.col("doc_id").alias("lang"), "entropies")
+        calibrate(model, known)
     return model
 
 
@@ -323,25 +320,25 @@ class Scorer:
         return -total[:-1] / total[-1]
 
 
-def calibrate(model: Model, rows: list[tuple[str, list[float]]]) -> None:
-    """Temperature with the greatest likelihood; rejection beyond the worst entropies of right answers."""
-    rows = [(lang, e) for lang, e in rows if lang in model.languages]
-    if not rows:
+def calibrate(model: Model, rows: DataFrame) -> None:
+    """Temperature with the greatest likelihood, over all rows (lang, entropies); rejection beyond the worst
+    entropies of right answers. One row of sums comes to the driver."""
+    temperatures = [0.02 * 1.3**i for i in range(20)]
+    least = F.array_min("entropies")
+    held = rows.withColumn("truth", F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang"))).filter("truth > 0")
+    held = held.select("truth", least.alias("least"), F.transform("entropies", lambda e: e - least).alias("away"), (F.array_position("entropies", least) == F.col("truth")).alias("right"))
+
+    def loss(t: float) -> Column:
+        return F.avg(F.log(F.aggregate("away", F.lit(0.0), lambda s, x: s + F.exp(-x / t))) + F.element_at("away", F.col("truth").cast("int")) / t)
+
+    right = F.when(F.col("right"), F.col("least"))
+    found = held.agg(*[loss(t).alias(f"loss{i}") for i, t in enumerate(temperatures)], F.max(right).alias("worst"), F.stddev_pop(right).alias("spread")).first()
+    if found["loss0"] is None:
         return
-    entropies = np.array([e for _, e in rows])
-    truth = np.array([model.languages.index(lang) for lang, _ in rows])
-    away = entropies - entropies.min(axis=1, keepdims=True)
-
-    def loss(t: float) -> float:
-        z = -away / t
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth]).mean())
-
-    model.temperature = min((0.02 * 1.3**i for i in range(20)), key=loss)
-    right = entropies.argmin(axis=1) == truth
-    if right.any():
-        least = entropies.min(axis=1)[right]
+    model.temperature = temperatures[min(range(len(temperatures)), key=lambda i: found[f"loss{i}"])]
+    if found["worst"] is not None:
         # far outside what known languages show: ten spreads beyond their worst
-        model.reject = float(least.max() + max(10 * least.std(), 1.0))
+        model.reject = found["worst"] + max(10 * found["spread"], 1.0)
 
 
 def _by_arrays(source: DataFrame, arrays: Arrays) -> DataFrame:
