@@ -107,3 +107,15 @@ def test_calibration_takes_every_row(spark):
     mean = sum(right) / len(right)
     spread = (sum((x - mean) ** 2 for x in right) / len(right)) ** 0.5
     assert abs(model.reject - (max(right) + max(10 * spread, 1.0))) < 1e-6
+
+
+def test_a_stratified_split_leaves_no_shuffle_files_before_its_last_join(spark):
+    mentions = spark.createDataFrame([(r, s) for r in range(95, 130) for s in (r // 3, 100 + r % 7 if r > 120 else 1000 + r)], "rec_id long, speaker long")
+    before = _shuffle_files(spark)
+    components = storage.materialize(splits.recording_components(mentions), "components")
+    assert "SortAggregate" not in splits.recording_components(mentions)._jdf.queryExecution().executedPlan().toString()  # ids stay numbers
+    recordings = spark.createDataFrame([(str(r), "ab"[r % 2]) for r in range(95, 130)], "rec_id string, category string")
+    split = splits.stratified_split(recordings, components)
+    assert not _shuffle_files(spark) - before
+    named = {r.rec_id: r.component for r in split.collect()}
+    assert len(named) == 35 and named["99"] == named["101"] == "100"  # the least as text

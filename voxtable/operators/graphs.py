@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.plans.storage import forget, materialize
+from voxtable.plans.storage import cleaned, forget, materialize
 
 #: Edges of a node from which on it counts as a hub, and parts that a hub's edges are dealt to.
 HUB, SALTS = 1_000, 64
@@ -35,11 +35,16 @@ def _met(edges: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
 
 def star_ties(members: DataFrame, group: str, member: str) -> tuple[DataFrame, DataFrame]:
     """(u, v): each member of a group tied to the least one, so that n members take n - 1 ties, and the stored table
-    of the groups' least members, which may be forgotten once the ties are stored. Groups of one tie nothing."""
+    of the groups' least members, which may be forgotten once the ties are stored. Groups of one tie nothing.
+
+    A group's greatest member is tied by the same aggregation, so only groups with others meet their rows again."""
     rows = members.select(F.col(group).alias("u"), F.col(member).alias("v")).dropna()
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"), F.count("*").alias("degree"))
-    least = materialize(least.filter("m <> most").select("u", "m", "degree"), "least")
-    return _met(rows, least, not least.filter(F.col("degree") >= HUB).isEmpty()).select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), least
+    least = materialize(least.filter("m <> most"), "least")
+    with cleaned(members.sparkSession):
+        hubs = not least.filter(F.col("degree") >= HUB).isEmpty()
+    others = _met(rows, least.filter("degree > 2"), hubs).select("v", "m").filter("v <> m")
+    return least.select(F.col("most").alias("u"), F.col("m").alias("v")).union(others.select(F.col("v").alias("u"), F.col("m").alias("v"))), least
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -59,7 +64,8 @@ def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
 
 
 def _has_hubs(edges: DataFrame) -> bool:
-    return not _both_ways(edges).groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= HUB).isEmpty()
+    with cleaned(edges.sparkSession):
+        return not _both_ways(edges).groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= HUB).isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -69,7 +75,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     Hubs are looked for wherever there are enough edges for one. Each round is aggregations and joins on the edge table, written to shared storage. Null ends are left out.
     """
     now = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna().filter("u <> v").distinct(), "edges")
-    mark = (now.count(), None)
+    with cleaned(edges.sparkSession):
+        mark = (now.count(), None)
     for _ in range(max_rounds):
         if not mark[0]:
             break
@@ -77,7 +84,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         large = materialize(_large_star(now, hubs), "edges")  # the small star reads it more than once
         now = materialize(_small_star(large, hubs), "edges")
         forget(large)
-        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        with cleaned(edges.sparkSession):
+            mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         forget(old)
         if mark == before:
             break

@@ -7,12 +7,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from voxtable.functions.text import hash_order
 from voxtable.operators.graphs import connected_components, star_ties
 from voxtable.operators.ranking import global_rank
-from voxtable.plans.storage import forget, materialize
+from voxtable.plans.storage import cleaned, forget, materialize
 
 NAMES = ("train", "dev", "test")
 
@@ -56,13 +57,15 @@ def recording_components(mentions: DataFrame) -> DataFrame:
 
     Each recording of a speaker is tied to the speaker's least one, so there are fewer ties than mentions, and none
     for speakers of one recording. A component is named by its least recording, as text. Null ends are left out.
+    Ids that are whole numbers become text only in the ties, which are fewer: mentions are then grouped by fixed-width rows.
     """
-    held = mentions.select(F.col("rec_id").cast("string").alias("rec_id"), "speaker").dropna()
+    whole = isinstance(mentions.schema["rec_id"].dataType, IntegralType)
+    held = mentions.select(F.col("rec_id") if whole else F.col("rec_id").cast("string").alias("rec_id"), "speaker").dropna()
     ties, least = star_ties(held, "speaker", "rec_id")
-    found = connected_components(ties, "u", "v")
+    found = connected_components(ties.select(F.col("u").cast("string"), F.col("v").cast("string")), "u", "v")
     forget(least)
     tied = found.filter("node <> component").withColumnRenamed("node", "rec_id")
-    return held.select("rec_id").distinct().join(tied, "rec_id", "left").select("rec_id", F.coalesce("component", "rec_id").alias("component"))
+    return held.select("rec_id").distinct().select(F.col("rec_id").cast("string")).join(tied, "rec_id", "left").select("rec_id", F.coalesce("component", "rec_id").alias("component"))
 
 
 def deal(room: list[int], size: int, items: int) -> list[int]:
@@ -137,8 +140,9 @@ def stratified_split(recordings: DataFrame, components: DataFrame, ratios: tuple
     sized = recordings.join(components, "rec_id").groupBy("component").agg(F.count("*").alias("size"), F.mode("category", True).alias("category"))
     sized = materialize(sized, "components")
     counts: dict[str | None, list[tuple[int, int]]] = {}
-    for r in sized.groupBy("category", "size").agg(F.count("*").alias("n")).collect():
-        counts.setdefault(r["category"], []).append((r["size"], r["n"]))
+    with cleaned(recordings.sparkSession):
+        for r in sized.groupBy("category", "size").agg(F.count("*").alias("n")).collect():
+            counts.setdefault(r["category"], []).append((r["size"], r["n"]))
     runs = []
     for category, sizes in counts.items():
         recs = sum(size * n for size, n in sizes)
@@ -150,7 +154,9 @@ def stratified_split(recordings: DataFrame, components: DataFrame, ratios: tuple
     placed = ranked(sized, "component", seed, ["category", "size"]).alias("c").join(
         plan.alias("p"), F.col("c.category").eqNullSafe(F.col("p.category")) & (F.col("c.size") == F.col("p.size")) & (F.col("rn") > F.col("low")) & (F.col("rn") <= F.col("high"))
     )
-    return components.join(placed.select("component", "c.category", "split", "objective", "bound"), "component").select("rec_id", "component", "category", "split", "objective", "bound")
+    placed = materialize(placed.select("component", "c.category", "split", "objective", "bound"), "placed")  # ranking's shuffle files go before the last join
+    forget(sized)
+    return components.join(placed, "component").select("rec_id", "component", "category", "split", "objective", "bound")
 
 
 def document_split(documents: DataFrame, key: str, subset: float = 1.0, ratios: tuple[float, float, float] = (0.9, 0.05, 0.05), seed: object = 0) -> DataFrame:
