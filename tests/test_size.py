@@ -119,3 +119,20 @@ def test_a_stratified_split_leaves_no_shuffle_files_before_its_last_join(spark):
     assert not _shuffle_files(spark) - before
     named = {r.rec_id: r.component for r in split.collect()}
     assert len(named) == 35 and named["99"] == named["101"] == "100"  # the least as text
+
+
+def test_small_named_files_are_written_by_many_tasks_and_read_by_few(spark, tmp_path, monkeypatch):
+    folders = []
+
+    def stored(df, name):
+        held = storage.materialize(df, name)
+        folders.append(held.select(F.regexp_extract("part", "(.*)/", 1)).distinct().count())
+        return held
+
+    monkeypatch.setattr(writers, "materialize", stored)
+    rows = spark.createDataFrame([(f"f{k}", f"{k}") for k in range(60)], "key string, value string")
+    writers.write_named(rows, str(tmp_path / "out"), "key", ["value"], ".txt")
+    assert folders == [4]  # bytes are few, but files many
+    found = readers.whole_files(spark, str(tmp_path / "out"), "*.txt", tasks=2)
+    assert found.rdd.getNumPartitions() == 2
+    assert sorted((r.name, r.value) for r in found.collect()) == sorted((f"f{k}", f"{k}\n") for k in range(60))

@@ -17,6 +17,11 @@ def _folder(spark, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _tasks(spark) -> int:
+    """Tasks that read a folder of small files: the partitions that the session deals its tables to."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 _NAME = "'Rec é. ' || rec_id || ' + 1%'"
 
 
@@ -39,7 +44,7 @@ def q_named_srt(spark, sf_dir):
     s = s.withColumns({"overlap": F.col("turn") % 3 == 1, "text": F.regexp_replace("text", r"\s*\n\s*", " ")})
     path = _folder(spark, "srt")
     writers.write_named(writers.srt_blocks(s), path, "rec_id", ["number"], ".srt")
-    items = readers.srt_items(readers.whole_files(spark, path, "*.srt"))
+    items = readers.srt_items(readers.whole_files(spark, path, "*.srt", tasks=_tasks(spark)))
     return items.select(F.col("name").alias("rec_id"), (F.col("pos") + 1).cast("long").alias("number"), "start_ms", "end_ms", "text")
 
 
@@ -92,7 +97,7 @@ def q_named_texts(spark, sf_dir):
     """One .txt file of cleaned sentences for each document, read back by lines."""
     path = _folder(spark, "texts")
     writers.write_named(subtitles.clean_sentences(sentences(spark, sf_dir)), path, "doc_id", ["sent_no"], ".txt", "text")
-    return readers.lines(readers.whole_files(spark, path, "*.txt")).select("name", "line", F.col("value").alias("text"))
+    return readers.lines(readers.whole_files(spark, path, "*.txt", tasks=_tasks(spark))).select("name", "line", F.col("value").alias("text"))
 
 
 @query(f"""SELECT CAST(row_number() OVER (ORDER BY n, "rank", value) AS BIGINT) AS line, value FROM ({SQL["q_arpa"]})""")

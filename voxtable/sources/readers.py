@@ -14,14 +14,16 @@ from voxtable.functions.text import unescape
 from voxtable.operators.segments import ATTRIBUTES
 
 
-def whole_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """(path, name, value): one row per text file."""
+def whole_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True, tasks: int | None = None) -> DataFrame:
+    """(path, name, value): one row per text file. Spark counts a file as 4 MB at least, so very many small ones take a
+    task for every few; with ``tasks`` at most so many read them all, each file still in one."""
     reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     # Spark gives paths percent-encoded; a plus sign in a name stands for itself
     place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     files = reader.text(path, wholetext=True).select(place.alias("path"), "value")
+    files = files.coalesce(tasks) if tasks else files
     return files.select("path", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("name"), "value")
 
 

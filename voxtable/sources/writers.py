@@ -85,8 +85,10 @@ def write_named(rows: DataFrame, path: str, key: str, order: list[str], extensio
     Tasks write the files aside, each attempt into a folder of its own; once all are written, tasks move those of
     the attempts that succeeded to their names, where a file that exists is kept. A failed write leaves no named file
     behind, a repeated one no second. Null keys are an error, and null values empty lines. The path must be in a
-    store that pyarrow.fs can open, which all executors share.
+    store that pyarrow.fs can open, which all executors share. Both steps keep all of the session's shuffle partitions,
+    as the work goes by the number of files, which bytes don't tell.
     """
+    parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = quote((path if "://" in path else f"file://{path}").rstrip("/"), safe="/:@")
     aside = f"_writing-{uuid.uuid4().hex}"
 
@@ -122,12 +124,12 @@ def write_named(rows: DataFrame, path: str, key: str, order: list[str], extensio
             yield pd.DataFrame({"n": [len(batch)]})
 
     named = F.when(F.col(key).isNull(), F.raise_error(F.lit("a file needs a name")).cast("string")).otherwise(F.col(key).cast("string"))
-    held = rows.select(named.alias("name"), *[F.col(c).alias(f"_{c}") for c in order], F.col(value).cast("string").alias("value")).repartition("name").sortWithinPartitions("name", *[f"_{c}" for c in order])
+    held = rows.select(named.alias("name"), *[F.col(c).alias(f"_{c}") for c in order], F.col(value).cast("string").alias("value")).repartition(parallel, "name").sortWithinPartitions("name", *[f"_{c}" for c in order])
     store, root = fs.FileSystem.from_uri(place)
     store.create_dir(root, recursive=True)
     try:
         parts = materialize(held.select("name", "value").mapInPandas(write, "name string, part string"), "named")
-        parts.repartition("name").mapInPandas(move, "n long").agg(F.sum("n")).collect()
+        parts.repartition(parallel, "name").mapInPandas(move, "n long").agg(F.sum("n")).collect()
         forget(parts)
     finally:
         if store.get_file_info(f"{root}/{aside}").type != fs.FileType.NotFound:
