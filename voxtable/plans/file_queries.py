@@ -33,7 +33,7 @@ def q_named_rttm(spark, sf_dir):
     path = _folder(spark, "rttm")
     for _ in range(2):
         writers.write_named(lines, path, "name", ["turn"], ".rttm")
-    turns = readers.rttm_turns(readers.whole_files(spark, path, "*.rttm"))
+    turns = readers.rttm_turns(readers.whole_files(spark, path, "*.rttm", tasks=_tasks(spark)))
     return turns.select("name", X.recording_id("name").alias("rec_id"), "speaker", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
