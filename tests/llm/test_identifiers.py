@@ -79,3 +79,21 @@ def test_toxicity_scores_are_those_of_all_counts(spark):
         chance = model.log_k + math.log(len(scores))
         want.append(scorer.probability(model.rate * best - chance if best > 0 else -chance, sum(model.rate * x - chance >= toxicity.SIGNIFICANT for *_, x in kept)))
     assert sorted(round(x, 9) for x in out) == sorted(round(x, 9) for x in want)
+
+
+def test_counts_and_threshold_come_from_every_row(spark, monkeypatch):
+    """One odd row among 2000 gives its identifiers, and calibration counts each identifier."""
+    rows = [(i, f"some plain words about {'abcdefgh'[i % 8] * 3} here") for i in range(2000)] + [(2000, "Qzxvk Wqjxz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = {w for _, t in rows for w in t.split()}
+    known = secrets.identifiers(docs, parts=1).collect()
+    assert len(known) == len(words)
+    assert sum("qzxvk" in r.word.lower() or "qzx" in r.word.lower() for r in known) >= 1
+    odd, plain = spark.createDataFrame(rows[-1:], docs.schema), docs.filter("doc_id < 2000")
+    assert secrets.train(docs) != secrets.train(plain) and odd.count() == 1
+    ratios = [1.0] * len(secrets.ALPHABET) ** 2  # a word's ratio is its length less one
+    some = spark.createDataFrame([("a" * n, 1) for n in range(2, 41)], "word string, part int")
+    monkeypatch.setattr(secrets, "THRESHOLD", 5.0)
+    threshold = secrets.calibrate(docs, ratios, rate=0.1, known=some)
+    assert sum(n - 1 > threshold for n in range(2, 41)) == 3 and 36 <= threshold < 37
+    assert secrets.calibrate(docs, ratios, rate=1.0, known=some) == 5.0

@@ -2,10 +2,11 @@
 
 Everything runs as Spark SQL expressions. A pattern's matches come from regexp_extract_all, their
 places from the lengths of the gaps that split leaves between them. The models are first-order
-character chains trained from labelled samples: strings that the base rules label as secrets, and as ordinary
+character chains trained from all texts: strings that the base rules label as secrets, and as ordinary
 ones the runs of token characters of the same texts, with identifiers that are composed of the texts' words in
-the usual shapes (camel and snake case, constants, paths, dates, numbered names). The threshold is
-calibrated on other identifiers of the sample, so that at most one in a thousand is flagged. A run of token characters whose log-likelihood ratio passes the
+the usual shapes (camel and snake case, constants, paths, dates, numbered names). Every distinct word of all texts
+takes part in two of them. The threshold is
+calibrated on other identifiers, so that at most one in a thousand is flagged. A run of token characters whose log-likelihood ratio passes the
 threshold becomes a span of kind ``random``, unless a base span overlaps it. In other runs the segments
 whose ratio passes it do, each drawn out to the ends of its parts between + / _ = and -: words glued to
 a secret neither hide it nor go with it. Only the ratio decides, so short strings count too.
@@ -22,8 +23,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxtable.llm.names import fresh
+from voxtable.plans.storage import forget, materialize
 
 #: Base kinds in their listed order, with pattern, value group and least value length.
 BASE = {
@@ -82,14 +85,15 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.drop(*[f"{k}_found" for k in BASE], "assign_values")
 
 
-def identifiers(docs: DataFrame, text_col: str = "text", max_rows: int = 500) -> DataFrame:
-    """(word, part): identifiers composed of neighbouring words of about max_rows texts, chosen by a hash; one in
-    four has part 1 and is kept from training. Each pair of words takes one of the shapes, by its hash."""
-    rows = docs.count()
-    keep = min(1.0, max_rows / max(rows, 1))
-    texts = docs.filter(F.pmod(F.xxhash64(text_col, F.lit(1)), F.lit(1 << 20)) < int(keep * (1 << 20)))
-    words = texts.select(F.regexp_extract_all(text_col, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("words"))
-    pair = words.filter(F.size("words") > 1).select(F.explode(F.arrays_zip(F.expr("slice(words, 1, size(words) - 1)").alias("a"), F.expr("slice(words, 2, size(words) - 1)").alias("b"))).alias("x")).select("x.a", "x.b").distinct()
+def identifiers(docs: DataFrame, text_col: str = "text", parts: int = 4096) -> DataFrame:
+    """(word, part): identifiers composed of the words of all texts; one in four has part 1 and is kept from training.
+
+    Each distinct word meets the next one in the order of their hashes, which goes round in each of ``parts`` ranges;
+    a word that is alone in its range meets itself. Each pair of words takes one of the shapes, by its hash."""
+    words = docs.select(F.explode(F.regexp_extract_all(text_col, F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("a")).distinct()
+    ranged = words.withColumn("_h", F.xxhash64("a")).withColumn("_range", F.pmod("_h", F.lit(parts)))
+    inside = Window.partitionBy("_range").orderBy("_h", "a")
+    pair = ranged.select("a", F.coalesce(F.lead("a").over(inside), F.first("a").over(inside)).alias("b"))
     h = F.abs(F.xxhash64("a", "b") % 1_000_003)
     a, b = F.lower("a"), F.lower("b")
     name = F.concat(F.initcap(a), F.initcap(b))
@@ -105,29 +109,66 @@ def identifiers(docs: DataFrame, text_col: str = "text", max_rows: int = 500) ->
     return pair.select(shape.alias("word"), F.when(F.xxhash64("b", "a") % 4 == 0, 1).otherwise(0).alias("part"))
 
 
-def calibrate(docs: DataFrame, ratios: list[float], text_col: str = "text", rate: float = 0.001, max_rows: int = 500) -> float:
-    """The threshold that at most ``rate`` of the identifiers kept from training pass, and THRESHOLD at least."""
-    table = _table(ratios)
-    kept = identifiers(docs, text_col, max_rows).filter("part = 1").select(best_segment(F.col("word"), table).alias("best"))
-    return max(THRESHOLD, kept.agg(F.percentile("best", F.lit(1 - rate))).first()[0] or 0.0)
-
+def calibrate(docs: DataFrame, ratios: list[float], text_col: str = "text", rate: float = 0.001, known: DataFrame | None = None) -> float:
+    """The least threshold that at most ``rate`` of the identifiers kept from training pass, and THRESHOLD at least.
 
-def train(docs: DataFrame, text_col: str = "text", max_rows: int = 16_000, smoothing: float = 0.5) -> list[float]:
+    ``known`` is the result of identifiers, if it is stored. Where too many pass THRESHOLD, those are counted by whole
+    nats, and those of the one nat that decides by the ratios' five decimals; only these counts come to the driver.
+    """
+    known = identifiers(docs, text_col) if known is None else known
+    best = known.filter("part = 1").select(F.round(best_segment(F.col("word"), _table(ratios)), 5).alias("best"))
+    over = F.col("best") > THRESHOLD
+    rows, above = best.agg(F.count("*"), F.count(F.when(over, 1))).first()
+    allowed = int(rate * rows)
+    if above <= allowed:
+        return THRESHOLD
+    high = materialize(best.filter(over).groupBy("best").agg(F.count("*").alias("n")), "scores")
+
+    def deciding(table: DataFrame, value: Column, left: int) -> tuple[float, int]:
+        for r in sorted(table.groupBy(value.alias("v")).agg(F.sum("n").alias("n")).collect(), reverse=True):
+            if r["n"] > left:
+                return r["v"], left
+            left -= r["n"]
+
+    nat, left = deciding(high, F.floor("best"), allowed)
+    value, _ = deciding(high.filter(F.floor("best") == nat), F.col("best"), left)
+    return value + 5e-6  # between two sums of ratios, whatever their order of addition
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> tuple[list[float], float]:
+    """The ratios that train gives and the threshold that calibrate gives, from identifiers that are composed once."""
+    known = materialize(identifiers(docs, text_col), "identifiers")
+    ratios = train(docs, text_col, known=known)
+    threshold = calibrate(docs, ratios, text_col, known=known)
+    forget(known)
+    return ratios, threshold
+
+
+def _words(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, label) of each occurrence in one pass: 1 for the strings that the base rules find, 0 for the other
+    texts' runs of token characters."""
+    found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = found.withColumns({k: F.regexp_extract_all("text", F.lit(_FAST.get(k, p)), F.lit(group)) for k, (p, group, _) in BASE.items()})
+    secret = F.concat(*[F.filter(k, lambda w, least=least: F.length(w) >= least) for k, (*_, least) in BASE.items()])
+    base = "|".join([BASE["assign"][0].replace("([A", "(?:[A"), _FAST["access"], _FAST["hex"]])
+    none = F.size(F.concat(*BASE)) == 0
+    found = found.select(secret.alias("secret"), F.when(none, F.col("text")).otherwise(F.regexp_replace("text", base, " ")).alias("plain"))
+    found = found.select(F.size("secret").alias("secrets"), F.posexplode(F.concat("secret", F.regexp_extract_all("plain", F.lit(RUN + "{2,}"), F.lit(0)))).alias("at", "word"))
+    found = found.select("word", (F.col("at") < F.col("secrets")).cast("int").alias("label"))
+    return found.filter((F.col("label") == 0) | F.col("word").rlike("[A-Za-z]"))
+
+
+def train(docs: DataFrame, text_col: str = "text", smoothing: float = 0.5, known: DataFrame | None = None) -> list[float]:
     """Log-likelihood ratios random : identifier for each pair of ALPHABET's characters, row by row.
 
-    At most about max_rows documents, chosen by a hash of their text, are used. Only one count for
-    each pair of characters and class comes to the driver.
+    All documents are used. Only one count for each pair of characters and class comes to the driver. ``known`` is
+    the result of identifiers, if it is stored.
     """
-    rows = docs.count()
-    keep = min(1.0, max_rows / max(rows, 1))
-    sample = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(keep * (1 << 20))).select(text_col)
-    spans = base_spans(sample, text_col)
-    secret = spans.select(F.explode(F.concat(*[F.transform(k, lambda s: s["value"]) for k in BASE])).alias("word")).filter(F.col("word").rlike("[A-Za-z]")).distinct().select("word", F.lit(1).alias("label"), F.lit(1).alias("n"))
-    plain = F.regexp_replace("text", "|".join([BASE["assign"][0].replace("([A", "(?:[A"), _FAST["access"], _FAST["hex"]]), " ")
-    runs = spans.select(F.explode(F.regexp_extract_all(plain, F.lit(RUN + "{2,}"), F.lit(0))).alias("word"))
-    words = runs.unionByName(identifiers(sample, text_col).filter("part = 0").select("word")).groupBy("word").agg(F.lit(0).alias("label"), F.ceil(F.log2(F.count("*") + 1)).cast("int").alias("n"))
+    known = identifiers(docs, text_col) if known is None else known
+    words = _words(docs, text_col).unionByName(known.filter("part = 0").select("word", F.lit(0).alias("label"))).groupBy("word", "label").agg(F.count("*").alias("n"))
+    words = words.select("word", "label", F.when(F.col("label") == 1, 1).otherwise(F.ceil(F.log2(F.col("n") + 1)).cast("int")).alias("n"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))
-    counts = secret.unionByName(words).select("label", "n", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
+    counts = words.filter(F.length("word") > 1).select("label", "n", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
     size = len(ALPHABET)
     tables = [[0.0] * size * size for _ in (0, 1)]
     for r in counts:
