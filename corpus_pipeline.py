@@ -32,8 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are masked and n_chars follows."""
-    ratios = secrets.train(docs)
-    masked = secrets.redact(secrets.scan(docs, ratios, secrets.calibrate(docs, ratios)))
+    masked = secrets.redact(secrets.scan(docs, *secrets.learn(docs)))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
