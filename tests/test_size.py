@@ -136,3 +136,18 @@ def test_small_named_files_are_written_by_many_tasks_and_read_by_few(spark, tmp_
     found = readers.whole_files(spark, str(tmp_path / "out"), "*.txt", tasks=2)
     assert found.rdd.getNumPartitions() == 2
     assert sorted((r.name, r.value) for r in found.collect()) == sorted((f"f{k}", f"{k}\n") for k in range(60))
+
+
+def test_intervals_come_from_one_sweep_without_joins(spark):
+    from voxtable.operators import diarization
+
+    turns = lambda rows: spark.createDataFrame(rows, "rec_id string, speaker string, start double, end double")
+    ref = turns([("a", "x", 0.0, 4.0), ("a", "y", 3.0, 6.0), ("a", "x", 3.5, 5.0), ("a", None, 8.0, 9.0), ("b", "x", 1.0, 2.0), ("b", "x", 1.0, 2.0), (None, "x", 0.0, 1.0), ("c", "x", None, 1.0), ("d", "x", 2.0, 2.0)])
+    hyp = turns([("a", "h", 1.0, 5.5), ("b", "h", 1.5, 3.0)])
+    cut = diarization.intervals(ref, hyp)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
+    got = sorted((r.rec_id, r.duration, *map(tuple, (r.refs, r.hyps))) for r in cut.collect())
+    assert got == sorted([("a", 1.0, ("x",), ()), ("a", 2.0, ("x",), ("h",)), ("a", 0.5, ("x", "y"), ("h",)), ("a", 0.5, ("x", "y"), ("h",)), ("a", 1.0, ("x", "y"), ("h",)), ("a", 0.5, ("y",), ("h",)), ("a", 0.5, ("y",), ()), ("b", 0.5, ("x",), ()), ("b", 0.5, ("x",), ("h",)), ("b", 1.0, (), ("h",))])
+    uem = spark.createDataFrame([("a", 0.0, 3.0)], "rec_id string, start double, end double")
+    assert sorted(r.duration for r in diarization.intervals(ref, hyp, 0.5, True, uem).collect()) == [0.75, 1.75]

@@ -2,48 +2,64 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from voxtable.plans.storage import materialize
 
 
-def _active(turns: DataFrame, name: str) -> DataFrame:
-    return turns.select("rec_id", F.col("start").alias("t"), F.struct(F.lit(name).alias("side"), "speaker", F.lit(1).alias("d")).alias("e")).unionByName(
-        turns.select("rec_id", F.col("end").alias("t"), F.struct(F.lit(name).alias("side"), "speaker", F.lit(-1).alias("d")).alias("e"))
-    )
+REF, HYP, COLLAR, UEM = range(4)
+
+
+def _changes(turns: DataFrame, side: int) -> DataFrame:
+    """(rec_id, t, side, speaker, d): where a turn starts and where it ends; turns without both are left out."""
+    held = turns.select("rec_id", "start", "end", F.col("speaker").cast("string").alias("speaker")).dropna(subset=["rec_id", "start", "end"])
+    ends = [F.struct(F.col(c).cast("double").alias("t"), F.lit(d).cast("byte").alias("d")) for c, d in (("start", 1), ("end", -1))]
+    return held.select("rec_id", F.explode(F.array(*ends)).alias("e"), "speaker").select("rec_id", "e.t", F.lit(side).cast("byte").alias("side"), "speaker", "e.d")
+
 
+def _swept(skip_overlap: bool, only_uem: bool):
+    """The sweep over changes in the order of their recordings and times: it holds who is active, and a batch of rows."""
+    def sweep(batches):
+        rec, last, active = None, None, ({}, {}, {}, {})
+        for batch in batches:
+            out = []
+            for r, t, side, speaker, d in zip(batch["rec_id"], batch["t"], batch["side"], batch["speaker"], batch["d"]):
+                if r != rec:
+                    rec, last, active = r, t, ({}, {}, {}, {})
+                if t != last:
+                    refs, hyps = (sorted(k for k, n in active[x].items() if n > 0) for x in (REF, HYP))
+                    scored = (refs or hyps) and not (skip_overlap and len(refs) > 1)
+                    if scored and not any(n > 0 for n in active[COLLAR].values()) and (not only_uem or any(n > 0 for n in active[UEM].values())):
+                        out.append((r, t - last, refs, hyps))
+                    last = t
+                if speaker is not None:
+                    known = active[side]
+                    n = known.pop(speaker, 0) + d
+                    if n:
+                        known[speaker] = n
+            yield pd.DataFrame(out, columns=["rec_id", "duration", "refs", "hyps"])
 
-def intervals(ref: DataFrame, hyp: DataFrame, collar: float = 0.0, skip_overlap: bool = False, uem: DataFrame | None = None, width: float = 30.0) -> DataFrame:
+    return sweep
+
+
+def intervals(ref: DataFrame, hyp: DataFrame, collar: float = 0.0, skip_overlap: bool = False, uem: DataFrame | None = None) -> DataFrame:
     """(rec_id, duration, refs, hyps) of the elementary intervals that are scored.
 
-    Every boundary is an event of +1 or -1 for its speaker; running sums by recording and speaker give
-    spans. Spans are dealt to the time bins that they touch, ``width`` seconds wide, and an interval
-    meets them in the one bin that it begins in. collar is the whole width around a reference boundary.
+    Every boundary is a change of +1 or -1 for its speaker. Behind one shuffle a task reads its recordings' changes
+    in the order of time and gives the interval between each two times with those who are active there. One
+    recording isn't split over tasks. collar is the whole width around a reference boundary.
     """
-    events = _active(ref, "ref").unionByName(_active(hyp, "hyp"))
+    changes = _changes(ref, REF).unionByName(_changes(hyp, HYP))
     if collar:
-        edges = ref.select("rec_id", F.explode(F.array("start", "end")).alias("c")).distinct()
-        events = events.unionByName(_active(edges.select("rec_id", F.lit("").alias("speaker"), (F.col("c") - collar / 2).alias("start"), (F.col("c") + collar / 2).alias("end")), "collar"))
+        edges = ref.dropna(subset=["start", "end"]).select("rec_id", F.explode(F.array("start", "end")).alias("c"))
+        changes = changes.unionByName(_changes(edges.select("rec_id", F.lit("").alias("speaker"), (F.col("c") - collar / 2).alias("start"), (F.col("c") + collar / 2).alias("end")), COLLAR))
     if uem is not None:
-        events = events.unionByName(_active(uem.select("rec_id", F.lit("").alias("speaker"), "start", "end"), "uem"))
-    changes = events.groupBy("rec_id", "t", "e.side", "e.speaker").agg(F.sum("e.d").alias("d"))
-    own = Window.partitionBy("rec_id", "side", "speaker").orderBy("t")
-    spans = changes.withColumns({"level": F.sum("d").over(own.rowsBetween(Window.unboundedPreceding, 0)), "until": F.lead("t").over(own)}).filter("level > 0 and until is not null").select("rec_id", "side", "speaker", "t", "until")
-    times = changes.select("rec_id", "t").distinct().withColumn("next", F.lead("t").over(Window.partitionBy("rec_id").orderBy("t"))).filter("next is not null")
-    at = lambda c: F.floor(F.col(c) / width).cast("long")
-    spans = spans.withColumnRenamed("t", "from").withColumn("bin", F.explode(F.sequence(at("from"), at("until"))))
-    met = times.withColumn("bin", at("t")).join(spans, ["rec_id", "bin"]).filter((F.col("from") <= F.col("t")) & (F.col("until") >= F.col("next")))
-
-    def names(side: str) -> Column:
-        return F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("speaker"))))
-
-    cut = met.groupBy("rec_id", "t", "next").agg(names("ref").alias("refs"), names("hyp").alias("hyps"), F.max((F.col("side") == "collar").cast("int")).alias("in_collar"), F.max((F.col("side") == "uem").cast("int")).alias("in_uem"))
-    kept = cut.filter((F.col("in_collar") == 0) & (F.lit(uem is None) | (F.col("in_uem") == 1)) & (F.size("refs") + F.size("hyps") > 0))
-    if skip_overlap:
-        kept = kept.filter(F.size("refs") < 2)
-    return kept.select("rec_id", (F.col("next") - F.col("t")).alias("duration"), "refs", "hyps")
+        changes = changes.unionByName(_changes(uem.select("rec_id", F.lit("").alias("speaker"), "start", "end"), UEM))
+    kind = StructType().add("rec_id", ref.schema["rec_id"].dataType).add("duration", DoubleType()).add("refs", ArrayType(StringType())).add("hyps", ArrayType(StringType()))
+    return changes.repartition("rec_id").sortWithinPartitions("rec_id", "t").mapInPandas(_swept(skip_overlap, uem is not None), kind)
 
 
 def greedy_mapping(cut: DataFrame) -> DataFrame:
@@ -62,7 +78,7 @@ def greedy_mapping(cut: DataFrame) -> DataFrame:
 
 def diarization_errors(ref: DataFrame, hyp: DataFrame, collar: float = 0.0, skip_overlap: bool = False, uem: DataFrame | None = None) -> DataFrame:
     """Per recording: total reference time, miss, false alarm and confusion, in seconds."""
-    cut = intervals(ref, hyp, collar, skip_overlap, uem)
+    cut = materialize(intervals(ref, hyp, collar, skip_overlap, uem), "intervals")  # read twice
     joined = cut.join(greedy_mapping(cut), "rec_id", "left")
     right = F.size(F.filter(F.coalesce("pairs", F.array().cast("array<struct<ref:string,hyp:string>>")), lambda p: F.array_contains("refs", p["ref"]) & F.array_contains("hyps", p["hyp"])))
     r, h, d = F.size("refs"), F.size("hyps"), F.col("duration")
