@@ -151,3 +151,49 @@ def test_intervals_come_from_one_sweep_without_joins(spark):
     assert got == sorted([("a", 1.0, ("x",), ()), ("a", 2.0, ("x",), ("h",)), ("a", 0.5, ("x", "y"), ("h",)), ("a", 0.5, ("x", "y"), ("h",)), ("a", 1.0, ("x", "y"), ("h",)), ("a", 0.5, ("y",), ("h",)), ("a", 0.5, ("y",), ()), ("b", 0.5, ("x",), ()), ("b", 0.5, ("x",), ("h",)), ("b", 1.0, (), ("h",))])
     uem = spark.createDataFrame([("a", 0.0, 3.0)], "rec_id string, start double, end double")
     assert sorted(r.duration for r in diarization.intervals(ref, hyp, 0.5, True, uem).collect()) == [0.75, 1.75]
+
+
+def test_pruned_ngrams_are_counted_without_storing_them(spark, tmp_path):
+    import __spark_entry__
+
+    rnd = random.Random(17)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(40)) for _ in range(400))) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1).groupBy("id").count().collect()
+    folder = Path(storage.work_folder(spark))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before, files = size(), _shuffle_files(spark)
+    got = __spark_entry__.queries()["q_ngram_pruned"](spark, str(tmp_path)).collect()
+    assert [r.total for r in sorted(got)[:2]] == [40_200, 40_100]
+    assert size() - before < 20_000  # tables of the n-grams take 240 KB
+    assert not _shuffle_files(spark) - files
+
+
+@pytest.mark.parametrize("order,prune_from,most,bucket", [(3, 3, 32 << 20, 8 << 20), (4, 2, 300, 100), (1, 0, 1, 1 << 20)])
+def test_totals_of_ngrams_are_those_of_their_table(spark, monkeypatch, order, prune_from, most, bucket):
+    from voxtable.operators import ngram_totals
+
+    monkeypatch.setattr(ngram_totals, "SLICE", most)
+    monkeypatch.setattr(ngram_totals, "BUCKET", bucket)
+    rnd = random.Random(order)
+    text = lambda n: "".join(rnd.choice(["a", "b", "é", "<s>", "</s>", "c d"]) + rnd.choice(" \n") for _ in range(n))
+    texts = spark.createDataFrame([(text(rnd.randrange(12)),) for _ in range(150)] + [(None,), ("",), (" ",), ("hot " * 500,)], "text string").repartition(3)
+    words = texts.filter("text is not null").select(F.split(F.translate("text", "\n", " "), " ", -1).alias("words"))
+    want = ngrams.prune(ngrams.ngram_counts(words, order), order, prune_from).groupBy("n").agg(F.count("*"), F.sum("raw")).collect()
+    got = ngram_totals.totals(texts, order, prune_from)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == order
+    assert ngram_totals.totals(texts.limit(0), order, prune_from).collect() == []
+
+
+def test_ngrams_with_equal_first_bits_are_told_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from voxtable.operators import ngram_totals
+
+    back = pow(int(ngram_totals.MIX), -1, 1 << 64)
+    of = [(7 << 40) + k for k in (0, 1, 0, 2, 1, 0)]  # after mixing they differ in their last bits only
+    high, low = np.array([k * back % (1 << 64) for k in of], np.uint64), np.array([5, 5, 5, 5, 5, 6], np.uint32)
+    columns = {"high": high, "low": low, "raw": np.array([1, 1, 2, 1, 1, 9], np.uint32)}
+    table = pa.table({"n": pa.array([2, 2], pa.int32()), "bucket": [0, 0]} | {k: pa.array([v[:2].tobytes(), v[2:].tobytes()], pa.binary()) for k, v in columns.items()})
+    assert ngram_totals._left([0, 1])(table).to_pylist() == [{"n": 2, "grams": 3, "total": 14}]
