@@ -105,7 +105,8 @@ def write_named(rows: DataFrame, path: str, key: str, order: list[str], extensio
                     out = store.open_output_stream(f"{folder}/{len(names)}")
                     names.append(k)
                 out.write(f"{'' if v is None else v}\n".encode())
-            yield pd.DataFrame({"name": names[done:], "part": [f"{folder}/{i}" for i in range(done, len(names))]})
+            if len(names) > done:  # a batch may go on with the file of the one before, and Arrow takes no empty string columns
+                yield pd.DataFrame({"name": names[done:], "part": [f"{folder}/{i}" for i in range(done, len(names))]})
         if out:
             out.close()
 
