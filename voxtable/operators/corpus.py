@@ -77,8 +77,8 @@ MANIFEST = ["ID", "text", "source", "duration", "start", "stop", "wav_file", "n_
 
 
 def utterance_id(source: str, *parts: Column | str) -> Column:
-    """Ids of a source's utterances: its name and the parts, joined by _."""
-    return F.concat_ws("_", F.lit(source), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    """Ids of a source's utterances: its name and the parts, joined by _; null where a part is."""
+    return F.concat(F.lit(source), *[x for p in parts for x in (F.lit("_"), (F.col(p) if isinstance(p, str) else p).cast("string"))])
 
 
 def clip_id(path: Column) -> Column:
@@ -86,8 +86,9 @@ def clip_id(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), "_"), -1)
 
 
-def manifest(rows: DataFrame, source: str, text: Column, utterance: Column, **columns: Column) -> DataFrame:
-    """Manifest rows; columns that a source doesn't have are null, and -1 offsets stand for whole files."""
+def manifest(rows: DataFrame, source: str | Column, text: Column, utterance: Column, **columns: Column) -> DataFrame:
+    """Manifest rows of a source, or of those that a column names; columns that a source doesn't have are null, and -1
+    offsets stand for whole files."""
     types = {"duration": "double", "start": "long", "stop": "long", "wav_file": "string", "n_tokens": "int"}
     extra = [columns[c].cast(t).alias(c) if c in columns else F.lit(-1 if c in ("start", "stop") else None).cast(t).alias(c) for c, t in types.items()]
     return rows.select(utterance.alias("ID"), text.alias("text"), F.lit(source).alias("source"), *extra)

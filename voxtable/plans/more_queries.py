@@ -250,8 +250,8 @@ def q_manifest_files(spark, sf_dir):
     """Manifests by split, written once, left alone by a second run, and read again."""
     path = folder(spark, "manifest")
     docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\r"), F.lit("")))
-    rows = corpus.manifest(docs, "x", F.col("text"), corpus.utterance_id("eslo2", "doc_id"), duration=F.col("n_chars") / 10, wav_file=F.lit("NA")).drop("source")
-    rows = rows.join(docs.select(F.concat(F.lit("eslo2_"), "doc_id").alias("ID"), "source"), "ID").withColumn("split", F.when(F.xxhash64("ID") % 2 == 0, "train").otherwise("dev"))
+    rows = corpus.manifest(docs, F.col("source"), F.col("text"), corpus.utterance_id("eslo2", "doc_id"), duration=F.col("n_chars") / 10, wav_file=F.lit("NA"))
+    rows = rows.withColumn("split", F.when(F.xxhash64("ID") % 2 == 0, "train").otherwise("dev"))
     columns = ["ID", "duration", "start", "stop", "wav_file", "text", "source"]
     writers.write_manifest(rows, path, columns)
     writers.write_manifest(rows.limit(1), path, columns)

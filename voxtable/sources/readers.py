@@ -92,8 +92,8 @@ MANIFEST_SCHEMA = "ID string, duration double, start long, stop long, wav_file s
 
 
 def manifest(spark: SparkSession, path: str, schema: str = MANIFEST_SCHEMA) -> DataFrame:
-    """Manifest rows; text such as NA stays literal."""
-    return spark.read.schema(schema).csv(path, header=True, nullValue="\u0000", emptyValue="", quote='"', escape='"', multiLine=True, enforceSchema=False)
+    """Manifest rows; text such as NA stays literal. A value that isn't there is null, a quoted empty one is empty."""
+    return spark.read.schema(schema).csv(path, header=True, nullValue="\uffffnull", emptyValue="", quote='"', escape='"', charToEscapeQuoteEscaping='"', multiLine=True, enforceSchema=False)
 
 
 HEADERS = "path string, format string, rate long, channels long, frames long, duration double, bytes_read long"

@@ -46,8 +46,9 @@ def write_by_recording(rows: DataFrame, path: str, keys: list[str], order: list[
 
 
 def write_manifest(rows: DataFrame, path: str, columns: list[str], mode: str = "ignore") -> None:
-    """Manifest files by split, quoted where needed; an existing folder is left as it is."""
-    rows.select("split", *columns).write.partitionBy("split").mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="")
+    """Manifest files by split, quoted where needed; an existing folder is left as it is. Values keep their white space
+    and zero bytes, and an empty one is quoted, so that ``readers.manifest`` tells it from a null."""
+    rows.select("split", *columns).write.partitionBy("split").mode(mode).csv(path, header=True, quote='"', escape='"', charToEscapeQuoteEscaping='"', nullValue="", emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def list_lines(splits: DataFrame, key: str = "rec_id", debug: int | None = None) -> DataFrame:
